@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import column, map_texts
+from .ragged import PairMerger
 
 SPACE = "▁"
 #: Pre-tokens whose counts a worker keeps; beyond, the cache starts anew.
 CACHE_WORDS = 600_000
-NONE = np.int32(1 << 30)
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -49,64 +49,30 @@ class PieceModel:
         self.runs = {len(p) for p in pieces if not p.strip(SPACE)}
         symbols = sorted({c for p in pieces for c in p} | set(pieces))
         number = {s: i for i, s in enumerate(symbols)}
-        self.chars = {s: i for s, i in number.items() if len(s) == 1}
         #: Tokens that a surviving symbol stands for.
         self.weight = np.array([1 if s in pieces else len(s.encode()) for s in symbols], np.int64)
         order = {s: r for r, s in enumerate(sorted(set(pieces.values()), reverse=True))}
-        keys, ranks, made = [], [], []
+        lefts, rights, ranks, made = [], [], [], []
         for p, score in pieces.items():
             if len(p) > 1 and p.strip(SPACE):
                 for k in range(1, len(p)):
                     a, b = number.get(p[:k]), number.get(p[k:])
                     if a is not None and b is not None:
-                        keys.append(a << 20 | b)
+                        lefts.append(a)
+                        rights.append(b)
                         ranks.append(order[score])
                         made.append(number[p])
-        self.keys, self.ranks, self.made = np.array(keys, np.uint64), np.array(ranks, np.int32), np.array(made, np.int32)
-        self._index()
-        least = np.full(len(symbols), NONE, np.int32)
-        for part in (self.keys >> np.uint64(20), self.keys & np.uint64(0xFFFFF)):
-            np.minimum.at(least, part.astype(np.int64), self.ranks)
-        own = np.full(len(symbols), -1, np.int32)
-        own[self.made] = self.ranks
-        self.single = least < own
-        self.single_rank = np.zeros(len(order) + 1, bool)
-        self.single_rank[self.ranks[self.single[self.made]]] = True
-        self.unknown = len(symbols)
-        self.by_code = np.full(0x110000, self.unknown, np.int32)
-        for c, i in self.chars.items():
-            self.by_code[ord(c)] = i
+        self.merger = PairMerger(*(np.array(x, np.int64) for x in (lefts, rights, ranks, made)), len(symbols))
+        self.by_code = np.full(0x110000, -1, np.int32)
+        for s, i in number.items():
+            if len(s) == 1:
+                self.by_code[ord(s)] = i
+        self.space = number[SPACE]
         #: Of words after one space (or, beginning with it, a line end), of pre-tokens as they stand, and of runs of spaces.
         self.words: dict[str, int] = {}
         self.chunks: dict[str, int] = {}
         self.counts: dict[str, int] = {}
 
-    def _index(self) -> None:
-        """Two hash tables; what collides in the first goes to the second, the few left to a sorted array."""
-        self.tables, left = [], np.arange(len(self.keys))
-        for mult in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            slot = (self.keys[left] * np.uint64(mult)) >> np.uint64(44)
-            table = np.full(1 << 20, -1, np.int32)
-            first = np.unique(slot, return_index=True)[1]
-            table[slot[first].astype(np.int64)] = left[first]
-            self.tables.append((np.uint64(mult), table))
-            left = np.delete(left, first)
-        self.rest = left[np.argsort(self.keys[left])]
-
-    def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Index of each pair among the known ones, or -1."""
-        key = (a.astype(np.uint64) << np.uint64(20)) | b.astype(np.uint64)
-        out = np.full(len(key), -1, np.int32)
-        for mult, table in self.tables:
-            got = table[((key * mult) >> np.uint64(44)).astype(np.int64)]
-            fit = (got >= 0) & (self.keys[got] == key)
-            out[fit] = got[fit]
-        if len(self.rest):
-            at = np.minimum(np.searchsorted(self.keys[self.rest], key), len(self.rest) - 1)
-            fit = self.keys[self.rest[at]] == key
-            out[fit] = self.rest[at][fit]
-        return out
-
     def run_tokens(self, n: int) -> int:
         """Tokens of a run of ``n`` spaces: equal scores, so the leftmost pair that makes a piece merges first."""
         got = self.counts.get(key := SPACE * n) if n < 64 else None
@@ -142,60 +108,21 @@ class PieceModel:
         return out
 
     def _merge(self, words: list[str], lens: np.ndarray) -> np.ndarray:
-        flat = "".join(words)
-        none = self.unknown
-        code = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
-        sym = self.by_code[code]
-        seq = np.repeat(np.arange(len(words)), lens)
+        """Characters of no piece fall back to their UTF-8 bytes; leading spaces that survive count by their run's length."""
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sym, seq = self.by_code[code], np.repeat(np.arange(len(words)), lens)
         count = np.zeros(len(words), np.int64)
-        if (odd := np.flatnonzero(sym == none)).size:  # characters of no piece: byte fallback, and nothing merges with them
+        if (odd := np.flatnonzero(sym < 0)).size:
             c = code[odd]
             np.add.at(count, seq[odd], 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF))
-        while sym.size:
-            pair = np.full(len(sym), -1, np.int32)
-            if len(sym) > 1:
-                near = (seq[1:] == seq[:-1]) & (sym[1:] != none) & (sym[:-1] != none)
-                at = np.flatnonzero(near)
-                pair[at] = self.lookup(sym[at], sym[at + 1])
-            rank = np.where(pair >= 0, self.ranks[pair], NONE)
-            starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            best = np.minimum.reduceat(rank, starts)
-            done = best == NONE
-            spread = np.repeat(best, np.diff(np.r_[starts, len(seq)]))
-            if done.any():
-                over = spread == NONE
-                self._finish(sym[over], seq[over], count)
-                sym, seq, rank, pair, spread = (x[~over] for x in (sym, seq, rank, pair, spread))
-                if not sym.size:
-                    break
-            hit = np.flatnonzero(rank == spread)
-            lone = self.single_rank[rank[hit]]
-            keep = np.ones(len(hit), bool)
-            if lone.any():
-                keep &= ~lone | np.r_[True, seq[hit[1:]] != seq[hit[:-1]]]
-            # places that overlap: from the left, every other one of a chain
-            chain = np.r_[False, (hit[1:] == hit[:-1] + 1) & (seq[hit[1:]] == seq[hit[:-1]])]
-            if chain.any():
-                head = np.maximum.accumulate(np.where(chain, 0, np.arange(len(hit))))
-                keep &= (np.arange(len(hit)) - head) % 2 == 0
-            hit = hit[keep]
-            sym[hit] = self.made[pair[hit]]
-            stay = np.ones(len(sym), bool)
-            stay[hit + 1] = False
-            sym, seq = sym[stay], seq[stay]
-        return count
-
-    def _finish(self, sym: np.ndarray, seq: np.ndarray, count: np.ndarray) -> None:
-        """Add what survives: a weight a symbol, and leading spaces by their run's length."""
-        known = sym != self.unknown
-        sym, seq = sym[known], seq[known]
-        if not sym.size:
-            return
-        space = sym == self.chars[SPACE]
-        np.add.at(count, seq[~space], self.weight[sym[~space]])
+        sym, seq = self.merger.merge(sym, seq)
+        space = sym == self.space
+        rest = ~space & (sym >= 0)
+        count += np.bincount(seq[rest], self.weight[sym[rest]], len(words)).astype(np.int64)
         ids, n = np.unique(seq[space], return_counts=True)
         for k in np.unique(n):
             count[ids[n == k]] += self.run_tokens(int(k))
+        return count
 
     def text_tokens(self, texts: list[str | None]) -> list[int]:
         """Token counts of whole texts."""

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Text bytes handed to a kernel at once; a single longer text is a batch by itself.
 BATCH_BYTES = 4 << 20
@@ -55,13 +57,10 @@ def slices(batch: pa.RecordBatch, text: str, budget: int = BATCH_BYTES) -> Itera
 
 
 def map_texts(
-    df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]], schema: str, text: str = "text"
+    df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]], schema: str | StructType, text: str = "text"
 ) -> DataFrame:
     """Run ``kernel()`` once a task; what it returns maps slices of the batches to columns of ``schema``."""
-    fields = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(fields)
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
