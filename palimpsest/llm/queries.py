@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, langid, mixing, packing, quality, secrets
+from . import bpe_counts, langid, licenses, mixing, packing, quality, secrets
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op5_pack, op7_language, op9_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op5_pack, op7_language, op8_licenses, op9_mix, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
