@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, langid, licenses, mixing, packing, quality, secrets
+from . import bpe_counts, langid, licenses, media, mixing, packing, quality, secrets
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(documents(spark, sf_dir)))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -41,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op5_pack, op7_language, op8_licenses, op9_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op4_media, op5_pack, op7_language, op8_licenses, op9_mix, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
