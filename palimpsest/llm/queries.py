@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_counts, langid, licenses, media, mixing, packing, quality, secrets
+from . import bpe_counts, langid, licenses, media, mixing, neardup, packing, quality, secrets
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.train(docs))
@@ -45,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op4_media, op5_pack, op7_language, op8_licenses, op9_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op4_media, op5_pack, op6_near_duplicates, op7_language, op8_licenses, op9_mix, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
