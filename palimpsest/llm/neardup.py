@@ -77,18 +77,23 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct shingles of a text, sorted."""
-    raw = np.frombuffer((text or "").encode().lower(), np.uint8)
-    gap = _GAP[raw]
-    edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
+def word_hashes(raw: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word of a text's bytes, in order; ``gap`` tells which bytes part words."""
+    edge = np.flatnonzero(np.diff(np.r_[True, gap[raw], True].astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    m = len(start)
-    if not m:
+    if not len(start):
         return np.zeros(0, np.uint64)
     up, down = _power(len(raw))
     total = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * up[: len(raw)])]
-    word = _mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+    return _mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    word = word_hashes(np.frombuffer((text or "").encode().lower(), np.uint8), _GAP)
+    m = len(word)
+    if not m:
+        return np.zeros(0, np.uint64)
     n = min(m, WORDS)
     h = np.full(m - n + 1, n, np.uint64)
     for k in range(n):

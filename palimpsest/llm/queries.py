@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_counts, langid, licenses, media, mixing, neardup, packing, quality, secrets
+from . import bpe_counts, langid, licenses, media, mixing, neardup, packing, quality, secrets, topk
 from .common import documents
 
 
@@ -19,6 +20,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    asked = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return topk.search(docs, asked)
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(documents(spark, sf_dir)))
 
@@ -49,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op4_media, op5_pack, op6_near_duplicates, op7_language, op8_licenses, op9_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_topk_search, op4_media, op5_pack, op6_near_duplicates, op7_language, op8_licenses, op9_mix, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
