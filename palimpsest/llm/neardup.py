@@ -44,7 +44,7 @@ HASHES = ROWS * BANDS
 LOOK = 16
 MISS = 1e-6
 #: Members of a bucket that are compared as one block; two blocks meet in a task.
-BLOCK = 128
+BLOCK = 512
 #: Members above which a bucket that isn't settled is split by another band, and how often.
 SPLIT, DEPTH = 4096, 2
 #: Bits of the filter of ids whose sets are needed: a fixed size, whatever the number of ids.
@@ -233,8 +233,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
     return map_texts(rows.select("a", "b", "set_a", "set_b"), compare, "a long, b long", "set_a")
 
 
-def _open_buckets(shared: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (bucket, rep, n, comp) of the buckets whose members lie in more than one component."""
+def _open_buckets(shared: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, rep, n, comp) of all buckets, and those buckets whose members lie in more than one component."""
     rows = shared.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     rows = stage_table(rows, "bucketed")
     return rows, rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi and members > 2")
@@ -242,7 +242,6 @@ def _open_buckets(shared: DataFrame, known: DataFrame) -> DataFrame:
 
 def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, need: list[int], percent: int) -> DataFrame:
     """Surviving pairs across components within open buckets, compared in blocks."""
-    spark = rows.sparkSession
     parts = []
     for depth in range(DEPTH + 1):
         held = rows.join(open_.select("bucket", "members"), "bucket")
@@ -257,31 +256,41 @@ def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, need: list[int],
     held = parts[0]
     for p in parts[1:]:
         held = held.unionByName(p)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    held = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = held.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "comp")
-    held = held.join(reps.select("rep", "sig"), "rep")
+    # Insiders share the component of the bucket's smallest member and need not meet each other; outsiders meet all.
+    core = held.groupBy("bucket").agg(F.min_by("comp", "rep").alias("core"))
+    held = held.join(core, "bucket").withColumn("out", F.col("comp") != F.col("core"))
+    size = held.groupBy("bucket").agg(F.count_if(~F.col("out")).alias("n_in"), F.count_if("out").alias("n_out"))
+    held = stage_table(held.join(size, "bucket").filter("n_out > 0").drop("core", "members"), "members")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("out"), blocks("n_out")).otherwise(blocks("n_in"))).cast("int")
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    among = F.when(blocks("n_out") > 1, F.transform(every("n_out"), lambda o: task(1, F.least("mine", o), F.greatest("mine", o)))).otherwise(F.filter(F.array(task(1, F.col("mine"), F.col("mine"))), lambda _: F.lit(False)))
+    tasks = F.when(F.col("out"), F.concat(F.transform(every("n_in"), lambda i: task(0, i, F.col("mine"))), among)).otherwise(F.transform(every("n_out"), lambda o: task(0, F.col("mine"), o)))
+    held = held.withColumn("mine", mine).withColumn("whole", blocks("n_out") == 1).withColumn("t", F.explode(tasks))
+    held = held.select("bucket", "t.*", "mine", "out", "whole", "rep", "n", "comp").join(reps.select("rep", "sig"), "rep")
 
     def compare(table: pa.Table) -> pa.Table:
         order = np.argsort(np.array(table["rep"].to_pylist()), kind="stable")
-        rep, n, comp, mine = (np.array(table[c].to_pylist(), np.int64)[order] for c in ("rep", "n", "comp", "mine"))
+        rep, n, comp, mine, out = (np.array(table[c].to_pylist(), np.int64)[order] for c in ("rep", "n", "comp", "mine", "out"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)[order]
-        one_block = table["i"][0].as_py() == table["j"][0].as_py()
+        kind, i, j, whole = (table[c][0].as_py() for c in ("kind", "i", "j", "whole"))
         a_out, b_out = [], []
         for k in range(len(rep) - 1):
             later = np.arange(k + 1, len(rep))
-            later = later[(comp[later] != comp[k]) & (100 * np.minimum(n[later], n[k]) >= percent * np.maximum(n[later], n[k]))]
-            if not one_block:
-                later = later[mine[later] != mine[k]]
+            meet = (comp[later] != comp[k]) & (100 * np.minimum(n[later], n[k]) >= percent * np.maximum(n[later], n[k]))
+            if kind == 0:  # insiders with outsiders; the only block of outsiders also within itself, once
+                meet &= (out[later] != out[k]) | (whole and i == 0)
+            elif i != j:
+                meet &= mine[later] != mine[k]
+            later = later[meet]
             if len(later):
                 got = later[surviving(np.broadcast_to(sig[k], (len(later), HASHES)), sig[later], need)]
                 a_out += [int(rep[k])] * len(got)
                 b_out += rep[got].tolist()
         return pa.table({"a": pa.array(b_out, pa.int64()), "b": pa.array(a_out, pa.int64())})
 
-    del spark
-    return held.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return held.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

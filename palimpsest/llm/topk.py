@@ -198,7 +198,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
             got = [np.frombuffer(x, np.int64) for x in column(batch, "lens")]
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in got], pa.int64()), pa.array([int(x.sum()) for x in got], pa.int64())], ["n", "total"])
 
-    n_docs, total = stats.select("lens").mapInArrow(lengths, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
+    n_docs, total = stats.select("lens").mapInArrow(lengths, "n long, total long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
     def kernel():
         def step(batch: pa.RecordBatch) -> dict:
@@ -213,7 +213,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     load = 0
 
     def run() -> None:
-        parts.append(stage_table(_best(index, _Queries(held), n_docs, max(total, 1) / max(n_docs, 1), k), "best"))
+        parts.append(stage_table(_best(index, _Queries(held), n_docs, max(int(total), 1) / max(int(n_docs), 1), k), "best"))
 
     for row in asked.toLocalIterator():
         n = len(row["terms"]) // 8
