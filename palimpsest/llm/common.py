@@ -1,10 +1,8 @@
-"""Shared plumbing: staged tables in the cluster's shared folder, Arrow batches, hashing."""
+"""Shared plumbing: Arrow batches bounded by bytes, hashing; staged tables are those of the store."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,28 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Text bytes handed to a kernel at once; a single longer text is a batch by itself.
-BATCH_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..sources.store import shared_dir, stage_table
 
+__all__ = ["column", "documents", "map_texts", "shared_dir", "slices", "stage_table", "unit_hash"]
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage and survives lost executors; callers stage what they read more than once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Text bytes handed to a kernel at once; a single longer text is a batch by itself.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import column, map_texts, stage_table
-from .components import components
 
 WORDS = 5
 PERCENT = 75
@@ -310,13 +310,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     first = stage_table(_pruned(pairs, reps, need), "pairs")
     links = stage_table(_verified(first, docs, id_col, text_col, percent), "links")
     # one id with several texts links their classes
-    known = stage_table(components(links), "components")
+    known = stage_table(connected_components(links), "components")
     rows, open_ = _open_buckets(shared, known)
     second = stage_table(_across(rows, stage_table(open_, "open"), reps, need, percent), "pairs")
     if second.take(1):
         more = stage_table(_verified(second, docs, id_col, text_col, percent), "links")
         if more.take(1):
-            known = stage_table(components(links.unionByName(more)), "components")
+            known = stage_table(connected_components(links.unionByName(more)), "components")
     named = sketched.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
     named = named.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
