@@ -52,7 +52,7 @@ _MATCH = f"""{_SCORED}, treats AS (SELECT *, row_number() OVER (ORDER BY id) AS
     FROM steps s JOIN treats t ON t.n = s.n + 1 LEFT JOIN controls c ON abs(t.score - c.score) < 0.5 AND NOT list_contains(s.used, c.id) GROUP BY s.n, s.used, s.ts, t.id
   ), pairs AS (SELECT unnest(ts) AS treatment_id, unnest(used) AS control_id FROM (SELECT * FROM steps ORDER BY n DESC LIMIT 1))"""
 _STATUS = "CASE WHEN n >= 30 THEN 'counterfactual_validated' WHEN n >= 10 THEN 'observational' ELSE 'hypothesis' END"
-_EFFECT = f"{_MATCH}, e AS (SELECT round(avg(t.y) - avg(c.y), 3) AS ate, count(*) AS n FROM pairs p JOIN scored t ON t.id = p.treatment_id JOIN scored c ON c.id = p.control_id)"
+_EFFECT = f"{_MATCH}, e AS (SELECT coalesce(round(avg(t.y) - avg(c.y), 3), 0) AS ate, count(*) AS n FROM pairs p JOIN scored t ON t.id = p.treatment_id JOIN scored c ON c.id = p.control_id)"
 QUERIES = {
     "treatment_split": treatment_split, "resolve_confounder": resolve_confounder, "pooled_zscore": pooled_zscore, "causal_match": causal_match, "causal_ate": causal_ate, "analyze_causal": analyze_causal, "causal_status": causal_status, "balance": balance,
 }
@@ -63,8 +63,9 @@ SQL = {
     "causal_match": f"WITH RECURSIVE {_MATCH} SELECT treatment_id, control_id FROM pairs",
     "causal_ate": f"WITH RECURSIVE {_EFFECT} SELECT ate, n, {_STATUS} AS status FROM e",
     "analyze_causal": f"""WITH RECURSIVE {_EFFECT}, c AS (SELECT count(*) FILTER (treated) AS treatment_n, count(*) FILTER (NOT treated) AS control_n FROM nodes)
-      SELECT ate, n, {_STATUS} AS status, 'shade' AS confounder_used, treatment_n, control_n, NULL::VARCHAR AS error,
-        format('Treatment effect: {{:+.3f}} on acctbal ({{}}, {{}} matched pairs, confounder: shade)', ate, {_STATUS}, n) AS interpretation FROM e CROSS JOIN c""",
+      , d AS (SELECT *, CASE WHEN least(treatment_n, control_n) < 3 THEN 'too few samples on one side' WHEN n = 0 THEN 'no match within the caliper' END AS error FROM e CROSS JOIN c)
+      SELECT ate, n, {_STATUS} AS status, 'shade' AS confounder_used, treatment_n, control_n, error,
+        CASE WHEN error IS NULL THEN format('Treatment effect: {{:+.3f}} on acctbal ({{}}, {{}} matched pairs, confounder: shade)', ate, {_STATUS}, n) END AS interpretation FROM d""",
     "causal_status": "SELECT range AS n, CASE WHEN range >= 30 THEN 'counterfactual_validated' WHEN range >= 10 THEN 'observational' ELSE 'hypothesis' END AS status FROM range(0, 41)",
     "balance": f"WITH {_NODES} SELECT round((avg(x) FILTER (treated) - avg(x) FILTER (NOT treated)) / sqrt((var_pop(x) FILTER (treated) + var_pop(x) FILTER (NOT treated)) / 2), 6) AS smd FROM nodes",
 }
