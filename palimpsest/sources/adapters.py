@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _after(minutes: Column) -> Column:
-    return F.lit(BASE).cast("timestamp_ntz") + F.make_dt_interval(mins=minutes.cast("int"))
+    return F.lit(BASE).cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(1)) * minutes
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
