@@ -197,8 +197,17 @@ def _id_filter(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold. Only texts of these pairs are cut into sets and shuffled."""
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if not len(x) or not len(y):
+        return False
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, found): the full sets of the texts that ``pairs`` (a, b) name, and of few others."""
     wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs))
     asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("at")).filter(F.col("id").isNotNull())
 
@@ -213,20 +222,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 
         return step
 
-    sets = map_texts(asked, cut, "id long, found binary")
+    return map_texts(asked, cut, "id long, found binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold. Only texts of these pairs are cut into sets and shuffled."""
+    sets = _sets(pairs, docs, id_col, text_col)
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("set_b")), "b")
 
     def compare():
         def step(batch: pa.RecordBatch) -> dict | None:
-            out: dict[str, list] = {"a": [], "b": []}
-            for a, b, x, y in zip(*(column(batch, c) for c in ("a", "b", "set_a", "set_b")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            return out if out["a"] else None
+            got = [
+                (a, b)
+                for a, b, x, y in zip(*(column(batch, c) for c in ("a", "b", "set_a", "set_b")), strict=True)
+                if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+            ]
+            return {"a": [g[0] for g in got], "b": [g[1] for g in got]} if got else None
 
         return step
 
@@ -235,22 +246,53 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 
 def _open_buckets(shared: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (bucket, rep, n, comp) of all buckets, and those buckets whose members lie in more than one component."""
-    rows = shared.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    rows = shared.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     rows = stage_table(rows, "bucketed")
     return rows, rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi and members > 2")
 
 
-def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, need: list[int], percent: int) -> DataFrame:
-    """Surviving pairs across components within open buckets, compared in blocks."""
+def _meeting(table: pa.Table, need: list[int], percent: int) -> tuple[dict[str, np.ndarray], list[tuple[int, np.ndarray]]]:
+    """(columns by rising rep, surviving pairs as (row, later rows)) of one task of an open bucket.
+
+    A pair that shares several bands is looked at in its first one only.
+    """
+    order = np.argsort(np.array(table["rep"].to_pylist()), kind="stable")
+    cols = {c: np.array(table[c].to_pylist(), np.int64)[order] for c in ("rep", "n", "comp", "mine", "out", "band")}
+    cols["order"] = order
+    rep, n, comp, mine, out = (cols[c] for c in ("rep", "n", "comp", "mine", "out"))
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)[order]
+    kind, i, j, whole = (table[c][0].as_py() for c in ("kind", "i", "j", "whole"))
+    pairs = []
+    for k in range(len(rep) - 1):
+        later = np.arange(k + 1, len(rep))
+        meet = (comp[later] != comp[k]) & (100 * np.minimum(n[later], n[k]) >= percent * np.maximum(n[later], n[k]))
+        if kind == 0:  # insiders with outsiders; the only block of outsiders also within itself, once
+            meet &= (out[later] != out[k]) | (whole and i == 0)
+        elif i != j:
+            meet &= mine[later] != mine[k]
+        later = later[meet]
+        if len(later):
+            later = later[surviving(np.broadcast_to(sig[k], (len(later), HASHES)), sig[later], need)]
+        if len(later):
+            same = (sig[later] == sig[k]).reshape(-1, BANDS, ROWS).all(2)
+            later = later[same.argmax(1) == cols["band"][k]]
+        if len(later):
+            pairs.append((k, later))
+    return cols, pairs
+
+
+def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, docs: DataFrame, need: list[int], percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) across components within open buckets, verified on full sets; pairs never leave their task."""
     parts = []
     for depth in range(DEPTH + 1):
         held = rows.join(open_.select("bucket", "members"), "bucket")
         here = held if depth == DEPTH else held.filter(F.col("members") <= SPLIT)
-        parts.append(here.select("bucket", "rep", "n", "comp", "members"))
+        parts.append(here.select("bucket", "band", "rep", "n", "comp", "members"))
         if depth == DEPTH or not open_.filter(F.col("members") > SPLIT).take(1):
             break
         large = held.filter(F.col("members") > SPLIT).join(reps.select("rep", "bands"), "rep")
-        rows = large.select(F.posexplode("bands").alias("band", "key"), "bucket", "rep", "n", "comp").select(F.xxhash64("bucket", "band", "key").alias("bucket"), "rep", "n", "comp")
+        rows = large.select(F.posexplode("bands").alias("next", "key"), "bucket", "band", "rep", "n", "comp").filter(F.col("next") != F.col("band"))
+        rows = rows.select(F.xxhash64("bucket", "next", "key").alias("bucket"), "band", "rep", "n", "comp")
         rows = stage_table(rows.distinct(), "split")
         open_ = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
     held = parts[0]
@@ -268,29 +310,43 @@ def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, need: list[int],
     among = F.when(blocks("n_out") > 1, F.transform(every("n_out"), lambda o: task(1, F.least("mine", o), F.greatest("mine", o)))).otherwise(F.filter(F.array(task(1, F.col("mine"), F.col("mine"))), lambda _: F.lit(False)))
     tasks = F.when(F.col("out"), F.concat(F.transform(every("n_in"), lambda i: task(0, i, F.col("mine"))), among)).otherwise(F.transform(every("n_out"), lambda o: task(0, F.col("mine"), o)))
     held = held.withColumn("mine", mine).withColumn("whole", blocks("n_out") == 1).withColumn("t", F.explode(tasks))
-    held = held.select("bucket", "t.*", "mine", "out", "whole", "rep", "n", "comp").join(reps.select("rep", "sig"), "rep")
+    held = stage_table(held.select("bucket", "t.*", "mine", "out", "whole", "band", "rep", "n", "comp").join(reps.select("rep", "sig"), "rep"), "met")
+    key = ["bucket", "kind", "i", "j"]
+
+    def ends(table: pa.Table) -> pa.Table:
+        """The rows of a task that have a surviving pair."""
+        cols, pairs = _meeting(table, need, percent)
+        some = np.unique(np.concatenate([np.r_[k, later] for k, later in pairs])) if pairs else np.zeros(0, np.int64)
+        return table.take(pa.array(cols["order"][some]))
+
+    near = stage_table(held.groupBy(*key).applyInArrow(ends, held.schema), "near")
+    sets = _sets(near.select(F.col("rep").alias("a"), F.col("rep").alias("b")), docs, id_col, text_col)
+    near = near.join(sets.select(F.col("id").alias("rep"), "found").dropDuplicates(["rep"]), "rep")
+
+    def check(table: pa.Table) -> pa.Table:
+        """Links that join components, each pair checked on its sets unless it is joined already."""
+        cols, pairs = _meeting(table, need, percent)
+        found = [np.frombuffer(x, np.uint64) for x in table["found"].to_pylist()]
+        comp, order = cols["comp"].tolist(), cols["order"]
+        root = {c: c for c in comp}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
 
-    def compare(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(table["rep"].to_pylist()), kind="stable")
-        rep, n, comp, mine, out = (np.array(table[c].to_pylist(), np.int64)[order] for c in ("rep", "n", "comp", "mine", "out"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, HASHES)[order]
-        kind, i, j, whole = (table[c][0].as_py() for c in ("kind", "i", "j", "whole"))
         a_out, b_out = [], []
-        for k in range(len(rep) - 1):
-            later = np.arange(k + 1, len(rep))
-            meet = (comp[later] != comp[k]) & (100 * np.minimum(n[later], n[k]) >= percent * np.maximum(n[later], n[k]))
-            if kind == 0:  # insiders with outsiders; the only block of outsiders also within itself, once
-                meet &= (out[later] != out[k]) | (whole and i == 0)
-            elif i != j:
-                meet &= mine[later] != mine[k]
-            later = later[meet]
-            if len(later):
-                got = later[surviving(np.broadcast_to(sig[k], (len(later), HASHES)), sig[later], need)]
-                a_out += [int(rep[k])] * len(got)
-                b_out += rep[got].tolist()
-        return pa.table({"a": pa.array(b_out, pa.int64()), "b": pa.array(a_out, pa.int64())})
-
-    return held.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        for k, later in pairs:
+            for m in later.tolist():
+                x, y = top(comp[k]), top(comp[m])
+                if x != y and alike(found[order[k]], found[order[m]], percent):
+                    root[x] = y
+                    a_out.append(int(cols["rep"][m]))
+                    b_out.append(int(cols["rep"][k]))
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return near.groupBy(*key).applyInArrow(check, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,7 +357,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     classes = some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("x"))
     classes = stage_table(classes.select("class", "rep", F.col("x.n_shingles").alias("n"), "x.sig", "x.bands"), "classes")
     reps = classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")) if _repeated(classes) else classes.select("rep", "n", "sig", "bands")
-    banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n").select(F.xxhash64("band", "key").alias("bucket"), "rep", "n")
+    banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n").select(F.xxhash64("band", "key").alias("bucket"), "band", "rep", "n")
     heads = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.max("rep").alias("last")).filter("head.rep <> last")
     shared = stage_table(banded.join(heads.select("bucket", "head"), "bucket"), "buckets")
     fits = F.col("n") * 100 >= percent * F.col("head.n")
@@ -312,11 +368,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     # one id with several texts links their classes
     known = stage_table(connected_components(links), "components")
     rows, open_ = _open_buckets(shared, known)
-    second = stage_table(_across(rows, stage_table(open_, "open"), reps, need, percent), "pairs")
-    if second.take(1):
-        more = stage_table(_verified(second, docs, id_col, text_col, percent), "links")
-        if more.take(1):
-            known = stage_table(connected_components(links.unionByName(more)), "components")
+    more = stage_table(_across(rows, stage_table(open_, "open"), reps, docs, need, percent, id_col, text_col), "links")
+    if more.take(1):
+        known = stage_table(connected_components(links.unionByName(more)), "components")
     named = sketched.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
     named = named.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
