@@ -67,9 +67,11 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id")))
 
 
-def graph_relations(spark: SparkSession, sf_dir: str, most: int = 1) -> DataFrame:
-    """(event_type, source, target): lines of a quantity up to ``most``, those not returned added, those returned removed."""
-    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") <= most) & F.col("l_returnflag").isin("N", "R"))
+def graph_relations(spark: SparkSession, sf_dir: str, most: int | None = 1) -> DataFrame:
+    """(event_type, source, target): lines of a quantity up to ``most``, or all, those not returned added, those returned removed."""
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("N", "R"))
+    if most is not None:
+        lines = lines.filter(F.col("l_quantity") <= most)
     return lines.select(
         F.when(F.col("l_returnflag") == "N", "relation_added").otherwise("relation_removed").alias("event_type"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"),
