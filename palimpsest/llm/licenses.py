@@ -3,7 +3,8 @@
 Texts become lower-case words joined by single spaces. Rules are regular
 expressions over that form: license names in several forms of reference, and
 sentences of license texts. A text is looked at only if it has one of the gate
-words, and a rule is tried only if the text has the rule's own keyword.
+words or a match of a form that needs none of them, and a rule is tried only if
+the text has one of the rule's own keywords.
 Detections are intervals of words; one that lies within another of higher
 priority (or the same interval, found by an earlier rule) is suppressed.
 
@@ -24,7 +25,7 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _V = r"(?: (?:version |v)?{0})"
-#: label, identifier in words, name (a regular expression over words), keyword.
+#: label, identifier in words, name (a regular expression over words), keyword; or two, parted by a bar.
 NAMES = (
     ("mit", "mit", r"mit", "mit"),
     ("mit-0", "mit 0", r"mit no attribution", "no attribution"),
@@ -32,9 +33,9 @@ NAMES = (
     ("isc", "isc", r"isc", "isc"),
     ("apache-1.1", "apache 1 1", r"apache(?: software)? license" + _V.format("1 1"), "apache"),
     ("apache-2.0", "apache 2 0", r"apache(?: software)?(?: license)?" + _V.format("2(?: 0)?"), "apache"),
-    ("bsd-2-clause", "bsd 2 clause", r"(?:simplified bsd|freebsd|(?:bsd )?2 clause(?: bsd)?)", "bsd"),
-    ("bsd-3-clause", "bsd 3 clause", r"(?:new bsd|modified bsd|revised bsd|(?:bsd )?3 clause(?: bsd)?)", "bsd"),
-    ("bsd-4-clause", "bsd 4 clause", r"(?:original bsd|(?:bsd )?4 clause(?: bsd)?)", "bsd"),
+    ("bsd-2-clause", "bsd 2 clause", r"(?:simplified bsd|freebsd|(?:bsd )?2 clause(?: bsd)?)", "bsd|2 clause"),
+    ("bsd-3-clause", "bsd 3 clause", r"(?:new bsd|modified bsd|revised bsd|(?:bsd )?3 clause(?: bsd)?)", "bsd|3 clause"),
+    ("bsd-4-clause", "bsd 4 clause", r"(?:original bsd|(?:bsd )?4 clause(?: bsd)?)", "bsd|4 clause"),
     ("bsd", "bsd", r"bsd", "bsd"),
     ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd)", "bsd"),
     ("gpl-2.0", "gpl 2 0(?: only| or later)?", r"(?:gnu )?(?:gpl|general public license)" + _V.format("2(?: 0)?"), "g"),
@@ -106,7 +107,9 @@ TEXTS = (
     ("wtfpl", r"you just do what the fuck you want to", "fuck", 700, 1.0),
     ("python-2.0", r"psf is making python available to licensee on an as is basis", "psf", 700, 1.0),
 )
-#: A text without any of these is not looked at: every form has the first or the second, every sentence one of them.
+#: Forms with variants that have no gate word ("see the gpl for", "distributed subject to the gpl").
+UNGATED = ("grant", "notice")
+#: A text without any of these is looked at only for a match of an UNGATED form; other forms and every sentence have one of them.
 GATES = ("licen", "spdx", "under ", "terms", "conditions of", "provisions of", "covered by", "governed", "permission", "redistribut", "endorse", "advertising", "option", "remotely", "unencumbered", "deed", "liable", "public domain", "unauthorized", "confidential", "fuck")
 
 
@@ -119,6 +122,12 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return sorted(out, key=lambda r: -r[3])
 
 
+def ungated() -> str:
+    """An expression for what the UNGATED forms find, whatever the name."""
+    names = "(?:" + "|".join(n[2] for n in NAMES) + ")"
+    return " (?:" + "|".join(shape.replace("{name}", names) for form, shape, *_ in FORMS if form in UNGATED) + ") "
+
+
 def words_of(text: Column) -> Column:
     """Lower-case words joined by single spaces; '' without any.
 
@@ -149,12 +158,15 @@ def _places(padded: Column, expression: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: words, base phrases' places and labels, all labels, the surest detection's confidence."""
     table = F.array(*[
-        F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(key).alias("key"), F.lit(priority).alias("priority"), F.lit(sure).alias("sure"))
+        F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(key.partition("|")[0]).alias("key"), F.lit(key.partition("|")[2] or None).cast("string").alias("other_key"), F.lit(priority).alias("priority"), F.lit(sure).alias("sure"))
         for i, (label, regex, key, priority, sure) in enumerate(rules())
     ])
     words = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     gate = reduce(lambda a, b: a | b, [F.contains("words", F.lit(g)) for g in GATES])
-    words = words.select("doc_id", F.when(F.col("words") == "", 0).otherwise(_spaces(F.col("words")) + 1).cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), "words", F.lit(" "))).alias("padded"))
+    padded = F.concat(F.lit(" "), "words", F.lit(" "))
+    gate = gate | F.rlike(padded, F.lit(ungated()))
+    words = words.select("doc_id", F.when(F.col("words") == "", 0).otherwise(_spaces(F.col("words")) + 1).cast("long").alias("n_words"), F.when(gate, padded).alias("padded"))
+
     def hits(phrase: str, label: str) -> Column:
         return F.transform(_places(F.col("padded"), F.lit(phrase)), lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label")))
 
@@ -163,7 +175,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def detect(rule: Column) -> Column:
         return F.transform(_places(F.col("padded"), rule["regex"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["sure"].alias("sure")))
 
-    found = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("padded"), r["key"])), detect))
+    found = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("padded"), r["key"]) | F.contains(F.col("padded"), r["other_key"])), detect))
     out = words.withColumn("base", F.when(F.contains("padded", F.lit("license")), base)).withColumn("found", F.when(F.col("padded").isNotNull(), found))
 
     def suppressed(x: Column) -> Column:
