@@ -8,8 +8,8 @@ kernel ridge regression is fitted; ridge weights and landmarks fold into one
 matrix of DIMS x languages, so a batch of texts is scored by one product of its
 presence matrix with it.
 
-Fitting takes a bounded sample: about ``per_language`` labelled texts of each
-language, chosen by a hash of the id, each collected as a bit set of DIMS bits.
+Fitting takes a bounded sample: about ``per_language`` labelled texts of every
+language there is, chosen by a hash of the id, each collected as a bit set of DIMS bits.
 
 A text that is null, empty or without any letter is ``und`` with score 0. Ties
 go to the language that sorts first. Whole texts are read; case is folded, and
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, map_texts
@@ -35,6 +35,8 @@ LETTER = re.compile(r"[^\W\d_]")
 #: Turns differences of ridge scores into shares; scores lie about 0 and 1.
 SHARPNESS = 12.0
 BATCH = 64
+#: Landmarks a language has at least, if it has as many texts.
+LEAST = 3
 
 _FOLD: np.ndarray | None = None
 
@@ -98,23 +100,27 @@ class LanguageModel:
 
 
 def fit(bits: np.ndarray, labels: list[str], landmarks: int = 192, ridge: float = 0.3) -> LanguageModel:
-    """From presence rows (n x DIMS, booleans) and their languages; landmarks are dealt out over the languages."""
+    """From presence rows (n x DIMS, booleans) and their languages; landmarks are dealt out over the languages, ``LEAST`` to each at least."""
     languages = sorted(set(labels))
+    landmarks = max(landmarks, LEAST * len(languages))
     if not languages:
         return LanguageModel([], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32))
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = rows.astype(np.float32)
+        return x / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+
     y = np.array([[lang == one for one in languages] for lang in labels], np.float64)
     turn: dict[str, int] = {}
     order = []
     for i, lang in enumerate(labels):
         turn[lang] = turn.get(lang, -1) + 1
         order.append((turn[lang], i))
-    chosen = x[[i for _, i in sorted(order)[:landmarks]]]
+    chosen = unit(bits[[i for _, i in sorted(order)[:landmarks]]])
     value, vector = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    z = (x @ chosen.T).astype(np.float64) @ root
+    z = np.concatenate([(unit(bits[i : i + 1024]) @ chosen.T).astype(np.float64) @ root for i in range(0, len(bits), 1024)])
     # every language weighs the same, however many texts of it the sample has
     w = (1.0 / (y.sum(0) * len(languages)))[y.argmax(1)] * len(y)
     mean, middle = (w[:, None] * z).sum(0) / w.sum(), (w[:, None] * y).sum(0) / w.sum()
@@ -127,19 +133,25 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on about ``per_language`` texts of each language (at most 64 languages' worth of rows), held-out ids left out.
+def _draw(id_col: Column) -> Column:
+    return F.pmod(F.xxhash64(id_col, F.lit("langid")), F.lit(1 << 30))
+
+
+def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 25_600) -> LanguageModel:
+    """Fit on about ``per_language`` texts of each language, held-out ids left out; on fewer of each, though one at least, where that makes more than ``most``.
 
-    The sample's ids are chosen from ids and labels alone; rows travel as DIMS bits each.
+    Every language with a lettered text is learned. Ids are chosen from ids and labels alone; rows travel as DIMS bits each.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64)
-    rate = {r[0]: min(1.0, per_language / r[1]) for r in counts.collect()}
-    if not rate:
+    lettered = known.filter(F.col(text_col).rlike(r"[\p{L}\p{Nl}\p{No}]"))  # as LETTER
+    counts = lettered.groupBy(lang_col).agg(F.count("*").alias("n"), F.min(_draw(F.col(id_col))).alias("least")).collect()
+    if not counts:
         return fit(np.zeros((0, DIMS), bool), [])
-    coin = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    per_language = min(per_language, max(1, most // len(counts)))
+    # the text of the least draw is always in
+    rate = {r[0]: max(min(1.0, per_language / r[1]) * (1 << 30), r[2] + 1.0) for r in counts}
     keep = F.create_map(*[F.lit(x) for pair in rate.items() for x in pair])
-    sample = known.filter(coin < F.coalesce(F.try_element_at(keep, F.col(lang_col)), F.lit(0.0)))
+    sample = lettered.filter(_draw(F.col(id_col)) < F.try_element_at(keep, F.col(lang_col)))
 
     def kernel():
         def step(batch: pa.RecordBatch) -> dict | None:
@@ -154,7 +166,10 @@ def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
         return step
 
     bits = map_texts(sample.select(id_col, lang_col, text_col), kernel, "id long, lang string, bits binary", text_col)
-    rows = sorted(bits.limit(2 * per_language * len(rate)).collect(), key=lambda r: (r["id"] is None, r["id"], r["bits"]))
+    # rows without ids, or of one id, have one draw: bounded within their language, so that no other goes without
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(_draw(F.col("id")), "id", "bits"))
+    bits = bits.withColumn("place", place).filter(F.col("place") <= 2 * per_language)
+    rows = sorted(bits.collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["bits"]))
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), DIMS // 8)
     return fit(np.unpackbits(packed, axis=1).astype(bool), [r["lang"] for r in rows])
 
