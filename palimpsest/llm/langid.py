@@ -192,15 +192,19 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 
 def determined(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` whose language can be told, with all their columns: what is ``und`` goes."""
+    """``docs`` whose language can be told, with all their columns: what is ``und`` goes.
+
+    Where no language was learned, that is what has no letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel():
         m = shared.value
 
         def step(batch: pa.RecordBatch) -> dict | None:
-            keep = pa.array([n != UNDETERMINED for n in m.predict(column(batch, text_col))[0]])
-            kept = batch.filter(keep)
+            texts = column(batch, text_col)
+            keep = [n != UNDETERMINED for n in m.predict(texts)[0]] if m.languages else [bool(t and LETTER.search(t)) for t in texts]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
             return {n: kept.column(i) for i, n in enumerate(kept.schema.names)} if kept.num_rows else None
 
         return step
