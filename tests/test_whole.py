@@ -37,3 +37,11 @@ def test_graph_takes_every_line(spark, sf_dir, graph):
     (report,) = run("analyze_structure_all")
     assert (report.total_nodes, report.connected_components, report.isolated) == (len(nodes), len(set(component.values())), sum(not x for x in near.values()))
     assert report.bottlenecks == ",".join(sorted(narrow)[:10])
+
+
+def test_commands_ask_for_every_memory(spark, sf_dir):
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    for name, states in (("forget_command_all", {"forgotten", "already_forgotten", "not_found"}), ("update_command_all", {"updated", "error"})):
+        got = plans.queries()[name](spark, sf_dir).collect()
+        assert ids < {r.id for r in got}
+        assert {r.status for r in got} == states
