@@ -1,4 +1,4 @@
-"""Counts over all tables, as (name, value) rows."""
+"""Counts over memories and over events, a row each; constraints and causal results are not counted."""
 
 from __future__ import annotations
 

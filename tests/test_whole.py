@@ -45,3 +45,11 @@ def test_commands_ask_for_every_memory(spark, sf_dir):
         got = plans.queries()[name](spark, sf_dir).collect()
         assert ids < {r.id for r in got}
         assert {r.status for r in got} == states
+
+
+@pytest.mark.parametrize("name", ["mobius_add_all", "exp_map_all"])
+def test_vectors_come_whole(spark, sf_dir, name):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    got = plans.queries()[name](spark, sf_dir).collect()
+    assert len(got) == 64 * n
+    assert {r.place for r in got} == set(range(64))
