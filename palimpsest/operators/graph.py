@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import stage_table
+from ..sources.store import discard, stage_table
 
 MAX_ROUNDS = 60
+#: Links a task holds in a round: small graphs are few files.
+TASK_LINKS = 500_000
 METHOD = "degrees and connected components"
 
 
@@ -45,7 +47,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = _canonical(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stage_table(_canonical(small), "links")
+        old, edges = edges, stage_table(_canonical(small).coalesce(1 + mark[0] // TASK_LINKS), "links")
+        discard(old)
         if (now := _mark(edges)) == mark:
             break
         mark = now
