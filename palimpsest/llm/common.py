@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..sources.store import shared_dir, stage_table
+from ..sources.store import discard, shared_dir, stage_table
 
-__all__ = ["column", "documents", "map_texts", "shared_dir", "slices", "stage_table", "unit_hash"]
+__all__ = ["column", "discard", "documents", "map_texts", "shared_dir", "slices", "stage_table", "unit_hash"]
 
 #: Text bytes handed to a kernel at once; a single longer text is a batch by itself.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batch: pa.RecordBatch, text: str, budget: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds at most ``budget`` bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, text: str | None, budget: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds at most ``budget`` bytes of text (one row at least); whole without a text column."""
+    if text is None:
+        yield batch
+        return
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
@@ -39,7 +42,7 @@ def slices(batch: pa.RecordBatch, text: str, budget: int = BATCH_BYTES) -> Itera
 
 
 def map_texts(
-    df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]], schema: str | StructType, text: str = "text"
+    df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]], schema: str | StructType, text: str | None = "text"
 ) -> DataFrame:
     """Run ``kernel()`` once a task; what it returns maps slices of the batches to columns of ``schema``."""
     arrow = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))

@@ -1,41 +1,49 @@
 """Near-duplicate detection: MinHash bands, sequential Bayesian pruning, exact checks.
 
 Texts become sets of 5-word shingles (64-bit hashes of the words' bytes, letters
-A-Z folded). Equal sets form one class first, so copies never meet as pairs.
-Class representatives are sketched by ``HASHES`` minima; those of ``ROWS`` make
-a band, and classes that share a band's key are candidates.
+A-Z folded; equal hashes count as equal words). Equal sets form one class first,
+so copies never meet as pairs. Class representatives are sketched by ``HASHES``
+minima; those of ``ROWS`` make a band, and classes that share a band's key are
+candidates.
 
 Candidates are checked in two passes. In the first, each bucket's smallest
 member is compared with all others: as many pairs as rows. What that links forms
 components; buckets whose members all lie in one are done. In the second, the
-members of the remaining buckets travel once with their signatures, in blocks,
-and all pairs across components are compared within a task, where only those
-that survive are written. Buckets too large for that are first split by a
-second (and third) band: similar texts agree on many.
+members of the remaining buckets, whatever their number, are dealt into blocks
+of a bounded size; every two blocks meet in a task of their own, where all pairs
+across components are compared and only rows of surviving pairs are written.
 
 A comparison looks at ``LOOK`` hashes at a time and stops once the posterior
 probability, under a uniform prior, that the similarity reaches the threshold
-is below ``MISS``. Survivors are checked on their full shingle sets.
+is below ``MISS``. Survivors are checked on their full shingle sets, which
+travel once a task, never once a pair.
 
 With 32 bands of 4 rows a pair of similarity 0.75 shares no band with
-probability 5e-6; one that meets in a split bucket only, with 8e-5.
+probability 5e-6, in buckets of any size.
+
+Whole texts are moved by no step: which rows a table of ids names is told by
+filters that are sized to the ids (``IdLevels``).
 
 Texts without words (null, empty, white space) have an empty set and link with
-nothing; fewer than 5 words make one shingle. Rows of one id are one document.
-Rows without an id stand alone.
+nothing; fewer than 5 words make one shingle. Rows of one id are one document:
+its texts' classes are linked, and ``deduplicated`` keeps one row of it, that of
+the least hash. Rows without an id stand alone: no component, kept. Ties and
+order don't matter, as components are named by their least id; an empty table
+gives an empty result, and other columns are neither read nor changed.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from .common import column, map_texts, stage_table
+from ..operators.graph import TASK_LINKS, connected_components
+from .common import column, discard, map_texts, stage_table
 
 WORDS = 5
 PERCENT = 75
@@ -43,12 +51,10 @@ ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 LOOK = 16
 MISS = 1e-6
-#: Members of a bucket that are compared as one block; two blocks meet in a task.
-BLOCK = 512
-#: Members above which a bucket that isn't settled is split by another band, and how often.
-SPLIT, DEPTH = 4096, 2
-#: Bits of the filter of ids whose sets are needed: a fixed size, whatever the number of ids.
-FILTER_BITS = 1 << 23
+#: What a block of an open bucket, or a task that checks full sets, may hold: members, and shingles of theirs (8 bytes each).
+BLOCK, SHINGLES = 4096, 1 << 20
+#: Bits an id gets in a filter, ids above which one is used at all, and the largest filter (32 MB); beyond it more rows pass, and joins decide.
+ID_BITS, FEW_IDS, MOST_BITS = 8, 100_000, 1 << 28
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,28 +178,114 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _pruned(pairs: DataFrame, sigs: DataFrame, need: list[int]) -> DataFrame:
-    """Pairs (a, b) whose signatures survive; a hot ``b`` is split by the skew handling of the join."""
+    """Pairs (a, b, n of a) whose signatures survive; a hot ``b`` is split by the skew handling of the join."""
     rows = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def kernel():
         def step(batch: pa.RecordBatch) -> dict | None:
             x, y = (np.frombuffer(b"".join(column(batch, c)), np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
             keep = surviving(x, y, need)
-            return {c: np.array(column(batch, c), np.int64)[keep] for c in ("a", "b")} if len(keep) else None
+            return {c: np.array(column(batch, c), np.int64)[keep] for c in ("a", "b", "n")} if len(keep) else None
 
         return step
 
-    return map_texts(rows.select("a", "b", "sig_a", "sig_b"), kernel, "a long, b long", "sig_a")
+    return map_texts(rows.select("a", "b", "n", "sig_a", "sig_b"), kernel, "a long, b long, n long", "sig_a")
+
+
+def _spots(ids: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of each id among ``size`` (a power of two), others at each level."""
+    h = _mixed(ids.view(np.uint64) + np.uint64((level + 1) * _BASE & (1 << 64) - 1))
+    return h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)
+
+
+def _bits(ids: DataFrame, n: int, level: int) -> np.ndarray:
+    """A filter of ``n`` ids (id): words of 64 bits, made in parts and joined by word."""
+    size = min(MOST_BITS, max(1 << 10, 1 << (ID_BITS * n - 1).bit_length()))
 
+    def kernel():
+        def step(batch: pa.RecordBatch) -> dict:
+            at = np.unique(np.concatenate(_spots(np.array(column(batch, "id"), np.int64), level, size)))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            return {"word": word.view(np.int64), "bits": bits.view(np.int64)}
+
+        return step
 
-def _id_filter(pairs: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS that holds every id of ``pairs``; others pass it seldom while ids are few."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(F.floor(at / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for row in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
-        out[row["word"]] = row["bits"]
+    words = map_texts(ids.select("id"), kernel, "word long, bits long", None).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+@dataclass
+class IdLevels:
+    """Which ids of a table are named, told from filters in turn: what passes one is sure only if the next doesn't hold it.
+
+    Level 0 has the named ids, level 1 the other ids of the table that level 0 lets through, level 2 the named ones that
+    level 1 lets through, and so on; ``last`` are the few ids of the level after, as they are. So every id of the table is
+    told exactly. Where ``sure`` is False there is one level alone, and an id that passes it may be either.
+    """
+
+    levels: list[np.ndarray] = field(default_factory=list)
+    last: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sure: bool = True
+
+    def passes(self, ids: np.ndarray, level: int) -> np.ndarray:
+        bits = self.levels[level]
+        a, b = _spots(ids, level, 64 * len(bits))
+        has = lambda at: (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        return (has(a) & has(b)).astype(bool)
+
+    def named(self, ids: np.ndarray) -> np.ndarray:
+        """Which ids are named."""
+        out = np.zeros(len(ids), bool)
+        live = np.arange(len(ids))
+        for k in range(len(self.levels)):
+            live = live[self.passes(ids[live], k)]
+            out[live] = k % 2 == 0
+        if self.sure:
+            live = live[np.isin(ids[live], self.last)]
+            out[live] = len(self.levels) % 2 == 0
+        return out
+
+    def keep(self, ids: DataFrame, level: int) -> DataFrame:
+        """The rows of ``ids`` (id) that a level lets through."""
+        shared = ids.sparkSession.sparkContext.broadcast(self)
+
+        def kernel():
+            of = shared.value
+
+            def step(batch: pa.RecordBatch) -> dict:
+                got = np.array(column(batch, "id"), np.int64)
+                return {"id": got[of.passes(got, level)]}
+
+            return step
+
+        return map_texts(ids.select("id"), kernel, "id long", None)
+
+
+def first_level(ids: DataFrame) -> IdLevels:
+    """One filter that lets through the ids of ``ids`` (id), and few others while it isn't full."""
+    n = ids.count()
+    if n <= FEW_IDS:
+        return IdLevels([], np.unique(ids.toArrow()["id"].to_numpy()))
+    return IdLevels([_bits(ids, n, 0)], sure=False)
+
+
+def id_levels(named: DataFrame, others: DataFrame) -> IdLevels:
+    """Levels that tell ``named`` (id) from ``others`` (id) exactly; only the first, and not sure, where one would be over MOST_BITS."""
+    out, sets, spare = IdLevels(), [named, others], []
+    while (n := sets[0].count()) > FEW_IDS:
+        full = ID_BITS * n > MOST_BITS
+        if not (full and out.levels):
+            out.levels.append(_bits(sets[0], n, len(out.levels)))
+        if full:
+            discard(*spare)
+            return IdLevels(out.levels[:1], sure=False)
+        sets = [stage_table(out.keep(sets[1], len(out.levels) - 1), "ids"), sets[0]]
+        spare.append(sets[0])
+    out.last = np.unique(sets[0].toArrow()["id"].to_numpy())
+    discard(*spare)
     return out
 
 
@@ -206,17 +298,16 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, found): the full sets of the texts that ``pairs`` (a, b) name, and of few others."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs))
-    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("at")).filter(F.col("id").isNotNull())
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, found): the full sets of the texts that ``ids`` (id) names, and of few others."""
+    wanted = docs.sparkSession.sparkContext.broadcast(first_level(ids))
+    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
 
     def cut():
-        bits = wanted.value
+        levels = wanted.value
 
         def step(batch: pa.RecordBatch) -> dict | None:
-            at = np.array(column(batch, "at"), np.int64)
-            part = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+            part = batch.filter(pa.array(levels.named(np.array(column(batch, "id"), np.int64))))
             found = [shingles(t).tobytes() for t in column(part, "text")]
             return {"id": column(part, "id"), "found": found} if found else None
 
@@ -226,29 +317,36 @@ def _sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold. Only texts of these pairs are cut into sets and shuffled."""
-    sets = _sets(pairs, docs, id_col, text_col)
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("set_b")), "b")
-
-    def compare():
-        def step(batch: pa.RecordBatch) -> dict | None:
-            got = [
-                (a, b)
-                for a, b, x, y in zip(*(column(batch, c) for c in ("a", "b", "set_a", "set_b")), strict=True)
-                if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-            ]
-            return {"a": [g[0] for g in got], "b": [g[1] for g in got]} if got else None
+    """Pairs (a, b; n of a) whose full sets reach the threshold.
 
-        return step
+    The partners of one ``b`` are dealt into tasks of bounded size, and its set travels once a task. Partners have at
+    least three quarters of its shingles, so that this at most doubles what moves.
+    """
+    load = pairs.groupBy("b").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("tasks"))
+    dealt = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), "tasks").cast("int").alias("task"))
+    asked = stage_table(dealt.unionByName(dealt.select(F.col("b").alias("a"), "b", "task").distinct()), "asked")
+    sets = _sets(asked.select(F.col("a").alias("id")).distinct(), docs, id_col, text_col)
+    rows = asked.join(sets.withColumnRenamed("id", "a"), "a")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table["a"].to_pylist()
+        found = [np.frombuffer(x, np.uint64) for x in table["found"].to_pylist()]
+        b = table["b"][0].as_py()
+        heads = [x for i, x in zip(ids, found, strict=True) if i == b]
+        got = sorted({i for i, x in zip(ids, found, strict=True) if i != b and any(alike(x, y, percent) for y in heads)})
+        return pa.table({"a": pa.array(got, pa.int64()), "b": pa.array([b] * len(got), pa.int64())})
 
-    return map_texts(rows.select("a", "b", "set_a", "set_b"), compare, "a long, b long", "set_a")
+    out = stage_table(rows.groupBy("b", "task").applyInArrow(compare, "a long, b long"), "verified")
+    discard(asked)
+    return out
 
 
 def _open_buckets(shared: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (bucket, rep, n, comp) of all buckets, and those buckets whose members lie in more than one component."""
+    """Rows (bucket, band, rep, n, comp) of all buckets, and those buckets whose members lie in more than one component."""
     rows = shared.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     rows = stage_table(rows, "bucketed")
-    return rows, rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi and members > 2")
+    # the component of the smallest member is the bucket's core
+    return rows, rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min(F.struct("rep", "comp")).alias("least")).filter("lo <> hi and members > 2").select("bucket", F.col("least.comp").alias("core"))
 
 
 def _meeting(table: pa.Table, need: list[int], percent: int) -> tuple[dict[str, np.ndarray], list[tuple[int, np.ndarray]]]:
@@ -283,33 +381,17 @@ def _meeting(table: pa.Table, need: list[int], percent: int) -> tuple[dict[str,
 
 def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, docs: DataFrame, need: list[int], percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) across components within open buckets, verified on full sets; pairs never leave their task."""
-    parts = []
-    for depth in range(DEPTH + 1):
-        held = rows.join(open_.select("bucket", "members"), "bucket")
-        here = held if depth == DEPTH else held.filter(F.col("members") <= SPLIT)
-        parts.append(here.select("bucket", "band", "rep", "n", "comp", "members"))
-        if depth == DEPTH or not open_.filter(F.col("members") > SPLIT).take(1):
-            break
-        large = held.filter(F.col("members") > SPLIT).join(reps.select("rep", "bands"), "rep")
-        rows = large.select(F.posexplode("bands").alias("next", "key"), "bucket", "band", "rep", "n", "comp").filter(F.col("next") != F.col("band"))
-        rows = rows.select(F.xxhash64("bucket", "next", "key").alias("bucket"), "band", "rep", "n", "comp")
-        rows = stage_table(rows.distinct(), "split")
-        open_ = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-    held = parts[0]
-    for p in parts[1:]:
-        held = held.unionByName(p)
     # Insiders share the component of the bucket's smallest member and need not meet each other; outsiders meet all.
-    core = held.groupBy("bucket").agg(F.min_by("comp", "rep").alias("core"))
-    held = held.join(core, "bucket").withColumn("out", F.col("comp") != F.col("core"))
-    size = held.groupBy("bucket").agg(F.count_if(~F.col("out")).alias("n_in"), F.count_if("out").alias("n_out"))
-    held = stage_table(held.join(size, "bucket").filter("n_out > 0").drop("core", "members"), "members")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("out"), blocks("n_out")).otherwise(blocks("n_in"))).cast("int")
+    held = rows.join(open_, "bucket").withColumn("out", F.col("comp") != F.col("core")).drop("core")
+    blocks = lambda who: F.greatest(F.ceil(F.count_if(who) / BLOCK), F.ceil(F.sum(F.when(who, F.col("n")).otherwise(0)) / SHINGLES)).cast("int")
+    size = held.groupBy("bucket").agg(blocks(~F.col("out")).alias("n_in"), blocks(F.col("out")).alias("n_out"))
+    held = held.join(size, "bucket")
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("n_out")).otherwise(F.col("n_in"))).cast("int")
     task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
-    among = F.when(blocks("n_out") > 1, F.transform(every("n_out"), lambda o: task(1, F.least("mine", o), F.greatest("mine", o)))).otherwise(F.filter(F.array(task(1, F.col("mine"), F.col("mine"))), lambda _: F.lit(False)))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    among = F.when(F.col("n_out") > 1, F.transform(every("n_out"), lambda o: task(1, F.least("mine", o), F.greatest("mine", o)))).otherwise(F.filter(F.array(task(1, F.col("mine"), F.col("mine"))), lambda _: F.lit(False)))
     tasks = F.when(F.col("out"), F.concat(F.transform(every("n_in"), lambda i: task(0, i, F.col("mine"))), among)).otherwise(F.transform(every("n_out"), lambda o: task(0, F.col("mine"), o)))
-    held = held.withColumn("mine", mine).withColumn("whole", blocks("n_out") == 1).withColumn("t", F.explode(tasks))
+    held = held.withColumn("mine", mine).withColumn("whole", F.col("n_out") == 1).withColumn("t", F.explode(tasks))
     held = stage_table(held.select("bucket", "t.*", "mine", "out", "whole", "band", "rep", "n", "comp").join(reps.select("rep", "sig"), "rep"), "met")
     key = ["bucket", "kind", "i", "j"]
 
@@ -320,7 +402,9 @@ def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, docs: DataFrame,
         return table.take(pa.array(cols["order"][some]))
 
     near = stage_table(held.groupBy(*key).applyInArrow(ends, held.schema), "near")
-    sets = _sets(near.select(F.col("rep").alias("a"), F.col("rep").alias("b")), docs, id_col, text_col)
+    discard(held)
+    met = near
+    sets = _sets(near.select(F.col("rep").alias("id")).distinct(), docs, id_col, text_col)
     near = near.join(sets.select(F.col("id").alias("rep"), "found").dropDuplicates(["rep"]), "rep")
 
     def check(table: pa.Table) -> pa.Table:
@@ -346,35 +430,42 @@ def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, docs: DataFrame,
                     b_out.append(int(cols["rep"][k]))
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return near.groupBy(*key).applyInArrow(check, "a long, b long").distinct()
+    out = stage_table(near.groupBy(*key).applyInArrow(check, "a long, b long").distinct(), "links")
+    discard(met)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept: one row a row of ``docs``, a staged table."""
     need = least_matches(percent, miss)
     sketched = stage_table(sketches(docs, id_col, text_col), "sketches")
     some = sketched.filter("doc_id is not null and class is not null")
     classes = some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("x"))
     classes = stage_table(classes.select("class", "rep", F.col("x.n_shingles").alias("n"), "x.sig", "x.bands"), "classes")
     reps = classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")) if _repeated(classes) else classes.select("rep", "n", "sig", "bands")
-    banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n").select(F.xxhash64("band", "key").alias("bucket"), "band", "rep", "n")
+    banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n").select(F.xxhash64("band", "key").alias("bucket"), F.col("band").cast("byte").alias("band"), "rep", "n")
     heads = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.max("rep").alias("last")).filter("head.rep <> last")
     shared = stage_table(banded.join(heads.select("bucket", "head"), "bucket"), "buckets")
     fits = F.col("n") * 100 >= percent * F.col("head.n")
     fits &= F.col("head.n") * 100 >= percent * F.col("n")
-    pairs = shared.filter((F.col("rep") != F.col("head.rep")) & fits).select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct()
+    pairs = shared.filter((F.col("rep") != F.col("head.rep")) & fits).groupBy(F.col("rep").alias("a"), F.col("head.rep").alias("b")).agg(F.max("n").alias("n"))
     first = stage_table(_pruned(pairs, reps, need), "pairs")
-    links = stage_table(_verified(first, docs, id_col, text_col, percent), "links")
+    links = _verified(first, docs, id_col, text_col, percent)
     # one id with several texts links their classes
-    known = stage_table(connected_components(links), "components")
+    known = stage_table(connected_components(links).coalesce(1 + links.count() // TASK_LINKS), "components")
     rows, open_ = _open_buckets(shared, known)
-    more = stage_table(_across(rows, stage_table(open_, "open"), reps, docs, need, percent, id_col, text_col), "links")
+    open_ = stage_table(open_, "open")
+    more = _across(rows, open_, reps, docs, need, percent, id_col, text_col)
+    spare = [shared, first, rows, open_, links, more]
     if more.take(1):
-        known = stage_table(connected_components(links.unionByName(more)), "components")
+        spare.append(known)
+        known = stage_table(connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     named = sketched.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
     named = named.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    out = stage_table(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "groups")
+    discard(*spare, sketched, classes, known)
+    return out
 
 
 def _repeated(classes: DataFrame) -> bool:
@@ -383,10 +474,44 @@ def _repeated(classes: DataFrame) -> bool:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with all their columns, one document of each group; rows without an id stay."""
-    found = stage_table(near_duplicates(docs, id_col=id_col, **how), "groups")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
-        left = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.filter(F.col(id_col).isNull()))
+    """``docs`` with all their columns, one document of each group and one row of each id; rows without an id stay.
+
+    ``docs`` is filtered where it is read. Only where an id has several rows are these few gathered, by id.
+    """
+    found = near_duplicates(docs, id_col=id_col, **how)
+    per = stage_table(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "ids")
+    gone = per.filter("not kept").select("id")
+    levels = id_levels(gone, per.filter("kept").select("id"))
+    left = _without(docs, levels, id_col)
+    if not levels.sure:  # more ids than a filter takes: rows that pass it are told apart by a join
+        left = left.unionByName(_without(docs, levels, id_col, named=True).join(gone, F.col(id_col) == gone["id"], "left_anti"))
+    if (again := per.filter("kept and n > 1").select("id")).take(1):
+        many = id_levels(again, per.filter("n = 1").select("id"))
+        cols = [F.col(f"`{c}`") for c in docs.columns]
+        rows = _without(left, many, id_col, named=True)
+        if not many.sure:
+            rows = rows.join(again, F.col(id_col) == again["id"], "left_semi")
+            rest = left.join(again, F.col(id_col) == again["id"], "left_anti")
+        else:
+            rest = _without(left, many, id_col)
+        one = rows.groupBy(F.col(id_col).alias("_of")).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_row"))
+        left = rest.unionByName(one.select("_row.*"))
     return left
+
+
+def _without(docs: DataFrame, levels: IdLevels, id_col: str, named: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose id isn't among those named, or only those whose id is; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def kernel():
+        of = shared.value
+
+        def step(batch: pa.RecordBatch) -> dict | None:
+            ids = batch.column(batch.schema.get_field_index(id_col))
+            some = of.named(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ~ids.is_null().to_numpy(zero_copy_only=False)
+            kept = batch.filter(pa.array(some if named else ~some))
+            return {n: kept.column(i) for i, n in enumerate(kept.schema.names)} if kept.num_rows else None
+
+        return step
+
+    return map_texts(docs, kernel, docs.schema, None)

@@ -92,11 +92,42 @@ def test_near_duplicate_families(spark):
     check_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
 
 
-def test_split_buckets(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SPLIT", 8)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+@pytest.mark.parametrize("most", [1 << 20, 64])
+def test_small_blocks_and_filters(spark, monkeypatch, most):
+    """Buckets of any size are compared whole, and full filters (64 bits) let more rows pass but change no result."""
+    for name, value in (("BLOCK", 4), ("SHINGLES", 500), ("FEW_IDS", 2), ("MOST_BITS", most)):
+        monkeypatch.setattr(neardup, name, value)
     texts = families(12)
-    check_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, id string")
+    check_groups(df, texts)
+    want, _ = brute_components(texts)
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(i, texts[i]) for i, c in want.items() if i == c]
+
+
+def test_id_levels_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW_IDS", 5)
+    rng = np.random.default_rng(4)
+    ids = rng.choice(1 << 40, 5000, replace=False) - (1 << 39)
+    frame = lambda x: spark.createDataFrame([(int(i),) for i in x], "id long")
+    for cut in (4, 40, 2500, 4990):
+        levels = neardup.id_levels(frame(ids[:cut]), frame(ids[cut:]))
+        assert levels.sure
+        assert (levels.named(ids) == (np.arange(len(ids)) < cut)).all()
+        assert bool(levels.levels) == (cut > 5)
+
+
+def test_repeated_ids_and_rows_without_one(spark):
+    """An id's rows become one, the same in any order; rows without an id stand alone, even with another's text."""
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long, "a"), (1, long + " eleven twelve thirteen fourteen", "b"), (2, long, "c"), (None, long, "d"), (None, long, "e"), (3, "else", "f"), (3, "else", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True)] * 2 + [(1, 1, True)] * 2 + [(2, 1, False)] + [(3, 3, True)] * 2
+    one = sorted(tuple(r) for r in neardup.deduplicated(df).fillna(0, "doc_id").collect())
+    assert [r[0] for r in one] == [0, 0, 1, 3]
+    assert one == sorted(tuple(r) for r in neardup.deduplicated(df.repartition(5)).fillna(0, "doc_id").collect())
 
 
 def test_pruning_bounds():
