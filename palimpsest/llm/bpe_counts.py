@@ -27,7 +27,7 @@ from .ragged import PairMerger
 
 SPACE = "▁"
 #: Pre-tokens whose counts a worker keeps; beyond, the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -77,15 +77,19 @@ class PieceModel:
         """Tokens of a run of ``n`` spaces: equal scores, so the leftmost pair that makes a piece merges first."""
         got = self.counts.get(key := SPACE * n) if n < 64 else None
         if got is None:
-            parts = [1] * n
-            k = 0
-            while k < len(parts) - 1:
-                if parts[k] + parts[k + 1] in self.runs:
-                    parts[k : k + 2] = [parts[k] + parts[k + 1]]
-                    k = max(0, k - 1)
+            done, back, left = [1], [], n - 1
+            while back or left:  # what was merged last, if anything, stands before the spaces that are left
+                if back:
+                    step = back.pop()
                 else:
-                    k += 1
-            got = len(parts)
+                    step, left = 1, left - 1
+                if done[-1] + step in self.runs:
+                    done[-1] += step
+                    if len(done) > 1:
+                        back.append(done.pop())
+                else:
+                    done.append(step)
+            got = len(done)
             if n < 64:
                 self.counts[key] = got
         return got

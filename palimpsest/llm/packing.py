@@ -33,7 +33,7 @@ from .ragged import PairMerger
 CAPACITY = 4096
 END_ID = 1
 #: Chunks between spaces whose ids a worker keeps; beyond, the cache starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 
 
 #: Chunks that need no normalisation but lower case: printable ASCII and letters of Latin-1.
