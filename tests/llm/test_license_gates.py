@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from re import _constants as c
 from re import _parser
 
