@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix": mixing.REPORT_SQL}
+    return {"op3_topk_search": topk.SEARCH_SQL, "op9_mix": mixing.REPORT_SQL}

@@ -154,19 +154,49 @@ def brute_search(texts, query, k=10):
     return sorted(out)[:k]
 
 
-@pytest.mark.parametrize("terms", [topk.PASS_TERMS, 300])
-def test_search(spark, docs, rows, monkeypatch, terms):
-    monkeypatch.setattr(topk, "PASS_TERMS", terms)
-    monkeypatch.setattr(topk, "BLOCK_DOCS", 16)
-    asked = docs.filter("doc_id % 20 = 0").selectExpr("doc_id query_id", "text")
+@pytest.mark.parametrize(("terms", "shard"), [(topk.PASS_TERMS, 64), (300, 3)])
+def test_search(docs, rows, monkeypatch, terms, shard):
+    for name, value in (("PASS_TERMS", terms), ("BLOCK_DOCS", 16), ("SHARD_BLOCKS", shard), ("TASK_BLOCKS", 2 * shard)):
+        monkeypatch.setattr(topk, name, value)
+    asked = docs.filter("doc_id % 10 = 0").selectExpr("doc_id query_id", "text")
     got = defaultdict(list)
     for r in topk.search(docs, asked).orderBy("query_id", "rank").collect():
         got[r.query_id].append((-r.score, r.doc_id))
     texts = {i: r.text for i, r in rows.items()}
-    for q in (i for i in texts if i % 20 == 0):
-        want = brute_search(texts, q)
+    for q in (i for i in texts if i % 10 == 0):
+        want = sorted((round(s, topk.DIGITS), d) for s, d in brute_search(texts, q, 40))[:10]
+        assert [d for _, d in got[q]] == [d for _, d in want]
         assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in want])
-        assert [d for _, d in got[q]][:3] == [d for _, d in want][:3]
+
+
+def test_search_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert sorted(tuple(r) for r in queries.op3_topk_search(spark, sf_dir).collect()) == sorted(con.execute(topk.SEARCH_SQL).fetchall())
+
+
+def test_walk_skips_blocks(docs, monkeypatch):
+    """The walk finds what scoring every block finds, and scores fewer blocks."""
+    monkeypatch.setattr(topk, "BLOCK_DOCS", 8)
+    blocks = [topk._Block(r.asDict()) for r in topk.build_index(docs.coalesce(1)).collect()]
+    assert len(blocks) > 20
+    texts = [topk.terms_of(r.text) for r in docs.orderBy("doc_id").limit(30).collect() if r.text]
+    q = topk._Queries([(i, t.tobytes(), n.tobytes()) for i, (t, n) in enumerate(texts) if len(t)])
+    blocks = [topk._asked(b, q.kinds, 100.0) for b in blocks]
+    shard = topk._Shard(blocks, len(q.kinds))
+    rare = 1 / np.bincount(shard.term, shard.count, len(q.kinds))
+    weight = q.tf * rare[q.at]
+    score, doc = np.zeros((len(q.ids), 5)), np.full((len(q.ids), 5), np.iinfo(np.int64).max)
+    seen = topk._walk(shard, q.size, q.at, weight, score, doc)
+    assert seen < len(q.ids) * len(blocks) / 2
+    one = []
+    for b in blocks:
+        one.append((np.zeros((len(q.ids), 5)), np.full((len(q.ids), 5), np.iinfo(np.int64).max)))
+        topk._walk(topk._Shard([b], len(q.kinds)), q.size, q.at, weight, *one[-1])
+    score_all, doc_all = (np.concatenate(x, 1) for x in zip(*one, strict=True))
+    order = np.lexsort((doc_all, -score_all))[:, :5]
+    assert (np.take_along_axis(doc_all, order, 1) == doc).all()
+    assert np.allclose(np.take_along_axis(score_all, order, 1), score)
 
 
 def test_search_odd(odd, empty):
