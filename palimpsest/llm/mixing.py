@@ -6,7 +6,9 @@ hash of its id, so that reruns and other partitionings agree.
 
 Nulls: a null text has size 0; a null source is a source of its own and sorts
 last; a null id is hashed as such. Empty tables give empty results. Repeated
-rows share their coin. Extra columns are kept by ``mix``.
+rows share their coin. Very long texts are counted whole; ties between sources go by
+their order. Extra columns, whatever their names, are kept by ``mix``. The table of
+sources, a row each, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -50,33 +52,43 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     return by.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
-    """``docs`` (with its sizes) plus _source_size, _target and _copies; a hot source is never gathered in one task."""
+def own_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores in front as make them differ from every column of ``docs``."""
+    taken, mark = {c.lower() for c in docs.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def with_copies(docs: DataFrame, copies: str, size_col: str, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, str, str]:
+    """``docs`` (with its sizes) plus ``copies``, and the names of two columns more: its source's size and target. A hot source is never gathered in one task."""
+    of, size, target, salt, at = own_names(docs, "source", "source_size", "target", "salt", "at")
     per = stage_table(targets(docs.select(F.col(source_col).alias("source"), F.col(size_col).alias("size")), weights, share, cap), "targets")
-    per = per.withColumnsRenamed({"source": "_source", "source_size": "_source_size", "target": "_target"})
+    per = per.withColumnsRenamed({"source": of, "source_size": size, "target": target})
     if per.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(per), docs[source_col].eqNullSafe(per["_source"]))
+        joined = docs.join(F.broadcast(per), docs[source_col].eqNullSafe(per[of]))
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
-        spread = per.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_at", F.col("_at").cast("long"))
-        joined = salted.join(spread, salted[source_col].eqNullSafe(spread["_source"]) & (salted["_salt"] == spread["_at"])).drop("_salt", "_at")
-    rate = F.coalesce(F.try_divide(F.col("_target"), F.col("_source_size").cast("double")), F.lit(0.0))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+        spread = per.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(at, F.col(at).cast("long"))
+        joined = salted.join(spread, salted[source_col].eqNullSafe(spread[of]) & (salted[salt] == spread[at])).drop(salt, at)
+    rate = F.coalesce(F.try_divide(F.col(target), F.col(size).cast("double")), F.lit(0.0))
     extra = unit_hash(F.col(id_col), seed=seed) < rate - F.floor(rate)
-    return joined.withColumn("_copies", (F.floor(rate) + extra.cast("long")).cast("long")).drop("_source")
+    return joined.withColumn(copies, (F.floor(rate) + extra.cast("long")).cast("long")).drop(of), size, target
 
 
 def mix(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The mixture itself: each document of ``docs`` as often as it is taken, with its own columns only."""
-    cols = docs.columns
-    out = with_copies(docs.withColumn("_size", word_size(F.col(text_col))), size_col="_size", **how)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*cols)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    words, copies, copy = own_names(docs, "words", "copies", "copy")
+    out = with_copies(docs.withColumn(words, word_size(F.col(text_col))), copies, words, **how)[0]
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*cols)
 
 
 def mixture_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken: how much the mixture takes of each document."""
     sized = stage_table(docs.select("doc_id", "source", word_size(F.col("text")).alias("size")), "sizes")
-    out = with_copies(sized, **how)
-    return out.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
+    out, source_size, target = with_copies(sized, "copies", "size", **how)
+    return out.select("doc_id", "size", F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
 REPORT_SQL = r"""
