@@ -13,7 +13,9 @@ language there is, chosen by a hash of the id, each collected as a bit set of DI
 
 A text that is null, empty or without any letter is ``und`` with score 0. Ties
 go to the language that sorts first. Whole texts are read; case is folded, and
-digits, signs and white space all count as one word boundary.
+digits, signs and white space all count as one word boundary. Repeated rows get a
+row each; an empty table gives an empty result and a model without languages, under
+which every text is ``und``. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .common import column, map_texts
 ORDERS = (1, 2, 3, 4)
 DIMS = 1 << 15
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 #: Turns differences of ridge scores into shares; scores lie about 0 and 1.
 SHARPNESS = 12.0
 BATCH = 64
@@ -41,6 +43,11 @@ LEAST = 3
 _FOLD: np.ndarray | None = None
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numbers that are no decimal digits, as in fractions and exponents, are none."""
+    return bool(text) and any(m[0].isalpha() for m in _WORD.finditer(text))
+
+
 def _fold() -> np.ndarray:
     """Code point -> that of its lower case, or 32 where it is no letter, up to U+FFFF."""
     global _FOLD
@@ -81,7 +88,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        at = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         rows = np.zeros((BATCH, DIMS), np.float32)
         for k in range(0, len(at), BATCH):
             part = at[k : k + BATCH]
@@ -143,7 +150,7 @@ def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
     Every language with a lettered text is learned. Ids are chosen from ids and labels alone; rows travel as DIMS bits each.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    lettered = known.filter(F.col(text_col).rlike(r"[\p{L}\p{Nl}\p{No}]"))  # as LETTER
+    lettered = known.filter(F.col(text_col).rlike(r"\p{L}"))
     counts = lettered.groupBy(lang_col).agg(F.count("*").alias("n"), F.min(_draw(F.col(id_col))).alias("least")).collect()
     if not counts:
         return fit(np.zeros((0, DIMS), bool), [])
@@ -155,7 +162,7 @@ def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
 
     def kernel():
         def step(batch: pa.RecordBatch) -> dict | None:
-            rows = [(i, lang, t) for i, lang, t in zip(column(batch, id_col), column(batch, lang_col), column(batch, text_col), strict=True) if t and LETTER.search(t)]
+            rows = [(i, lang, t) for i, lang, t in zip(column(batch, id_col), column(batch, lang_col), column(batch, text_col), strict=True) if has_letter(t)]
             bits = []
             for _, _, t in rows:
                 row = np.zeros(DIMS, bool)
@@ -191,10 +198,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return map_texts(rows, kernel, "doc_id long, held_out boolean, lang_pred string, score double", text_col)
 
 
-def determined(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` whose language can be told, with all their columns: what is ``und`` goes.
+def determined(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` whose language can be told, with all their columns: a text without any letter goes.
 
-    Where no language was learned, that is what has no letter.
+    A document that bears a language keeps it; one without gets the language predicted for its text, if any was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -202,10 +209,18 @@ def determined(docs: DataFrame, model: LanguageModel, text_col: str = "text") ->
         m = shared.value
 
         def step(batch: pa.RecordBatch) -> dict | None:
-            texts = column(batch, text_col)
-            keep = [n != UNDETERMINED for n in m.predict(texts)[0]] if m.languages else [bool(t and LETTER.search(t)) for t in texts]
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            return {n: kept.column(i) for i, n in enumerate(kept.schema.names)} if kept.num_rows else None
+            kept = batch.filter(pa.array([has_letter(t) for t in column(batch, text_col)], pa.bool_()))
+            if not kept.num_rows:
+                return None
+            cols = {n: kept.column(i) for i, n in enumerate(kept.schema.names)}
+            langs = column(kept, lang_col)
+            bare = [i for i, x in enumerate(langs) if x is None]
+            if bare and m.languages:
+                texts = column(kept, text_col)
+                for i, name in zip(bare, m.predict([texts[i] for i in bare])[0], strict=True):
+                    langs[i] = name
+                cols[lang_col] = pa.array(langs, kept.schema.field(lang_col).type)
+            return cols
 
         return step
 
