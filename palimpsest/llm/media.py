@@ -15,6 +15,9 @@ Where a scan's codes are all of one length, as in these files, it is read by
 whole arrays; any other scan is read code by code.
 
 Null and empty texts are stored as 64 zero bytes. Equal texts give equal files.
+What is read back of a null or broken file is null. Whole texts are stored, however
+long; repeated rows give a row each, an empty table an empty result, and other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -217,6 +220,14 @@ def _whole_scan(c: Component, coded: bytes, scan: tuple[int, int, int, int], dc:
     return True
 
 
+def decoded(data: bytes | None) -> Image | None:
+    """The image of a file; None for a null or broken one."""
+    try:
+        return decode(data) if data is not None else None
+    except (ValueError, IndexError, KeyError, TypeError, AttributeError, StopIteration, struct.error):
+        return None
+
+
 def decode(data: bytes) -> Image:
     """All scans of a progressive file, accumulated."""
     image, tables, every, at = None, {}, 0, 2
@@ -271,6 +282,8 @@ def decode(data: bytes) -> Image:
             at = stop
         elif mark in range(0xC0, 0xD0) and mark not in (DHT, 0xC8, 0xCC):
             raise ValueError("not a progressive Huffman file")
+    if image is None:
+        raise ValueError("no image")
     image.quants, image.comments = quants, comments
     return image
 
@@ -413,8 +426,9 @@ def tensors(stored: DataFrame) -> DataFrame:
 
     def kernel():
         def step(batch: pa.RecordBatch) -> dict:
-            got = [rgb(decode(m)) for m in column(batch, "media")]
-            return {"doc_id": column(batch, "doc_id"), "height": [x.shape[0] for x in got], "width": [x.shape[1] for x in got], "rgb": [x.tobytes() for x in got]}
+            got = [None if i is None else rgb(i) for i in map(decoded, column(batch, "media"))]
+            part = lambda f: [None if x is None else f(x) for x in got]
+            return {"doc_id": column(batch, "doc_id"), "height": part(lambda x: x.shape[0]), "width": part(lambda x: x.shape[1]), "rgb": part(lambda x: x.tobytes())}
 
         return step
 
@@ -441,10 +455,11 @@ def read_back(stored: DataFrame) -> DataFrame:
             names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
             out: dict[str, list] = {k: [] for k in names}
             for media in column(batch, "media"):
-                image = decode(media)
-                size = int(image.comments[0])
-                payload = payload_of(image, max(BLOCK, -(-size // BLOCK) * BLOCK))
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb(image)))
+                image = decoded(media)
+                row: tuple = (None,) * len(names)
+                if image is not None and image.comments and image.comments[0].isdigit():
+                    payload = payload_of(image, max(BLOCK, -(-int(image.comments[0]) // BLOCK) * BLOCK))
+                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb(image)))
                 for k, v in zip(names, row, strict=True):
                     out[k].append(v)
             return {"doc_id": column(batch, "doc_id"), "n_bytes": column(batch, "n_bytes")} | out
