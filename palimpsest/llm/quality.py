@@ -6,12 +6,18 @@ good) with transition weights; forward and backward passes give each line's
 marginal, and the marginals weighted by the lines' lengths give the document's
 share of good text, which a logistic curve turns into the score.
 
-Fitting takes a bounded sample of labelled documents: about ``per_class`` of
-each label, chosen by a hash of the id, of at most ``MAX_LINES`` lines each;
-every line bears its document's label. Scoring reads whole texts.
+Only documents are labelled, so lines' labels are latent: a line agrees with its
+document's label with the odds e^(2 ``EVIDENCE``), whatever else its features
+and its neighbours say. Fitting starts from lines that bear their document's
+label and then takes, in turn, the lines' marginals given that evidence for what
+was seen, so that changes of label within a document are learned as transitions.
+It takes a bounded sample of labelled documents: about ``per_class`` of each
+label, chosen by a hash of the id, of at most ``max_lines`` lines each. Scoring
+reads whole texts.
 
 Null and empty texts, and texts of empty lines only, have no lines and get the
-share of label 1 among the sample. Without any labels every score is 0.5.
+share of label 1 among the sample. Without any labels every score is 0.5. Repeated
+rows get a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import column, map_texts
 
-#: Lines of a document that may serve for fitting; longer ones are not taken into the sample.
-MAX_LINES = 2000
+#: How strongly a document's label speaks for each line's, and rounds of fitting before lines may differ from it.
+EVIDENCE, WARM = 1.5, 60
 THRESHOLD = 0.3
 LOWER, UPPER, DIGIT, BLANK, STOP, BAR, SHOUT, SIGN, TAIL, CONTROL = range(10)
 CLASSES = 10
@@ -185,15 +191,17 @@ def fit(x: np.ndarray, size: np.ndarray, per: np.ndarray, label: np.ndarray, tru
     y = np.repeat(label, per).astype(np.float64)
     doc = np.repeat(np.arange(len(per)), per)
     later = np.r_[False, doc[1:] == doc[:-1]]
-    seen = np.zeros((2, 2))
+    lines, seen = y, np.zeros((2, 2))
     for k in (0, 1):
         seen[k, k] = (later & (y == k)).sum()
     w, trans = np.zeros(full.shape[1]), np.zeros((2, 2))
     m = [np.zeros_like(w), np.zeros_like(trans)]
     v = [np.zeros_like(w), np.zeros_like(trans)]
     for t in range(1, rounds + 1):
+        if t > WARM and t % 10 == 1:
+            lines, seen, _ = forward_backward(full @ w + EVIDENCE * (2 * y - 1), trans, per)
         marginal, pair, _ = forward_backward(full @ w, trans, per)
-        grads = [full.T @ (marginal - y) / len(y) + ridge * w, (pair - seen) / len(y) + 10 * ridge * trans]
+        grads = [full.T @ (marginal - lines) / len(y) + ridge * w, (pair - seen) / len(y) + 10 * ridge * trans]
         for k, (value, g) in enumerate(zip((w, trans), grads, strict=True)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -221,8 +229,8 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on about ``per_class`` labelled documents of each class, held-out ids left out; several labels of an id count as the least."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_lines: int = 2000) -> QualityModel:
+    """Fit on about ``per_class`` labelled documents of each class, of ``max_lines`` lines at most; held-out ids left out, several labels of an id count as the least."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     counts = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
@@ -231,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str
     coin = F.pmod(F.xxhash64(F.col("id"), F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("label") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
     # two classes of about per_class ids: small whatever the corpus
-    sample = known.filter(coin < rate).limit(4 * per_class)
+    sample = known.filter(coin < rate).orderBy(coin, "id").limit(4 * per_class)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
     def kernel():
@@ -239,14 +247,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str
             out: dict[str, list] = {k: [] for k in ("id", "label", "x", "size")}
             for i, label, t in zip(column(batch, "id"), column(batch, "label"), column(batch, "text"), strict=True):
                 x, size, per = line_features([t])
-                if 0 < per[0] <= MAX_LINES:
+                if 0 < per[0] <= max_lines:
                     for k, v in zip(out, (i, label, x.tobytes(), size.tobytes()), strict=True):
                         out[k].append(v)
             return out
 
         return step
 
-    got = map_texts(rows, kernel, "id long, label int, x binary, size binary").limit(4 * per_class).collect()
+    got = map_texts(rows, kernel, "id long, label int, x binary, size binary").orderBy("id", F.xxhash64("x")).limit(4 * per_class).collect()
     got.sort(key=lambda r: (r["id"], bytes(r["x"])))
     size = [np.frombuffer(bytes(r["size"])) for r in got]
     x = [np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, FEATURES) for r in got]
