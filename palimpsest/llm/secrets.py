@@ -2,12 +2,17 @@
 
 Base patterns give assignments, access keys and hex runs. Beyond them,
 candidates are reported only once decoded and parsed: signed tokens by their
-JSON header, base64 and hex runs by key encodings whose nested lengths add up
-(DER sequences, length-prefixed key strings), armoured blocks by their body.
+JSON header and payload and their signature, base64 and hex runs by key
+encodings whose nested lengths add up to the end (DER sequences, length-prefixed
+key strings, key containers), armoured blocks by their body. Base64 may be
+wrapped over lines; armour may have header lines and line ends that are escaped.
 
 Spans are (kind, start, end) in code points, end exclusive, sorted by start and
-then by kind in the order of ``KINDS``. Null and empty texts have none. Texts
-are scanned whole; the scan is one pass without a shuffle.
+then by kind in the order of ``KINDS``. What parses as a public key is reported
+as the structure it is, but ``redact`` leaves it. Null and empty texts have none,
+and stay. Texts are scanned whole, however long; repeated rows get a row each, an
+empty table an empty result, and other columns are kept by ``redacted`` and
+ignored by ``scan``. The scan is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -34,11 +39,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: The body is base64 over lines, whose ends may be written as escapes, after header lines (``Name: value``).
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr]|[A-Za-z-]+: [^\n\\-]+(?:-[^\n\\-]+)*(?:\\n|\n))+)-----END \1-----")
+_HEADER = re.compile(r"[A-Za-z-]+: [^\n\\]+(?:\\[nr]|\s)")
 #: A DER sequence in base64 begins with M; a wire string of under 16 MB with AAAA; a key container with b3BlbnNzaC1rZXk.
 CODED = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]|AAAA|b3BlbnNzaC1rZXk)[A-Za-z0-9+/]{30,}={0,2}")
-HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+#: The same over more lines.
+WRAPPED = re.compile(r"[A-Za-z0-9+/]+(?:\r?\n[ \t]*[A-Za-z0-9+/]+)+={0,2}")
+#: DER sequences, wire strings and key containers in hex.
+HEX_CODED = re.compile(r"(?<![0-9A-Fa-f])(?:30|000000|6[fF]70656[eE]7373682[dD]6[bB])[0-9A-Fa-f]{58,}(?![0-9A-Fa-f])")
 
+CONTAINER = b"openssh-key-v1\0"
 Span = tuple[str, int, int]
 
 
@@ -77,23 +88,43 @@ def der_fits(raw: bytes) -> bool:
     return top is not None and top[0] == 0x30 and top[2] == len(raw) and len(raw) >= 24 and fill(top[1], top[2], 1) >= 2 and bool(seen & {2, 6})
 
 
+def _strings(raw: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed strings from ``at`` on, up to ``most`` or the end, and where they end; None if one doesn't fit."""
+    parts: list[bytes] = []
+    while at < len(raw) if most is None else len(parts) < most:
+        stop = at + 4 + int.from_bytes(raw[at : at + 4], "big")
+        if at + 4 > len(raw) or stop > len(raw):
+            return None
+        parts.append(raw[at + 4 : stop])
+        at = stop
+    return parts, at
+
+
 def wire_fits(raw: bytes) -> bool:
-    """Length-prefixed strings that fill the whole, the first naming a key type; or a key container's fixed head."""
-    if raw.startswith(b"openssh-key-v1\0"):
-        raw, least = raw[15:], 3
-        parts, at = 0, 0
-        while at + 4 <= len(raw) and parts < least:
-            at += 4 + int.from_bytes(raw[at : at + 4], "big")
-            parts += 1
-        return parts == least and at <= len(raw)
-    parts, at = [], 0
-    while at + 4 <= len(raw):
-        n = int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 + n > len(raw):
+    """Length-prefixed strings that fill the whole, the first naming a key type; or a key container filled to its end."""
+    if raw.startswith(CONTAINER):
+        head = _strings(raw, len(CONTAINER), 3)  # cipher, derivation, its options; then how many keys
+        if head is None or head[1] + 4 > len(raw):
             return False
-        parts.append(raw[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(raw) and len(parts) >= 2 and re.match(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$", parts[0]) is not None
+        n = int.from_bytes(raw[head[1] : head[1] + 4], "big")
+        rest = _strings(raw, head[1] + 4, n + 1) if 0 < n < 64 else None  # public keys, the private part
+        return rest is not None and rest[1] == len(raw) and all(map(wire_fits, rest[0][:-1]))
+    got = _strings(raw, 0)
+    return got is not None and len(got[0]) >= 2 and re.match(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$", got[0][0]) is not None
+
+
+def public(raw: bytes) -> bool:
+    """Whether what fits as DER or wire strings is a public key: key strings outside a container, a certificate or request, or a key info of an algorithm and a bit string."""
+    if raw[:1] != b"\x30":
+        return not raw.startswith(CONTAINER)
+    top = der_element(raw, 0, len(raw))
+    at, tags = top[1], []
+    while at < top[2]:
+        e = der_element(raw, at, top[2])
+        tags.append(e[0])
+        at = e[2]
+    # private keys begin with a version; encrypted ones are an algorithm and an octet string; a bare pair of integers is a public key
+    return tags[:2] == [0x30, 0x03] or tags == [0x30, 0x30, 0x03] or tags == [0x02, 0x02]
 
 
 def _decoded(text: str, url: bool = False) -> bytes | None:
@@ -106,13 +137,42 @@ def _decoded(text: str, url: bool = False) -> bytes | None:
         return None
 
 
-def _token_head(text: str) -> bool:
+def _json(text: str) -> dict | None:
     raw = _decoded(text, url=True)
     try:
-        head = json.loads(raw) if raw else None
+        found = json.loads(raw) if raw else None
     except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _signed(head: str, payload: str, signature: str) -> bool:
+    """A header that names an algorithm, a JSON payload (encrypted ones are bytes), and a signature unless the algorithm is none."""
+    found = _json(head)
+    if found is None or not isinstance(found.get("alg"), str):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    if "enc" in found:
+        return _decoded(payload, url=True) is not None
+    return _json(payload) is not None and (found["alg"].lower() == "none" or bool(_decoded(signature, url=True)))
+
+
+def _structure(body: bytes | None) -> str | None:
+    return None if body is None else "der" if der_fits(body) else "wire" if wire_fits(body) else None
+
+
+def _unwrapped(text: str, at: int) -> tuple[bytes, int] | None:
+    """(bytes, end) of base64 that goes on over the lines after ``at``: a DER sequence as long as it says, anything else to its end."""
+    m = WRAPPED.match(text, at)
+    if m is None:
+        return None
+    places = [i for i in range(m.start(), m.end()) if not text[i].isspace()]
+    joined = "".join(text[i] for i in places)
+    if joined[0] == "M":
+        start = _decoded(joined[:12])
+        n = 2 + start[1] if start[1] < 0x80 else 2 + (start[1] & 0x7F) + int.from_bytes(start[2 : 2 + (start[1] & 0x7F)], "big")
+        joined = joined[: 4 * -(-n // 3)]
+    body = _decoded(joined)
+    return None if body is None else (body, places[len(joined) - 1] + 1)
 
 
 def base_spans(text: str, raw: bytes) -> list[Span]:
@@ -126,25 +186,32 @@ def base_spans(text: str, raw: bytes) -> list[Span]:
     return out
 
 
-def confirmed_spans(text: str, raw: bytes) -> list[Span]:
-    out: list[Span] = []
+def confirmed(text: str, raw: bytes) -> list[tuple[Span, bool]]:
+    """Spans with what tells whether each is a public key."""
+    out: list[tuple[Span, bool]] = []
     if b"eyJ" in raw:
-        out += [("token", *m.span()) for m in TOKEN.finditer(text) if _token_head(m[1])]
+        out += [(("token", *m.span()), False) for m in TOKEN.finditer(text) if _signed(*m.groups())]
     if b"-----BEGIN " in raw:
         for m in ARMOUR.finditer(text):
-            body = _decoded("".join(m[2].split()))
-            if body is not None and (der_fits(body) or wire_fits(body)):
-                out.append(("armour", *m.span()))
+            headers = _HEADER.findall(m[2])
+            body = _decoded("".join(_HEADER.sub("", m[2]).replace("\\n", " ").replace("\\r", " ").split()))
+            # an encrypted body (its headers say so) can't be parsed, only decoded
+            if body and (_structure(body) or any(h.startswith("DEK-Info:") for h in headers)):
+                out.append((("armour", *m.span()), False))
+    end = 0
     for m in CODED.finditer(text):
-        body = _decoded(m[0])
-        if body is not None:
-            if der_fits(body):
-                out.append(("der", *m.span()))
-            elif wire_fits(body):
-                out.append(("wire", *m.span()))
-    for m in HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and der_fits(bytes.fromhex(m[0])):
-            out.append(("der", *m.span()))
+        if m.start() < end:
+            continue
+        body, end = _decoded(m[0]), m.end()
+        if not (kind := _structure(body)) and text[end : end + 2].lstrip("\r")[:1] == "\n" and (more := _unwrapped(text, m.start())):
+            body, stop = more
+            if kind := _structure(body):
+                end = stop
+        if kind:
+            out.append(((kind, m.start(), end), public(body)))
+    for m in HEX_CODED.finditer(text):
+        if len(m[0]) % 2 == 0 and (kind := _structure(body := bytes.fromhex(m[0]))):
+            out.append(((kind, *m.span()), public(body)))
     return out
 
 
@@ -158,7 +225,7 @@ def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
     raw = text.encode()
     order = lambda s: (s[1], _PLACE[s[0]], s[2])
     base = sorted(base_spans(text, raw), key=order)
-    more = confirmed_spans(text, raw)
+    more = [span for span, _ in confirmed(text, raw)]
     return base, sorted(base + more, key=order) if more else base
 
 
@@ -167,8 +234,10 @@ def written(spans: list[Span]) -> str:
 
 
 def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
-    """The text with every span, overlapping ones as one, replaced by ``mark``."""
+    """The text with every span but those of public keys, overlapping ones as one, replaced by ``mark``."""
     spans = find_secrets(text)[1]
+    open_to_all = {span for span, known in confirmed(text, text.encode()) if known} if any(s[0] in ("der", "wire") for s in spans) else set()
+    spans = [s for s in spans if s not in open_to_all]
     if not spans:
         return text
     out, at = [], 0
