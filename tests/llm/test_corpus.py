@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -314,6 +315,34 @@ def test_mixing(spark, docs, odd, empty):
     assert all(taken[r.doc_id] in (r.taken, 2 * r.taken) for r in mixing.mixture_report(odd).collect() if r.size)
 
 
+@pytest.mark.parametrize("sources", [50_000, 0])
+def test_mixture_keeps_any_column(odd, monkeypatch, sources):
+    """Columns named like the helpers stay as they are."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
+    names = ("_size", "_words", "_copies", "_copy", "_target", "_source", "_source_size", "_salt", "_at", "__words", "a.b")
+    wide = odd.selectExpr("*", *[f"concat('{n}', doc_id) `{n}`" for n in names])
+    got = mixing.mix(wide)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in rows for n in names)
+    assert sorted(r.doc_id or -1 for r in rows) == sorted(r.doc_id or -1 for r in mixing.mix(odd).collect())
+
+
+def test_long_runs_are_linear():
+    """Unbroken runs: the library's counts, within a small factor of its time."""
+    import public_tokenizers
+    import sentencepiece
+
+    rng = random.Random(2)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), bpe_counts.model(path)
+    runs = ["".join(rng.choices(a, k=400_000)) for a in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "acgt", "0123456789abcdef")]
+    for t in [*runs, " " * 1_000_000, "a" * 300_000, "ab" * 100_000, "漢字" * 50_000]:
+        began = time.monotonic()
+        assert model.text_tokens([t]) == [len(library.encode(t))]
+        assert time.monotonic() - began < 10
+
+
 def test_salted_mixture(odd, monkeypatch):
     want = sorted((r.doc_id or -1, r.taken) for r in mixing.mixture_report(odd).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)

@@ -60,6 +60,41 @@ def test_secrets_structure():
     assert secrets.redact("say token = abcdefgh1 now") == "say [SECRET] now"
 
 
+def strings(*parts):
+    return b"".join(struct.pack(">I", len(p)) + p for p in parts)
+
+
+def test_secrets_forms():
+    """Wrapped and escaped forms are decoded, nested lengths count to the end, public keys aren't masked."""
+    kinds = lambda t: [s[0] for s in secrets.find_secrets(t)[1] if s[0] != "hex"]
+    lines = lambda x, n=64: "\n".join(x[k : k + n] for k in range(0, len(x), n))
+    key = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + tlv(5, b"")) + tlv(4, bytes(range(256))))
+    coded = base64.b64encode(key).decode()
+    text = f"key\n{lines(coded)}\nand more text follows here"
+    assert secrets.find_secrets(text)[1] == [("der", 4, 4 + len(lines(coded)))]
+    assert secrets.redact(text) == "key\n[SECRET]\nand more text follows here"
+    escaped = lines(coded).replace("\n", "\\n")
+    assert "armour" in kinds(f'"-----BEGIN PRIVATE KEY-----\\n{escaped}\\n-----END PRIVATE KEY-----\\n"')
+    noise = base64.b64encode(bytes(range(160))).decode()
+    assert "armour" in kinds(f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{lines(noise)}\n-----END RSA PRIVATE KEY-----")
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{lines(noise)}\n-----END RSA PRIVATE KEY-----") == []
+    one = strings(b"ssh-ed25519", bytes(32))
+    box = secrets.CONTAINER + strings(b"none", b"none", b"") + struct.pack(">I", 1) + strings(one, bytes(128))
+    assert kinds(f"k {base64.b64encode(box).decode()} x") == ["wire"]
+    assert kinds(f"k\n{lines(base64.b64encode(box).decode(), 70)}\n") == ["wire"]
+    assert kinds(f"k {base64.b64encode(box + b'junk').decode()} x") == []
+    assert kinds(f"k {box.hex()} x") == ["wire"]
+    assert kinds(f"k {strings(b'ssh-rsa', bytes(3), bytes(60)).hex()} x") == ["wire"]
+    spki = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + tlv(5, b"")) + tlv(3, bytes(80)))
+    for known in (one, spki):
+        assert secrets.redact(say := f"our key {base64.b64encode(known).decode()} is public") == say
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    head = part(b'{"alg":"HS256"}')
+    assert kinds(f"{head}.{part(b'not json at all')}.{part(b'sig')}") == []
+    assert kinds(f"{head}.{part(b'{}')}.") == []
+    assert kinds(f"{part(b'{\"alg\":\"none\"}')}.{part(b'{}')}.") == ["token"]
+
+
 def test_redacted_keeps_columns_and_rows(odd):
     got = secrets.redacted(odd)
     assert got.columns == odd.columns
@@ -243,6 +278,37 @@ def test_media_general_files():
         assert media.rgb(image).shape == (21, 37, 3)
 
 
+def test_media_samples_and_features():
+    """Samples, colours and features against sums and formulas written out."""
+    data, coefs = general_file(np.random.default_rng(9))
+    image = media.decode(data)
+    zig = sorted(((u, v) for u in range(8) for v in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))  # (row, column)
+    c = lambda u: np.sqrt(0.5) if u == 0 else 1.0
+
+    def sample(k, y, x):
+        block = coefs[k][y // 8, x // 8] * np.arange(1, 65)
+        s = sum(c(u) * c(v) / 4 * block[i] * np.cos((2 * (y % 8) + 1) * u * np.pi / 16) * np.cos((2 * (x % 8) + 1) * v * np.pi / 16) for i, (u, v) in enumerate(zig))
+        return min(255, max(0, round(float(s) + 128)))
+
+    got = media.rgb(image).astype(int)
+    for y, x in ((0, 0), (3, 17), (20, 36), (9, 8), (15, 30)):
+        lum, cb, cr = sample(0, y, x), sample(1, y // 2, x // 2) - 128, sample(2, y // 2, x // 2) - 128
+        want = [min(255, max(0, round(v))) for v in (lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb)]
+        assert np.abs(got[y, x] - want).max() <= 1
+    flat = got.reshape(-1, 3)
+    edge = sum(abs(int(a) - int(b)) for row in got[:, :, 1] for a, b in zip(row[1:], row[:-1], strict=True)) / len(flat)
+    assert media.feature(got.astype(np.uint8)) == "21x37|" + ",".join(f"{v:.3f}" for v in (*flat.mean(0), *flat.std(0), edge))
+
+
+def test_media_null_and_broken(spark):
+    whole = media.encode_payload(bytes(64), b"3")
+    rows = [(1, 3, None), (2, 3, b""), (3, 3, b"\xff\xd8\xff"), (4, 3, whole[:60]), (5, 3, whole), (6, 3, b"\xff\xd8" + whole[whole.index(b"\xff\xda"):])]
+    stored = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.read_back(stored).collect()}
+    assert [got[i].payload_sha256 is None for i in range(1, 7)] == [True, True, True, True, False, True]
+    assert [r.rgb is None for r in media.tensors(stored).orderBy("doc_id").collect()] == [True, True, True, True, False, True]
+
+
 def test_media_transform():
     flat = np.zeros((1, 64))
     flat[0, 0] = 8 * 50
@@ -250,6 +316,45 @@ def test_media_transform():
     assert media.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24]
 
 
+@pytest.mark.parametrize(("text", "letters"), [("²½①", False), ("٣", False), ("1a", True), ("é", True), ("漢", True), ("12 ½ ª", True), ("_", False), (None, False)])
+def test_letters(text, letters):
+    assert langid.has_letter(text) == letters
+    model = langid.LanguageModel(["en"], np.zeros((langid.DIMS, 1), np.float32), np.zeros(1, np.float32))
+    assert model.predict([text])[0] == ["en" if letters else "und"]
+
+
+def test_language_is_filled_in(docs):
+    bare = docs.selectExpr("doc_id", "text", "if(doc_id % 3 = 0, null, lang) lang", "doc_id id")
+    rows = langid.determined(bare, langid.train(bare)).join(docs.selectExpr("doc_id", "lang given"), "doc_id").collect()
+    assert all(r.lang for r in rows)
+    filled = [r for r in rows if r.doc_id % 3 == 0 and r.given]
+    assert sum(r.lang == r.given for r in filled) >= 0.95 * len(filled)
+    assert all(r.lang == r.given for r in rows if r.doc_id % 3 and r.given)
+
+
+def test_kernel_ridge_against_plain_algebra():
+    """Scores of the folded matrix are those of kernel ridge on Nystr\u00f6m features, computed pair by pair."""
+    texts = ["the cat sat on the mat", "a dog and the cat", "le chat sur la table", "un chien et la souris", "the mat and the dog", "la table et le chien"]
+    labels, asked = ["en", "en", "fr", "fr", "en", "fr"], ["the table", "le chat et la souris", "dog"]
+    bits = np.zeros((len(texts), langid.DIMS), bool)
+    for i, t in enumerate(texts):
+        bits[i, langid.present(t)] = True
+    model = langid.fit(bits, labels, landmarks=len(texts), ridge=0.3)
+    kernel = lambda a, b: len(set(langid.present(a)) & set(langid.present(b))) / np.sqrt(len(langid.present(a)) * len(langid.present(b)))
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    y = np.array([[x == c for c in ("en", "fr")] for x in labels], float)
+    n = len(texts)
+    middle = np.eye(n) - 1 / n
+    # with every text a landmark, Nystr\u00f6m features give the kernel itself; the mean of features and labels is taken off
+    alpha = np.linalg.solve(middle @ k @ middle + 0.3 * np.eye(n), middle @ y)
+    for t in asked:
+        row = np.array([kernel(t, b) for b in texts])
+        want = (row - k.mean(0)) @ middle @ alpha + y.mean(0)
+        places = langid.present(t)
+        got = model.weights[places].sum(0) / np.sqrt(len(places)) + model.bias
+        assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_language(spark, docs, odd, empty):
     model = langid.train(docs)
     got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -272,6 +377,10 @@ def test_quality(spark, docs, sf_dir, odd, empty):
     model = quality.train(docs, labels)
     got = quality.score(docs, model).join(labels, "doc_id").collect()
     assert sum(r.predicted == r.quality for r in got) >= 0.9 * len(got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == r.quality for r in held) >= 0.85 * len(held)
+    above = [a.score > b.score for a in held for b in held if a.quality > b.quality]
+    assert sum(above) >= 0.95 * len(above)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     seen = quality.score(odd, model).collect()
     assert len(seen) == odd.count()
@@ -280,6 +389,27 @@ def test_quality(spark, docs, sf_dir, odd, empty):
     assert {r.score for r in quality.score(odd, quality.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_lines_may_differ_from_their_document(monkeypatch):
+    """Good documents with a bad part: its lines score below the others, and below a fit in which every line bears its document's label."""
+    rng = np.random.default_rng(5)
+    per = np.full(60, 12)
+    label = np.arange(60) % 2
+    x = np.zeros((720, quality.FEATURES), np.float32)
+    part = np.array([d % 4 == 1 and 6 <= t < 9 for d in range(60) for t in range(12)])
+    bad = part | np.repeat(label == 0, 12)
+    x[:, 0] = bad + rng.normal(0, 0.1, 720)
+
+    def marginals():
+        model = quality.fit(x, np.ones(720), per, label)
+        return quality.forward_backward(quality.with_neighbours(x, per) @ model.weights, model.trans, per)[0]
+
+    latent = marginals()
+    monkeypatch.setattr(quality, "WARM", 10**9)
+    assert latent[part].mean() < marginals()[part].mean() - 0.015
+    assert latent[part].mean() < latent[~bad].mean() - 0.15
+    assert ((latent < 0.5) == bad)[~part].all()
+
+
 def test_marginals_match_enumeration():
     from itertools import product
 
