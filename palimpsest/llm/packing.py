@@ -32,27 +32,28 @@ from .ragged import PairMerger
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks between spaces whose ids a worker keeps; beyond, the cache starts anew.
-CACHE_CHUNKS = 200_000
+#: Words and chunks whose ids a worker keeps; beyond, the cache starts anew.
+CACHE_WORDS = 250_000
 
-
-#: Chunks that need no normalisation but lower case: printable ASCII and letters of Latin-1.
+#: What needs no normalisation but lower case: printable ASCII and letters of Latin-1, and white space between.
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+_PLAIN = re.compile(r"[ \n\t\r!-~À-ÖØ-öø-ÿ]*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \n\t\r0-9a-zß-öø-ÿ]+")
+_BLANK = str.maketrans("\n\t\r", "   ")
 
 
 class ChunkTokenizer:
     """Ids of whole texts from a byte-pair tokenizer that drops white space, so that chunks between spaces stand alone.
 
-    Chunks of plain letters, digits and signs are cut into words and merged here, many at once; all others go to the
-    library.
+    Plain letters, digits and signs are cut into words, and the words of many texts that are new are merged here at
+    once; all other chunks go to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        #: Ids of words and, as they have characters that words don't, of whole chunks.
         self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)["model"]
@@ -79,31 +80,34 @@ class ChunkTokenizer:
         at = (4 * np.searchsorted(seq, np.arange(len(raw) + 1))).tolist()
         self.words.update(zip(words, (ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
 
-    def _learn(self, chunks: list[str]) -> None:
-        simple = []
-        for c in chunks:
-            if _SIMPLE.fullmatch(c) and "<|" not in c and len(c) < 1 << 16:
-                simple.append(c)
-            else:
-                self.cache[c] = np.array(self.lib.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        split = [_WORDS.findall(c.lower()) for c in simple]
-        if len(self.words) > CACHE_CHUNKS:
-            self.words.clear()
-        new = sorted({w for words in split for w in words if w not in self.words}, key=len)
-        for i in range(0, len(new), 20_000):
-            self._merge(new[i : i + 20_000])
-        get = self.words.__getitem__
-        self.cache.update(zip(simple, (b"".join(map(get, words)) for words in split), strict=True))
+    def _cut(self, text: str, odd: set[str]) -> list[str]:
+        """The words of a text in order, and its chunks for the library, which are added to ``odd``."""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return _WORDS.findall(text.lower())
+        out = []
+        for c in text.translate(_BLANK).split(" "):
+            if c:
+                if _SIMPLE.fullmatch(c) and "<|" not in c:
+                    out += _WORDS.findall(c.lower())
+                else:
+                    out.append(c)
+                    odd.add(c)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else () for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        self.cache[""] = b""
-        self._learn(list({c for chunks in split for c in chunks if c not in self.cache}))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        odd: set[str] = set()
+        cut = [self._cut(t, odd) if t else () for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        new = {w for words in cut for w in words}.difference(self.words)
+        for c in new & odd:
+            self.words[c] = np.array(self.lib.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        fresh = sorted(new - odd, key=len)
+        for i in range(0, len(fresh), 20_000):
+            self._merge(fresh[i : i + 20_000])
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
