@@ -29,9 +29,27 @@ def _stem(t: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Array of tokens: ASCII letters and digits of the lower-cased text, stop words and single characters dropped, then stemmed."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
-    return F.transform(kept, _stem)
+    return F.transform(_raw(F.lower(F.coalesce(text, F.lit("")))), _stem)
+
+
+def _raw(low: Column) -> Column:
+    return F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda t: ~t.isin(STOP_WORDS))
+
+
+def token_count(low: Column) -> Column:
+    """How many tokens a lower-cased text has; stems don't matter."""
+    return F.size(_raw(low))
+
+
+def has_tokens(low: Column) -> Column:
+    """Whether a lower-cased text has any token, by its first one."""
+    return F.rlike(low, F.lit(f"(?<![a-z0-9])(?!(?:{'|'.join(STOP_WORDS)})(?![a-z0-9]))[a-z0-9]{{2,}}"))
+
+
+def occurrences(low: Column, stem: str) -> Column:
+    """How often a lower-cased text has a token of this stem: its few whole forms are looked for, once the stem itself is found."""
+    forms = "|".join(f for f in (stem, f"{stem}ing", f"{stem}ed", f"{stem}s") if tokens_of(f) == [stem])
+    return F.when(F.contains(low, F.lit(stem)), F.regexp_count(low, F.lit(f"(?<![a-z0-9])(?:{forms})(?![a-z0-9])"))).otherwise(F.lit(0))
 
 
 def tokens_of(text: str) -> list[str]:

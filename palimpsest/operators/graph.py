@@ -73,11 +73,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(found, F.col("id") == found["node"], "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def analyze(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: totals, the first bottlenecks, isolated nodes and what to do about it."""
+def analyze(edges: DataFrame, nodes: DataFrame, named: int = 1000) -> DataFrame:
+    """One row: totals, the first bottlenecks, how many nodes are isolated, the first ``named`` of them (``isolated`` gives all), and what to do about it."""
     groups = components(edges, nodes).agg(F.count("*").alias("total_nodes"), F.count_distinct("component").alias("connected_components"))
     few = bottlenecks(edges, nodes).agg(F.array_sort(F.collect_list("id")).alias("bottlenecks"))
-    alone = isolated(edges, nodes).agg(F.array_sort(F.collect_list("id")).alias("isolated_nodes"))
+    single = isolated(edges, nodes)
+    alone = single.orderBy("id").limit(named).agg(F.array_sort(F.collect_list("id")).alias("isolated_nodes"))
+    alone = alone.crossJoin(F.broadcast(single.agg(F.count("*").alias("isolated"))))
     quoted = F.array_join(F.transform(F.slice("bottlenecks", 1, 3), lambda x: F.format_string("'%s'", x)), ", ")
+    # fixed values: the texts that clients see
     advice = F.when(F.col("connected_components") > 1, F.format_string("Found %d disconnected groups. Consider connecting via: [%s]", "connected_components", quoted)).otherwise("Well-connected structure.")
     return groups.crossJoin(F.broadcast(few)).crossJoin(F.broadcast(alone)).withColumn("method", F.lit(METHOD)).withColumn("recommendation", advice)

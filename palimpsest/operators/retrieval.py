@@ -1,8 +1,9 @@
 """Ranked retrieval over memories.
 
 The corpus is never exploded for a query: its tokens are literals of the plan,
-so a document gives its length and one count per query token, and only those of
-documents with a hit go on to the ranking, which is a top-k per task merged once.
+and a document gives one count per query token. Only documents with a hit are cut
+into tokens, for their length, and go on to the ranking, which is a top-k per task
+merged once.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.temporal import moment, recency
-from ..functions.text import token_estimate, tokens, tokens_of
+from ..functions.text import has_tokens, occurrences, token_count, token_estimate, tokens, tokens_of
 
 #: Tokens that any answer costs besides its memories.
 OVERHEAD = 40
@@ -47,7 +48,7 @@ def idf(df: Column, n: Column) -> Column:
 
 def inverse_frequencies(memories: DataFrame) -> DataFrame:
     """(token, df, idf), smoothed; documents without tokens don't count."""
-    n = memories.agg(F.count_if(F.size(tokens(F.col("content"))) > 0).alias("n"))
+    n = memories.agg(F.count_if(has_tokens(F.lower("content"))).alias("n"))
     return document_frequencies(memories).crossJoin(F.broadcast(n)).select("token", "df", idf(F.col("df"), F.col("n")).alias("idf"))
 
 
@@ -58,23 +59,18 @@ def score(candidates: DataFrame, fitted_on: DataFrame, query: str) -> DataFrame:
         return candidates.withColumn("score", F.lit(0.0)).filter(F.lit(False))
     words, total = list(asked), sum(asked.values())
 
-    def counted(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_tokens", tokens(F.col("content"))).withColumn("_hits", F.filter("_tokens", lambda t: t.isin(words)))
-        return df.withColumn("_n", F.size("_tokens")).drop("_tokens")
-
-    stats = counted(fitted_on).agg(F.count_if(F.col("_n") > 0).alias("_docs"), *[F.count_if(F.array_contains("_hits", w)).alias(f"_df{i}") for i, w in enumerate(words)])
-    rows = counted(candidates).filter(F.size("_hits") > 0).crossJoin(F.broadcast(stats))  # one row of statistics
+    low = fitted_on.select(F.lower("content").alias("_low"))
+    stats = low.agg(F.count_if(has_tokens(F.col("_low"))).alias("_docs"), *[F.count_if(occurrences(F.col("_low"), w) > 0).alias(f"_df{i}") for i, w in enumerate(words)])
+    rows = candidates.withColumn("_low", F.lower("content"))
+    rows = rows.withColumns({f"_c{i}": occurrences(F.col("_low"), w) for i, w in enumerate(words)}).filter(reduce(lambda a, b: a | b, [F.col(f"_c{i}") > 0 for i in range(len(words))]))
+    rows = rows.withColumn("_n", token_count(F.col("_low"))).crossJoin(F.broadcast(stats))  # one row of statistics
     parts = []
-    for i, (w, n) in enumerate(asked.items()):
+    for i, n in enumerate(asked.values()):
         weight = idf(F.col(f"_df{i}"), F.col("_docs"))
-        parts.append(F.size(F.filter("_hits", _is(w))) / F.col("_n") * F.lit(n / total) * weight * weight)
+        parts.append(F.col(f"_c{i}") / F.col("_n") * F.lit(n / total) * weight * weight)
     return rows.withColumn("score", reduce(lambda a, b: a + b, parts)).filter("score > 0").select(*candidates.columns, "score")
 
 
-def _is(word: str):
-    return lambda t: t == word
-
-
 def _answer(ranked: DataFrame) -> DataFrame:
     return ranked.select("id", "project", "content", F.round("score", 5).alias("score"), token_estimate(F.col("content")).alias("token_estimate"))
 

@@ -1,17 +1,20 @@
 """Task order under dependencies and priorities.
 
-The order of a project is inherently sequential, so each project is one group in
-one worker; projects spread over the cluster. All else is expressions.
+The order of a project is inherently sequential: its tasks are sorted into one
+partition, and a worker orders the projects of its partition one after the other.
+Projects spread over the cluster. All else is expressions.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 LAST_PRIORITY, LAST_DATE = 99, "9999"
 
@@ -32,46 +35,36 @@ def with_constraints(tasks: DataFrame, merged: DataFrame) -> DataFrame:
     return joined.withColumn("depends_on", F.coalesce("_d", "depends_on")).withColumn("priority", F.coalesce("priority", "_p")).drop("_d", "_p")
 
 
-def _ordered() -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def order(tasks: pd.DataFrame) -> pd.DataFrame:
-        tasks = tasks.sort_values("seq", kind="stable")
-        ids = tasks["id"].tolist()
-        keys = [
-            (LAST_PRIORITY if pd.isna(p) else p, LAST_DATE if d is None or pd.isna(d) else d)
-            for p, d in zip(tasks["priority"].tolist(), tasks["due_date"].tolist(), strict=True)
-        ]
-        place = {x: i for i, x in enumerate(ids)}
-        waits, opens = [0] * len(ids), [[] for _ in ids]
-        for i, deps in enumerate(tasks["depends_on"].tolist()):
-            for d in deps if deps is not None else ():
-                if d in place:
-                    waits[i] += 1
-                    opens[place[d]].append(i)
-        arrived = 0
-        ready: list[tuple] = []
-
-        def arrive(i: int) -> None:
-            nonlocal arrived
-            heapq.heappush(ready, (*keys[i], arrived, i))
-            arrived += 1
-
-        for i, n in enumerate(waits):
-            if n == 0:
-                arrive(i)
-        done: list[int] = []
-        while ready:
-            i = heapq.heappop(ready)[-1]
-            done.append(i)
-            for j in opens[i]:
-                waits[j] -= 1
-                if waits[j] == 0:
-                    arrive(j)
-        seen = set(done)
-        left = [i for i in range(len(ids)) if i not in seen]
-        order_ = done + left
-        return pd.DataFrame({"project": tasks["project"].iloc[0], "position": range(1, len(ids) + 1), "id": [ids[i] for i in order_], "cycle": [False] * len(done) + [True] * len(left)})
-
-    return order
+def _order_of(ids: list, depends: list, keys: list[tuple]) -> tuple[list, int]:
+    """(ids in their order, how many of them have their turn) of a project's tasks in input order."""
+    place = {x: i for i, x in enumerate(ids)}
+    waits, opens = [0] * len(ids), [[] for _ in ids]
+    for i, deps in enumerate(depends):
+        for d in deps or ():
+            if d in place:
+                waits[i] += 1
+                opens[place[d]].append(i)
+    arrived = 0
+    ready: list[tuple] = []
+
+    def arrive(i: int) -> None:
+        nonlocal arrived
+        heapq.heappush(ready, (*keys[i], arrived, i))
+        arrived += 1
+
+    for i, n in enumerate(waits):
+        if n == 0:
+            arrive(i)
+    done: list[int] = []
+    while ready:
+        i = heapq.heappop(ready)[-1]
+        done.append(i)
+        for j in opens[i]:
+            waits[j] -= 1
+            if waits[j] == 0:
+                arrive(j)
+    seen = set(done)
+    return [ids[i] for i in done] + [x for i, x in enumerate(ids) if i not in seen], len(done)
 
 
 def order(tasks: DataFrame) -> DataFrame:
@@ -80,11 +73,49 @@ def order(tasks: DataFrame) -> DataFrame:
     A task is ready once all its dependencies within the project are done; of the ready ones the least (priority, due
     date) goes first, those that became ready earlier before others. Tasks on a cycle or behind one come last, marked.
     ``tasks`` has project, id, seq (input order), depends_on, priority, due_date; ids are unique within a project.
+    A worker holds one project and one batch at a time.
     """
-    kinds = dict(tasks.dtypes)
-    return tasks.select("project", "id", "seq", "depends_on", "priority", "due_date").groupBy("project").applyInPandas(
-        _ordered(), f"project {kinds['project']}, position int, id {kinds['id']}, cycle boolean"
-    )
+    cols = ["project", "id", "seq", "depends_on", "priority", "due_date"]
+    rows = tasks.select(*cols).repartition("project").sortWithinPartitions("project", "seq", "id")
+    kinds = rows.schema
+    names = ["project", "position", "id", "cycle"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def results(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Orders of whole projects, which lie one after the other."""
+            x = table.to_pydict()
+            project, ids, depends = x["project"], x["id"], x["depends_on"]
+            keys = [(LAST_PRIORITY if p is None else p, LAST_DATE if d is None else str(d)) for p, d in zip(x["priority"], x["due_date"], strict=True)]
+            starts = [0, *(i for i in range(1, len(ids)) if project[i] != project[i - 1]), len(ids)] if ids else []
+            out, position, cycle = [], [], []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                turn, n = _order_of(ids[a:b], depends[a:b], keys[a:b])
+                out += turn
+                position += range(1, b - a + 1)
+                cycle += [False] * n + [True] * (b - a - n)
+            yield from pa.table([table["project"], pa.array(position, pa.int32()), pa.array(out, table["id"].type), pa.array(cycle, pa.bool_())], names).to_batches()
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            project = np.array(table["project"].to_pylist(), object)
+            other = np.flatnonzero(project != project[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last project may go on
+            if held and (cut or project[-1] != last):
+                yield from results(pa.concat_tables([*held, table.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from results(table.slice(0, cut))
+            held.append(table.slice(cut))
+            last = project[-1]
+        if held:
+            yield from results(pa.concat_tables(held))
+
+    return rows.mapInArrow(run, StructType([kinds["project"], StructField("position", IntegerType()), kinds["id"], StructField("cycle", BooleanType())]))
 
 
 def ready_now(tasks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dimension
-from ..functions.text import tokens
+from ..functions.text import has_tokens
 from .eventlog import latest_payloads, tombstones
 
 
@@ -16,7 +16,7 @@ def memory_stats(memories: DataFrame) -> DataFrame:
     """One pass: active, forgotten, indexed (active with tokens) memories, and vectors (one a live memory)."""
     alive = ~F.col("forgotten")
     return memories.agg(
-        F.count_if(alive).alias("active"), F.count_if("forgotten").alias("forgotten"), F.count_if(alive & (F.size(tokens(F.col("content"))) > 0)).alias("indexed"), F.count_if(alive).alias("vectors")
+        F.count_if(alive).alias("active"), F.count_if("forgotten").alias("forgotten"), F.count_if(alive & has_tokens(F.lower("content"))).alias("indexed"), F.count_if(alive).alias("vectors")
     )
 
 

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.temporal import at
 
 
+def _moment() -> list:
+    """What orders operations: their moment, then creation before update before forgetting, then content."""
+    return [F.col("ts"), F.when(F.col("op") == "create", 0).when(F.col("op") == "update", 1).otherwise(2), F.col("content")]
+
+
 def intervals(log: DataFrame) -> DataFrame:
-    """(memory_id, content, valid_from, valid_to) of every content a memory had; the last one's end is null. Ends are exclusive."""
-    order = Window.partitionBy("id").orderBy("ts")
+    """(memory_id, content, valid_from, valid_to) of every content a memory had; the last one's end is null. Ends are exclusive.
+
+    Of operations of one moment all but the last have an empty interval.
+    """
+    order = Window.partitionBy("id").orderBy(*_moment())
     return log.filter("op in ('create', 'update')").select(F.col("id").alias("memory_id"), "content", F.col("ts").alias("valid_from"), F.lead("ts").over(order).alias("valid_to"))
 
 
@@ -23,10 +31,10 @@ def versions(log: DataFrame) -> DataFrame:
 
 def current(log: DataFrame) -> DataFrame:
     """The log folded to memories: last content, first and last moment, whether forgotten."""
-    written = F.col("op") != "forget"
+    written, last = F.col("op") != "forget", F.struct(*_moment())
     return log.groupBy("id").agg(
-        F.max_by("project", "ts").alias("project"), F.max_by(F.when(written, F.col("content")), F.when(written, F.col("ts"))).alias("content"),
-        F.max_by(F.when(written, F.col("tags")), F.when(written, F.col("ts"))).alias("tags"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"),
+        F.max_by("project", last).alias("project"), F.max_by(F.when(written, F.col("content")), F.when(written, last)).alias("content"),
+        F.max_by(F.when(written, F.col("tags")), F.when(written, last)).alias("tags"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"),
         F.bool_or(~written).alias("forgotten"),
     )
 

@@ -1,7 +1,4 @@
-"""Connectivity of the part-supplier graph over ``lineitem``.
-
-The names ending in ``_all`` take every line; the others a sparse part of them, in which several components appear.
-"""
+"""Connectivity of the part-supplier graph over every line of ``lineitem``."""
 
 from __future__ import annotations
 
@@ -12,9 +9,9 @@ from ..sources.adapters import graph_nodes, graph_relations
 from ..sources.store import stage_table
 
 
-def _graph(spark, sf_dir, most=1):
+def _graph(spark, sf_dir):
     nodes = graph_nodes(spark, sf_dir)
-    return stage_table(eventlog.active_edges(graph_relations(spark, sf_dir, most), nodes), "edges"), nodes
+    return stage_table(eventlog.active_edges(graph_relations(spark, sf_dir), nodes), "edges"), nodes
 
 
 def active_edges(spark, sf_dir):
@@ -30,74 +27,38 @@ def isolated(spark, sf_dir):
 
 
 def bottlenecks(spark, sf_dir):
-    """Of a graph with more lines, whose mean degree leaves some nodes below."""
-    return graph.bottlenecks(*_graph(spark, sf_dir, 25), k=10)
+    """Every one of them; the report names the first by id."""
+    return graph.bottlenecks(*_graph(spark, sf_dir), k=None)
 
 
 def components(spark, sf_dir):
     return graph.components(*_graph(spark, sf_dir))
 
 
-def _report(out):
-    return out.select("total_nodes", "connected_components", F.array_join("bottlenecks", ",").alias("bottlenecks"), F.size("isolated_nodes").cast("long").alias("isolated"), "recommendation")
-
-
 def analyze_structure(spark, sf_dir):
-    return _report(graph.analyze(*_graph(spark, sf_dir)))
-
-
-def active_edges_all(spark, sf_dir):
-    return eventlog.active_edges(graph_relations(spark, sf_dir, None), graph_nodes(spark, sf_dir))
-
-
-def degrees_all(spark, sf_dir):
-    return graph.degrees(*_graph(spark, sf_dir, None))
-
-
-def isolated_all(spark, sf_dir):
-    return graph.isolated(*_graph(spark, sf_dir, None))
-
-
-def bottlenecks_all(spark, sf_dir):
-    """Every one of them, not the first by id."""
-    return graph.bottlenecks(*_graph(spark, sf_dir, None), k=None)
-
-
-def components_all(spark, sf_dir):
-    return graph.components(*_graph(spark, sf_dir, None))
-
-
-def analyze_structure_all(spark, sf_dir):
-    return _report(graph.analyze(*_graph(spark, sf_dir, None)))
+    out = graph.analyze(*_graph(spark, sf_dir))
+    return out.select("total_nodes", "connected_components", F.array_join("bottlenecks", ",").alias("bottlenecks"), "isolated", "recommendation")
 
 
 _GRAPH = """nodes AS (SELECT 'p' || p_partkey AS id FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier),
-  rel AS (SELECT l_returnflag AS f, 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem WHERE l_quantity = 1 AND l_returnflag IN ('N', 'R')),
+  rel AS (SELECT l_returnflag AS f, 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem WHERE l_returnflag IN ('N', 'R')),
   edges AS (SELECT DISTINCT source, target FROM rel WHERE f = 'N' AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)
     AND (source, target) NOT IN (SELECT (source, target) FROM rel WHERE f = 'R')),
   both_ AS (SELECT source AS id, target AS other FROM edges UNION SELECT target, source FROM edges),
   deg AS (SELECT n.id, count(b.other) AS degree FROM nodes n LEFT JOIN both_ b ON b.id = n.id GROUP BY n.id)"""
 _NARROW = "narrow AS (SELECT id, degree FROM deg WHERE degree > 0 AND degree < 0.3 * (SELECT avg(degree) FROM deg) ORDER BY id LIMIT 10)"
-_REACH = "reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, b.other FROM reach r JOIN both_ b ON b.id = r.other), comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"
-_WHOLE = _GRAPH.replace("l_quantity = 1 AND ", "")
-#: Each round takes the smallest component among a node's neighbours; a reach of all pairs would not fit the whole graph.
+#: Each round takes the smallest component among a node's neighbours; all pairs that reach each other would not fit.
 _SPREAD = """comp(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
   SELECT b.other, min(c.component) FROM comp c JOIN both_ b ON b.id = c.id JOIN recurring.comp o ON o.id = b.other WHERE c.component < o.component GROUP BY b.other)"""
 QUERIES = {"active_edges": active_edges, "degrees": degrees, "isolated": isolated, "bottlenecks": bottlenecks, "components": components, "analyze_structure": analyze_structure}
-QUERIES |= {"active_edges_all": active_edges_all, "degrees_all": degrees_all, "isolated_all": isolated_all, "bottlenecks_all": bottlenecks_all, "components_all": components_all, "analyze_structure_all": analyze_structure_all}
 SQL = {
     "active_edges": f"WITH {_GRAPH} SELECT source, target FROM edges",
     "degrees": f"WITH {_GRAPH} SELECT id, degree FROM deg",
     "isolated": f"WITH {_GRAPH} SELECT id FROM deg WHERE degree = 0",
-    "bottlenecks": f"WITH {_GRAPH.replace('l_quantity = 1', 'l_quantity <= 25')}, {_NARROW} SELECT * FROM narrow",
-    "components": f"WITH RECURSIVE {_GRAPH}, {_REACH} SELECT id, component FROM comp",
-    "analyze_structure": f"""WITH RECURSIVE {_GRAPH}, {_REACH}, {_NARROW}, x AS (SELECT count(*) AS total_nodes, count(DISTINCT component) AS connected_components FROM comp),
+    "bottlenecks": f"WITH {_GRAPH} SELECT id, degree FROM deg WHERE degree > 0 AND degree < 0.3 * (SELECT avg(degree) FROM deg)",
+    "components": f"WITH RECURSIVE {_GRAPH}, {_SPREAD} SELECT id, component FROM comp",
+    "analyze_structure": f"""WITH RECURSIVE {_GRAPH}, {_SPREAD}, {_NARROW}, x AS (SELECT count(*) AS total_nodes, count(DISTINCT component) AS connected_components FROM comp),
       b AS (SELECT coalesce(string_agg(id, ',' ORDER BY id), '') AS bottlenecks, coalesce(string_agg('''' || id || '''', ', ' ORDER BY id) FILTER (id IN (SELECT id FROM narrow ORDER BY id LIMIT 3)), '') AS few FROM narrow)
       SELECT total_nodes, connected_components, bottlenecks, (SELECT count(*) FROM deg WHERE degree = 0) AS isolated,
         CASE WHEN connected_components > 1 THEN 'Found ' || connected_components || ' disconnected groups. Consider connecting via: [' || few || ']' ELSE 'Well-connected structure.' END AS recommendation FROM x CROSS JOIN b""",
 }
-SQL |= {
-    **{f"{name}_all": SQL[name].replace(_GRAPH, _WHOLE) for name in ("active_edges", "degrees", "isolated")},
-    "bottlenecks_all": f"WITH {_WHOLE} SELECT id, degree FROM deg WHERE degree > 0 AND degree < 0.3 * (SELECT avg(degree) FROM deg)",
-    **{f"{name}_all": SQL[name].replace(_GRAPH, _WHOLE).replace(_REACH, _SPREAD) for name in ("components", "analyze_structure")},
-}

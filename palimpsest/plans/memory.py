@@ -64,27 +64,13 @@ def memory_stats(spark, sf_dir):
 
 
 def forget_command(spark, sf_dir):
-    """Forget every hundredth id up to twice the largest: some unknown, some forgotten already."""
-    m = memories(spark, sf_dir)
-    asked = m.filter("id % 100 = 0").select(F.explode(F.array("id", F.col("id") + 1_000_000_000)).alias("id"), F.lit(None).cast("string").alias("reason"))
-    return commands.forget(asked, m, NOW)[0]
-
-
-def update_command(spark, sf_dir):
-    """Rewrite every fiftieth memory, every hundredth with a blank."""
-    m = memories(spark, sf_dir)
-    asked = m.filter("id % 50 = 0").select("id", F.when(F.col("id") % 100 == 0, "  ").otherwise("two new words").alias("content"))
-    return commands.update(asked, m, NOW)[0].select("id", "status", F.col("token_estimate").cast("long").alias("token_estimate"))
-
-
-def forget_command_all(spark, sf_dir):
     """Forget every id, and as many unknown ones."""
     m = memories(spark, sf_dir)
     asked = m.select(F.explode(F.array("id", F.col("id") + 1_000_000_000)).alias("id"), F.lit(None).cast("string").alias("reason"))
     return commands.forget(asked, m, NOW)[0]
 
 
-def update_command_all(spark, sf_dir):
+def update_command(spark, sf_dir):
     """Rewrite every memory, each ninth with a blank; and each seventh id again as an unknown one."""
     m = memories(spark, sf_dir)
     ids = F.when(F.col("id") % 7 == 0, F.array("id", F.col("id") + 1_000_000_000)).otherwise(F.array("id"))
@@ -147,7 +133,7 @@ _RECALL = f"WITH {MEMORIES}, {_ACTIVE}, {ranking_sql('active', 'active', K)} {an
 QUERIES = {
     "tokenize": tokenize, "term_freq": term_freq, "doc_freq": doc_freq, "idf": idf, "recall": recall, "recall_project": recall_project, "recall_recency": recall_recency, "token_budget": token_budget,
     "token_estimate": token_estimates, "forgotten_filter": forgotten_filter, "preview": previews, "memory_stats": memory_stats, "forget_command": forget_command, "update_command": update_command,
-    "remember_command": remember_command, "forget_command_all": forget_command_all, "update_command_all": update_command_all,
+    "remember_command": remember_command,
 }
 SQL = {
     "tokenize": f"WITH {MEMORIES}, x AS (SELECT id, {tokens_sql('content')} AS toks FROM memories) SELECT id, len(toks) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM x",
@@ -164,15 +150,11 @@ SQL = {
     "preview": f"WITH {MEMORIES} SELECT id, CASE WHEN length(content) > 120 THEN left(content, 120) || '…' ELSE content END AS content_preview FROM memories",
     "memory_stats": f"""WITH {MEMORIES} SELECT count(*) FILTER (NOT forgotten) AS active, count(*) FILTER (forgotten) AS forgotten,
       count(*) FILTER (NOT forgotten AND len({tokens_sql('content')}) > 0) AS indexed, count(*) FILTER (NOT forgotten) AS vectors FROM memories""",
-    "forget_command": f"""WITH {MEMORIES}, asked AS (SELECT unnest([id, id + 1000000000]) AS id FROM memories WHERE id % 100 = 0)
-      SELECT a.id, CASE WHEN m.id IS NULL THEN 'not_found' WHEN m.forgotten THEN 'already_forgotten' ELSE 'forgotten' END AS status, 'manual' AS reason FROM asked a LEFT JOIN memories m ON m.id = a.id""",
-    "update_command": f"""WITH {MEMORIES} SELECT id, CASE WHEN id % 100 = 0 OR forgotten THEN 'error' ELSE 'updated' END AS status, CASE WHEN id % 100 = 0 OR forgotten THEN NULL ELSE 2 END::BIGINT AS token_estimate
-      FROM memories WHERE id % 50 = 0""",
     "remember_command": f"""WITH {MEMORIES}, x AS (SELECT *, id % 9 = 0 OR trim(content) = '' AS bad FROM memories)
       SELECT id, project, CASE WHEN bad THEN 'error' ELSE 'remembered' END AS status, CASE WHEN bad THEN NULL ELSE {estimate_sql('content')} END AS token_estimate FROM x""",
-    "forget_command_all": f"""WITH {MEMORIES}, asked AS (SELECT unnest([id, id + 1000000000]) AS id FROM memories)
+    "forget_command": f"""WITH {MEMORIES}, asked AS (SELECT unnest([id, id + 1000000000]) AS id FROM memories)
       SELECT a.id, CASE WHEN m.id IS NULL THEN 'not_found' WHEN m.forgotten THEN 'already_forgotten' ELSE 'forgotten' END AS status, 'manual' AS reason FROM asked a LEFT JOIN memories m ON m.id = a.id""",
-    "update_command_all": f"""WITH {MEMORIES}, asked AS (SELECT id FROM memories UNION ALL SELECT id + 1000000000 FROM memories WHERE id % 7 = 0),
+    "update_command": f"""WITH {MEMORIES}, asked AS (SELECT id FROM memories UNION ALL SELECT id + 1000000000 FROM memories WHERE id % 7 = 0),
       x AS (SELECT a.id, a.id % 9 = 0 OR m.id IS NULL OR m.forgotten AS bad FROM asked a LEFT JOIN memories m ON m.id = a.id)
       SELECT id, CASE WHEN bad THEN 'error' ELSE 'updated' END AS status, CASE WHEN bad THEN NULL ELSE 2 END::BIGINT AS token_estimate FROM x""",
 }

@@ -75,26 +75,16 @@ def _half(c: str):
     return geometry.scale(F.col(c), F.lit(0.5))
 
 
-def mobius_add(spark, sf_dir):
-    x = _to_first(spark, sf_dir, geometry.mobius_add(_half("x"), _half("vector")))
-    return x.select("id", F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[63], 6).alias("v63"))
-
-
-def exp_map(spark, sf_dir):
-    x = _to_first(spark, sf_dir, geometry.exp_map(_half("x"), _half("vector")))
-    return x.select("id", F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[63], 6).alias("v63"))
-
-
 def _entries(x):
     """All of a vector, an entry a row."""
     return x.select("id", F.posexplode("v").alias("place", "value")).select("id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
-def mobius_add_all(spark, sf_dir):
+def mobius_add(spark, sf_dir):
     return _entries(_to_first(spark, sf_dir, geometry.mobius_add(_half("x"), _half("vector"))))
 
 
-def exp_map_all(spark, sf_dir):
+def exp_map(spark, sf_dir):
     return _entries(_to_first(spark, sf_dir, geometry.exp_map(_half("x"), _half("vector"))))
 
 
@@ -143,13 +133,12 @@ _HALVES = "h AS (SELECT id, [v * 0.5 for v in x] AS v FROM raw), f AS (SELECT v
 def _mobius_sql(rel: str) -> str:
     """Over ``rel`` of (id, x, y)."""
     return f"""m AS (SELECT id, x, y, {_dot('x', 'y')} AS xy, {_dot('x', 'x')} AS xx, {_dot('y', 'y')} AS yy FROM {rel}),
-      r AS (SELECT id, [((1 + 2 * xy + yy) * x[i] + (1 - xx) * y[i]) / (1 + 2 * xy + xx * yy + 1e-10) for i in [1, 64]] AS v FROM m) SELECT id, round(v[1], 6) AS v0, round(v[2], 6) AS v63 FROM r"""
+      r AS (SELECT id, [((1 + 2 * xy + yy) * x[i] + (1 - xx) * y[i]) / (1 + 2 * xy + xx * yy + 1e-10) for i in range(1, len(x) + 1)] AS v FROM m) SELECT id, place, round(v[place + 1], 6) AS value FROM (SELECT id, v, unnest(range(len(v))) AS place FROM r)"""
 
 
 QUERIES = {
     "content_features": content_features, "project_bucket": project_bucket, "memory_knn": memory_knn, "memory_knn_project": memory_knn_project, "text_knn": text_knn, "node_features": node_features, "embed_nodes": embed_nodes,
     "node_knn": node_knn, "poincare_distance": poincare_distance, "project_ball": project_ball, "mobius_add": mobius_add, "exp_map": exp_map, "vector_knn": vector_knn, "adaptive_dimension": adaptive_dimension,
-    "mobius_add_all": mobius_add_all, "exp_map_all": exp_map_all,
 }
 SQL = {
     "content_features": f"WITH {MEMORIES}, {_CONTENT} SELECT id, round(x[1], 6) AS length, round(x[2], 6) AS distinct_share, round(x[3], 6) AS tags, round(x[4], 6) AS project_bucket, round(x[5], 6) AS recency FROM feats",
@@ -168,6 +157,3 @@ SQL = {
     "vector_knn": f"WITH {_RAW} SELECT id, round(d, 3) AS distance FROM (SELECT id, {_distance_sql('x', 'y')} AS d FROM clipped CROSS JOIN one WHERE id <> 0) ORDER BY d, id LIMIT {K}",
     "adaptive_dimension": "SELECT DISTINCT nodes, CASE WHEN nodes < 50 THEN 32 ELSE least(128, greatest(16, ceil(4 * log2(nodes)))) END::BIGINT AS dim FROM (SELECT c_custkey * c_custkey AS nodes FROM customer)",
 }
-_ENDS = ("for i in [1, 64]]", "SELECT id, round(v[1], 6) AS v0, round(v[2], 6) AS v63 FROM r")
-_ENTRIES = ("for i in range(1, len(x) + 1)]", "SELECT id, place, round(v[place + 1], 6) AS value FROM (SELECT id, v, unnest(range(len(v))) AS place FROM r)")
-SQL |= {f"{name}_all": SQL[name].replace(_ENDS[0], _ENTRIES[0]).replace(_ENDS[1], _ENTRIES[1]) for name in ("mobius_add", "exp_map")}

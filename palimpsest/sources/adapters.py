@@ -67,11 +67,9 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id")))
 
 
-def graph_relations(spark: SparkSession, sf_dir: str, most: int | None = 1) -> DataFrame:
-    """(event_type, source, target): lines of a quantity up to ``most``, or all, those not returned added, those returned removed."""
+def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_type, source, target): every line not returned added, every line returned removed."""
     lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("N", "R"))
-    if most is not None:
-        lines = lines.filter(F.col("l_quantity") <= most)
     return lines.select(
         F.when(F.col("l_returnflag") == "N", "relation_added").otherwise("relation_removed").alias("event_type"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"),
@@ -82,13 +80,15 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as tasks: within a customer the n-th depends on the (n / 2)-th; where the customer's number is a multiple of 7, the first on the last as well."""
     place = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     every = Window.partitionBy("o_custkey")
+    half = F.floor(F.col("seq") / 2).cast("int")
     t = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("due_date"),
-        F.row_number().over(place).alias("seq"), F.collect_list("o_orderkey").over(place.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"), F.max("o_orderkey").over(every).alias("last"),
+        F.row_number().over(place).alias("seq"), F.max("o_orderkey").over(every).alias("last"),
     )
-    half = F.floor(F.col("seq") / 2).cast("int")
+    earlier = t.select("project", F.col("seq").alias("half"), F.col("id").alias("dep"))
+    t = t.withColumn("half", half).join(earlier, ["project", "half"], "left")
     cyclic = (F.col("project") % 7 == 0) & (F.col("seq") == 1) & (F.col("last") != F.col("id"))
-    deps = F.when(half > 0, F.array(F.element_at("so_far", half))).when(cyclic, F.array("last")).otherwise(F.array().cast("array<bigint>"))
+    deps = F.when(F.col("half") > 0, F.array("dep")).when(cyclic, F.array("last")).otherwise(F.array().cast("array<bigint>"))
     return t.select("project", "id", "priority", "due_date", "seq", deps.alias("depends_on"))
 
 

@@ -245,3 +245,45 @@ def test_recency_grows_scores(memories):
     boosted = {r.id: r.score for r in retrieval.recall(memories, "rotate tokens", NOW, recency_weight=0.5).collect()}
     assert all(boosted[i] >= plain[i] for i in plain)
     assert math.isclose(boosted["m1"], plain["m1"] * 1.05, rel_tol=1e-3)
+
+
+def test_occurrences_are_those_of_the_tokens(spark):
+    """Counts by whole forms are the counts of stems among the tokens, whatever stands around them."""
+    from palimpsest.functions import text
+
+    words = "run runs running runed runss ss bus buses ing sing singing the thes thed bed beds need needed x xs ab ab12 12s news it its".split()
+    texts = [" ".join(words), "Run-runs;RUNNING runs_run (running)", "", "the a x", "bedbed bed.bed's", "É run é", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    stems = sorted({s for w in words for s in text.tokens_of(w)})
+    low = F.lower(F.coalesce(F.col("t"), F.lit("")))
+    got = df.select("id", text.tokens(F.col("t")).alias("tokens"), text.token_count(low).alias("n"), text.has_tokens(low).alias("some"), *[text.occurrences(low, s).alias(s) for s in stems]).collect()
+    for r in got:
+        assert (r.n, r.some) == (len(r.tokens), bool(r.tokens))
+        assert [r[s] for s in stems] == [r.tokens.count(s) for s in stems]
+
+
+def test_orders_across_batches(spark):
+    """Projects that end within a batch, span several, or stand alone."""
+    from palimpsest.operators import schedule
+
+    sizes = [1, 40, 3, 25, 1, 1, 60]
+    rows = [(p, 1000 * p + i, i, [1000 * p + i - 1] if i % 3 else [], None if i % 5 else 2, None) for p, n in enumerate(sizes) for i in range(n)]
+    tasks = spark.createDataFrame(rows, "project long, id long, seq int, depends_on array<long>, priority int, due_date string")
+    whole = sorted(tuple(r) for r in schedule.order(tasks).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(tuple(r) for r in schedule.order(tasks.repartition(5)).collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r[0], r[1]) for r in whole] == [(p, i + 1) for p, n in enumerate(sizes) for i in range(n)]
+    assert schedule.order(tasks.limit(0)).collect() == []
+
+
+def test_operations_of_one_moment(spark):
+    from palimpsest.operators import versions
+
+    log = spark.sql("select 'a' id, 'p' project, array('t') tags, timestamp_ntz'2024-01-01 00:00:00' ts, op, content from values ('update', 'z'), ('create', 'x'), ('update', 'y') t(op, content)")
+    for df in (log, log.repartition(3)):
+        assert versions.current(df).first().content == "z"
+        assert [r.content for r in versions.intervals(df).orderBy("content").collect()] == ["x", "y", "z"]
+        assert [r.content for r in versions.intervals(df).filter("valid_to is null").collect()] == ["z"]
