@@ -68,7 +68,8 @@ def score(candidates: DataFrame, fitted_on: DataFrame, query: str) -> DataFrame:
     for i, n in enumerate(asked.values()):
         weight = idf(F.col(f"_df{i}"), F.col("_docs"))
         parts.append(F.col(f"_c{i}") / F.col("_n") * F.lit(n / total) * weight * weight)
-    return rows.withColumn("score", reduce(lambda a, b: a + b, parts)).filter("score > 0").select(*candidates.columns, "score")
+    # every weight is above 0, so a hit is a score above 0; a filter on the score would be pushed down with all it is made of
+    return rows.withColumn("score", reduce(lambda a, b: a + b, parts)).select(*candidates.columns, "score")
 
 
 def _answer(ranked: DataFrame) -> DataFrame:
