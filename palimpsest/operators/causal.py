@@ -118,6 +118,12 @@ def effect(pairs: DataFrame) -> DataFrame:
     )
 
 
+def result_rows(found: DataFrame, treatment: str, outcome: str) -> DataFrame:
+    """The rows of an analysis (as ``analyze`` gives it) for the table of causal results; one with an error leaves none."""
+    rows = found.filter("error is null")
+    return rows.select(F.uuid().alias("id"), F.lit(treatment).alias("treatment"), F.lit(outcome).alias("outcome"), "ate", F.col("n").alias("n_samples"), "status")
+
+
 def interpretation(outcome: str, confounder: str) -> Column:
     return F.format_string(f"Treatment effect: %+.3f on {outcome} (%s, %d matched pairs, confounder: {confounder})", "ate", "status", "n")
 

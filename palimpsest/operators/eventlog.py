@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The event types that exist.
@@ -62,12 +62,41 @@ def field(path: str, kind: str = "string", payload: str = "payload") -> Column:
     return F.try_variant_get(F.try_parse_json(payload), path, kind)
 
 
-def created_in(events: DataFrame, project: str, gone: DataFrame) -> DataFrame:
-    """Nodes created in a project and not tombstoned, one row a creation."""
-    nodes = events.filter((F.col("event_type") == "node_created") & (field("$.project_id") == project))
+def created_in(events: DataFrame, project: str | None, gone: DataFrame) -> DataFrame:
+    """Nodes created in a project, or in any, and not tombstoned, one row a creation."""
+    of = field("$.project_id")
+    nodes = events.filter((F.col("event_type") == "node_created") & (of.isNotNull() if project is None else of == project))
     return nodes.join(gone.select(F.col("node_id").alias("aggregate_id")), "aggregate_id", "left_anti")
 
 
+def tasks(events: DataFrame, project: str | None = None) -> DataFrame:
+    """(project, id, seq, depends_on, priority, due_date) of the nodes created in a project, or in any, in the order of their events."""
+    made = created_in(events, project, tombstones(events)).withColumn("project", field("$.project_id"))
+    order = Window.partitionBy("project").orderBy("ts", "id")
+    return made.select(
+        "project", F.col("aggregate_id").alias("id"), F.row_number().over(order).alias("seq"), F.coalesce(field("$.depends_on", "array<string>"), F.array().cast("array<string>")).alias("depends_on"),
+        field("$.priority", "int").alias("priority"), field("$.due_date").alias("due_date"),
+    )
+
+
+def admitted(events: DataFrame) -> DataFrame:
+    """``events`` with status: of the rows of one id the earliest is accepted, what says the same is a duplicate, anything else a conflict.
+
+    The accepted row is found by aggregates that combine before the shuffle, so an id with very many rows gathers nowhere
+    but in the join that tells each of them.
+    """
+    said = F.xxhash64("aggregate_id", "event_type", "payload")
+    rows = events.withColumn("_said", said)
+    first = rows.groupBy("id").agg(F.min(F.struct("ts", "_said")).alias("_first"), F.count("*").alias("_n"))
+    # equal rows of one moment: one of them is accepted, counted off within (id, content, moment)
+    again = rows.groupBy("id", "_said", "ts", "aggregate_id", "event_type", "payload").agg(F.count("*").alias("_same"))
+    told = again.join(first, "id").withColumn("_is", F.struct("ts", "_said") == F.col("_first"))
+    kinds = F.when(F.col("_is"), F.concat(F.array(F.lit("accepted")), F.array_repeat(F.lit("duplicate"), (F.col("_same") - 1).cast("int")))).otherwise(
+        F.array_repeat(F.when(F.col("_said") == F.col("_first._said"), "duplicate").otherwise("conflict"), F.col("_same").cast("int"))
+    )
+    return told.select("id", "aggregate_id", "event_type", "ts", "payload", F.explode(kinds).alias("status"))
+
+
 def active_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, target): added between two of ``nodes`` (id), once each, and never removed in either direction."""
     ends = relations.filter("source is not null and target is not null")

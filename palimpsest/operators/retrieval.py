@@ -95,6 +95,16 @@ def budget(answer: DataFrame) -> DataFrame:
     return answer.agg(F.count("*").alias("count"), (F.lit(OVERHEAD) + F.coalesce(F.sum("token_estimate"), F.lit(0))).alias("total_tokens"))
 
 
+def answer_at(memories: DataFrame, versions: DataFrame, query: str, timestamp: str, project: str | None = None, k: int = 5) -> DataFrame:
+    """(as_of, count, total_tokens, error): what ``query_at`` costs; nothing and a reason for a bad timestamp, nothing for a blank query."""
+    spark = memories.sparkSession
+    reason = None if moment(timestamp) is not None else f"Invalid ISO 8601 timestamp: '{timestamp}'"
+    if reason or not query.strip():
+        return spark.createDataFrame([(timestamp, 0, 0, None if not query.strip() else reason)], "as_of string, count long, total_tokens long, error string")
+    out = budget(query_at(memories, versions, query, timestamp, project, k))
+    return out.select(F.lit(timestamp).alias("as_of"), "count", F.col("total_tokens").cast("long").alias("total_tokens"), F.lit(None).cast("string").alias("error"))
+
+
 def query_at(memories: DataFrame, versions: DataFrame, query: str, timestamp: str, project: str | None = None, k: int = 5) -> DataFrame:
     """The k best memories of a past moment; frequencies are those of the snapshot. A bad timestamp raises ValueError."""
     from .versions import snapshot

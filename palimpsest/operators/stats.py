@@ -1,4 +1,4 @@
-"""Counts over memories and over events, a row each; constraints and causal results are not counted."""
+"""Counts over all tables of the engine."""
 
 from __future__ import annotations
 
@@ -20,6 +20,15 @@ def memory_stats(memories: DataFrame) -> DataFrame:
     )
 
 
+def system(memories: DataFrame, versions: DataFrame, events: DataFrame, constraints: DataFrame, results: DataFrame) -> DataFrame:
+    """(name, value): one row a count, over all tables."""
+    of = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [memory_stats(memories), node_stats(events).drop("nodes", "live_nodes"), of(versions, "versions"), of(constraints, "constraints"), of(results, "causal_analyses")]
+    one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in one.columns])
+    return one.select(F.explode(pairs).alias("pair")).select("pair.*")
+
+
 def node_stats(events: DataFrame) -> DataFrame:
     """Events, embedded nodes, tombstones, nodes that are embedded and not tombstoned, and the dimension they ask for.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import eventlog, stats
+from ..operators import commands, eventlog, stats
 from ..sources.adapters import event_log, table
 from ..streaming import events as streams
 
@@ -25,6 +25,26 @@ def validate_events(spark, sf_dir):
     return eventlog.validated(_odd(spark, sf_dir)).select("id", "valid", "error")
 
 
+#: Of identifiers that add_event gives: version 7, made at this moment.
+NOW, NOW_MS = "2024-02-01 00:00:00", 1706745600000
+_UUID7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+
+
+def add_event_command(spark, sf_dir):
+    """Answers for every event, broken ones too, whether each new id has its form and moment, and whether its row is appended."""
+    answers, _ = commands.add_events(_odd(spark, sf_dir).select("aggregate_id", "event_type", "payload"), NOW)
+    moment = F.conv(F.replace(F.substring("id", 1, 13), F.lit("-"), F.lit("")), 16, 10).cast("long")
+    return answers.select("aggregate_id", "valid", "error", (F.rlike("id", F.lit(_UUID7)) & (moment == NOW_MS)).alias("uuid7"))
+
+
+def admitted_events(spark, sf_dir):
+    """Every event, each fifth sent again, each seventh sent again with another payload."""
+    e = event_log(spark, sf_dir).select("id", "aggregate_id", "event_type", "ts", "payload")
+    later = F.col("ts") + F.make_dt_interval(mins=F.lit(1))
+    other = e.filter("id % 7 = 0").withColumn("payload", F.lit('{"k": -1}')).withColumn("ts", later)
+    return eventlog.admitted(e.unionByName(e.filter("id % 5 = 0")).unionByName(other)).select("id", "status")
+
+
 def event_counts(spark, sf_dir):
     return eventlog.counts(event_log(spark, sf_dir))
 
@@ -74,13 +94,15 @@ _TOMB = """back AS (SELECT aggregate_id, max((ts, id)) AS back FROM log WHERE ev
 _LATEST = """latest AS (SELECT aggregate_id AS node_id, payload, version FROM (SELECT aggregate_id, payload, row_number() OVER (PARTITION BY aggregate_id ORDER BY ts DESC, id DESC) AS n, count(*) OVER (PARTITION BY aggregate_id) AS version
   FROM log WHERE event_type IN ('node_created', 'node_updated')) WHERE n = 1)"""
 QUERIES = {
-    "validate_events": validate_events, "event_counts": event_counts, "tombstones": tombstones, "latest_payload": latest_payload, "active_nodes": active_nodes, "payload_fields": payload_fields, "node_stats": node_stats,
+    "validate_events": validate_events, "add_event_command": add_event_command, "admitted_events": admitted_events, "event_counts": event_counts, "tombstones": tombstones, "latest_payload": latest_payload, "active_nodes": active_nodes, "payload_fields": payload_fields, "node_stats": node_stats,
     "stream_daily_counts": stream_daily_counts, "stream_deduplicated": stream_deduplicated,
 }
 SQL = {
     "validate_events": """SELECT event_id AS id, event_id % 11 IN (4, 10) AS valid, CASE event_id % 11 WHEN 2 THEN 'aggregate_id is blank' WHEN 6 THEN 'event_type is blank'
       WHEN 7 THEN 'payload is no object with entries' WHEN 8 THEN 'payload is no object with entries' WHEN 9 THEN 'payload is no object with entries'
       WHEN 0 THEN 'aggregate_id is not type:project:id' WHEN 1 THEN 'aggregate_id is not type:project:id' WHEN 3 THEN 'aggregate_id is not type:project:id' WHEN 5 THEN 'event_type is unknown' END AS error FROM events""",
+    "admitted_events": """SELECT event_id AS id, 'accepted' AS status FROM events UNION ALL SELECT event_id, 'duplicate' FROM events WHERE event_id % 5 = 0
+      UNION ALL SELECT event_id, 'conflict' FROM events WHERE event_id % 7 = 0""",
     "event_counts": f"WITH {_LOG} SELECT event_type, count(*) AS n FROM log GROUP BY 1",
     "tombstones": f"WITH {_LOG}, {_TOMB} SELECT node_id, event_id, deleted_at FROM gone WHERE n = 1",
     "latest_payload": f"WITH {_LOG}, {_LATEST} SELECT * FROM latest",
@@ -92,3 +114,6 @@ SQL = {
     "stream_daily_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_deduplicated": "SELECT event_id AS id, event_type FROM events",
 }
+SQL["add_event_command"] = f"""WITH v AS ({SQL['validate_events']})
+  SELECT CASE event_id % 11 {' '.join(f"WHEN {k} THEN E'{x}'" for k, x in enumerate(x.replace(chr(10), chr(92) + 'n') for x in _BROKEN))} ELSE 'node:p' || (user_id % 10) || ':u' || user_id END AS aggregate_id, v.valid, v.error, true AS uuid7
+  FROM events e JOIN v ON v.id = e.event_id"""

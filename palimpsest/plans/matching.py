@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import causal
-from ..sources.adapters import event_log, suppliers_as_nodes
+from ..operators import causal, stats, versions
+from ..sources.adapters import event_log, memories, memory_log, suppliers_as_nodes, table
+from ..sources.store import Store, shared_dir
+from .events import SQL as _EVENTS
+from .memory import SQL as _MEMORY
 
 
 def treatment_split(spark, sf_dir):
@@ -34,6 +39,22 @@ def analyze_causal(spark, sf_dir):
     return causal.analyze(suppliers_as_nodes(spark, sf_dir), "acctbal", "shade").select("ate", "n", "status", "confounder_used", "treatment_n", "control_n", "error", "interpretation")
 
 
+def _results(spark, sf_dir):
+    """The analysis appended to the results of a store, and that table read back."""
+    store = Store(spark, f"{shared_dir(spark)}/palimpsest/store-{uuid.uuid4().hex}")
+    store.append("causal_results", causal.result_rows(causal.analyze(suppliers_as_nodes(spark, sf_dir), "acctbal", "shade"), "nation below 8", "acctbal"))
+    return store.read("causal_results")
+
+
+def causal_results(spark, sf_dir):
+    return _results(spark, sf_dir).drop("id")
+
+
+def system_stats(spark, sf_dir):
+    constraints = table(spark, sf_dir, "orders")  # each order is a constraint
+    return stats.system(memories(spark, sf_dir), versions.versions(memory_log(spark, sf_dir)), event_log(spark, sf_dir), constraints, _results(spark, sf_dir))
+
+
 def causal_status(spark, sf_dir):
     return spark.range(0, 41).select(F.col("id").alias("n"), causal.status(F.col("id")).alias("status"))
 
@@ -54,7 +75,7 @@ _MATCH = f"""{_SCORED}, treats AS (SELECT *, row_number() OVER (ORDER BY id) AS
 _STATUS = "CASE WHEN n >= 30 THEN 'counterfactual_validated' WHEN n >= 10 THEN 'observational' ELSE 'hypothesis' END"
 _EFFECT = f"{_MATCH}, e AS (SELECT coalesce(round(avg(t.y) - avg(c.y), 3), 0) AS ate, count(*) AS n FROM pairs p JOIN scored t ON t.id = p.treatment_id JOIN scored c ON c.id = p.control_id)"
 QUERIES = {
-    "treatment_split": treatment_split, "resolve_confounder": resolve_confounder, "pooled_zscore": pooled_zscore, "causal_match": causal_match, "causal_ate": causal_ate, "analyze_causal": analyze_causal, "causal_status": causal_status, "balance": balance,
+    "treatment_split": treatment_split, "resolve_confounder": resolve_confounder, "pooled_zscore": pooled_zscore, "causal_match": causal_match, "causal_ate": causal_ate, "analyze_causal": analyze_causal, "causal_status": causal_status, "balance": balance, "causal_results": causal_results, "system_stats": system_stats,
 }
 SQL = {
     "treatment_split": "SELECT count(*) FILTER (props::JSON->>'$.k' = '7') AS treatment_n, count(*) FILTER (props::JSON->>'$.k' <> '7') AS control_n FROM events",
@@ -69,3 +90,7 @@ SQL = {
     "causal_status": "SELECT range AS n, CASE WHEN range >= 30 THEN 'counterfactual_validated' WHEN range >= 10 THEN 'observational' ELSE 'hypothesis' END AS status FROM range(0, 41)",
     "balance": f"WITH {_NODES} SELECT round((avg(x) FILTER (treated) - avg(x) FILTER (NOT treated)) / sqrt((var_pop(x) FILTER (treated) + var_pop(x) FILTER (NOT treated)) / 2), 6) AS smd FROM nodes",
 }
+SQL["causal_results"] = f"SELECT 'nation below 8' AS treatment, 'acctbal' AS outcome, ate, n AS n_samples, status FROM ({SQL['analyze_causal']}) WHERE error IS NULL"
+SQL["system_stats"] = f"""WITH one AS (SELECT m.*, e.events, e.tombstoned, e.active_nodes, e.target_dim, (SELECT count(*) FROM conversations) - (SELECT count(DISTINCT conv_id) FROM conversations) AS versions,
+    (SELECT count(*) FROM orders) AS constraints, (SELECT count(*) FROM ({SQL['causal_results']})) AS causal_analyses FROM ({_MEMORY['memory_stats']}) m CROSS JOIN ({_EVENTS['node_stats']}) e)
+  SELECT name, value::BIGINT AS value FROM (UNPIVOT (SELECT COLUMNS(*)::BIGINT FROM one) ON COLUMNS(*) INTO NAME name VALUE value)"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import commands, schedule
-from ..sources.adapters import table, tasks
+from ..operators import commands, eventlog, schedule
+from ..sources.adapters import table, task_events, tasks
 
 
 def _constraints(spark, sf_dir):
@@ -39,6 +39,11 @@ def suggest_order(spark, sf_dir):
     return schedule.order(tasks(spark, sf_dir)).select("project", F.col("position").cast("long").alias("position"), "id", "cycle")
 
 
+def event_order(spark, sf_dir):
+    """The order of the tasks of all projects, from their events."""
+    return schedule.order(eventlog.tasks(task_events(spark, sf_dir))).select("project", F.col("position").cast("long").alias("position"), "id", "cycle")
+
+
 def cycle_tasks(spark, sf_dir):
     return schedule.order(tasks(spark, sf_dir)).filter("cycle").select("project", "id")
 
@@ -64,7 +69,7 @@ placed AS (
   FROM t JOIN final f ON f.project = t.project
 )"""
 QUERIES = {
-    "merged_constraints": merged_constraints, "constraint_command": constraint_command, "constrained_tasks": constrained_tasks, "ready_tasks": ready_tasks, "suggest_order": suggest_order, "cycle_tasks": cycle_tasks, "suggest_next": suggest_next,
+    "merged_constraints": merged_constraints, "constraint_command": constraint_command, "constrained_tasks": constrained_tasks, "ready_tasks": ready_tasks, "suggest_order": suggest_order, "cycle_tasks": cycle_tasks, "suggest_next": suggest_next, "event_order": event_order,
 }
 SQL = {
     "merged_constraints": """SELECT o_custkey AS node_id, string_agg((o_orderkey % 100)::VARCHAR, ',' ORDER BY o_orderkey) AS depends_on, least(99, min(left(o_orderpriority, 1)::INT)) AS priority
@@ -74,6 +79,7 @@ SQL = {
       SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE m.p END AS priority, coalesce(m.n, 0) AS n_depends FROM customer c LEFT JOIN m ON m.id = c.c_custkey""",
     "ready_tasks": f"WITH {_TASKS} SELECT project, count(*) AS total_tasks, count(*) FILTER (dep IS NULL) AS ready_now FROM t GROUP BY project",
     "suggest_order": f"WITH RECURSIVE {_ORDER} SELECT project, position, id, cycle FROM placed",
+    "event_order": f"WITH RECURSIVE {_ORDER.replace('FROM orders)', 'FROM orders WHERE o_orderkey % 13 <> 0)')} SELECT 'c' || project AS project, position, 'node:c' || project || ':o' || id AS id, cycle FROM placed",
     "cycle_tasks": f"WITH RECURSIVE {_ORDER} SELECT project, id FROM placed WHERE cycle",
     "suggest_next": f"""WITH RECURSIVE {_ORDER} SELECT p.project, string_agg(p.id::VARCHAR, ',' ORDER BY p.position) FILTER (p.position <= 5) AS suggested_order, count(*) AS total_tasks, count(*) FILTER (t.dep IS NULL) AS ready_now
       FROM placed p JOIN t ON t.project = p.project AND t.id = p.id GROUP BY p.project""",

@@ -76,12 +76,12 @@ def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as tasks: within a customer the n-th depends on the (n / 2)-th; where the customer's number is a multiple of 7, the first on the last as well."""
+def tasks(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """orders (all, or those given) as tasks: within a customer the n-th depends on the (n / 2)-th; where the customer's number is a multiple of 7, the first on the last as well."""
     place = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     every = Window.partitionBy("o_custkey")
     half = F.floor(F.col("seq") / 2).cast("int")
-    t = table(spark, sf_dir, "orders").select(
+    t = (table(spark, sf_dir, "orders") if orders is None else orders).select(
         F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("due_date"),
         F.row_number().over(place).alias("seq"), F.max("o_orderkey").over(every).alias("last"),
     )
@@ -92,6 +92,18 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("project", "id", "priority", "due_date", "seq", deps.alias("depends_on"))
 
 
+def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event log of the tasks: each order creates a node, and every thirteenth is deleted a day later; the others are tasks among themselves."""
+    orders = table(spark, sf_dir, "orders")
+    gone = F.col("o_orderkey") % 13 == 0
+    name = lambda project, id_: F.concat(F.lit("node:c"), project.cast("string"), F.lit(":o"), id_.cast("string"))
+    kept = tasks(spark, sf_dir, orders.filter(~gone)).select("project", "id", "priority", "due_date", F.transform("depends_on", lambda d: name(F.col("project"), d)).alias("depends_on"))
+    lost = orders.filter(gone).select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"), F.lit(1).alias("priority"), F.lit(None).cast("string").alias("due_date"), F.array().cast("array<string>").alias("depends_on"))
+    payload = F.to_json(F.struct(F.concat(F.lit("c"), F.col("project").cast("string")).alias("project_id"), "priority", "due_date", "depends_on"))
+    event = lambda rows, kind, days: rows.select(F.lit(kind).alias("event_type"), F.concat(F.lit(f"{kind}-"), F.col("id").cast("string")).alias("id"), name(F.col("project"), F.col("id")).alias("aggregate_id"), (_after(F.col("id")) + F.make_dt_interval(days=F.lit(days))).alias("ts"), payload.alias("payload"))
+    return event(kept, "node_created", 0).unionByName(event(lost, "node_created", 0)).unionByName(event(lost, "node_deleted", 1))
+
+
 def suppliers_as_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, id, treated, confounder, outcome) for matching."""
     return table(spark, sf_dir, "supplier").select(
