@@ -51,8 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, outlives lost executors."""
+def stage_table(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, outlives lost executors.
+
+    ``files``, from a count of what goes into it, spares small tables a file for every shuffle partition.
+    """
+    if files is not None:
+        df = df.coalesce(files)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
