@@ -184,6 +184,11 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
             n = m.text_tokens(texts)
             return {"doc_id": column(batch, id_col), "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
+        def close() -> None:
+            m.words.clear()
+            m.chunks.clear()
+
+        step.close = close
         return step
 
     return map_texts(docs.select(id_col, text_col), kernel, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", text_col)

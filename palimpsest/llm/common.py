@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -41,22 +42,35 @@ def slices(batch: pa.RecordBatch, text: str | None, budget: int = BATCH_BYTES) -
         yield batch.slice(start, len(sizes) - start)
 
 
+def trim() -> None:
+    """Give back to the system what a task has freed; the worker lives on, and shares its executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def map_texts(
     df: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]], schema: str | StructType, text: str | None = "text"
 ) -> DataFrame:
-    """Run ``kernel()`` once a task; what it returns maps slices of the batches to columns of ``schema``."""
+    """Run ``kernel()`` once a task; what it returns maps slices of the batches to columns of ``schema``. Its ``close``, if any, ends the task."""
     arrow = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         step = kernel()
-        for batch in batches:
-            for part in slices(batch, text):
-                cols = step(part)
-                if cols is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f, c in ((f, cols[f.name]) for f in arrow)], schema=arrow
-                    )
+        try:
+            for batch in batches:
+                for part in slices(batch, text):
+                    cols = step(part)
+                    if cols is not None:
+                        yield pa.RecordBatch.from_arrays(
+                            [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for f, c in ((f, cols[f.name]) for f in arrow)], schema=arrow
+                        )
+        finally:
+            getattr(step, "close", lambda: None)()
+            trim()
 
     return df.mapInArrow(run, schema)
 

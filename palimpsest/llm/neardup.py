@@ -56,6 +56,9 @@ BLOCK, SHINGLES = 4096, 1 << 20
 #: Bits an id gets in a filter, ids above which one is used at all, and the largest filter (32 MB); beyond it more rows pass, and joins decide.
 ID_BITS, FEW_IDS, MOST_BITS = 8, 100_000, 1 << 28
 
+#: Rows of a staged table that go into a file: narrow ones, and ones that are costly to make.
+NARROW, COSTLY = 250_000, 20_000
+
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -316,15 +319,20 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFr
     return map_texts(asked, cut, "id long, found binary")
 
 
+def _files(rows: int, each: int = NARROW) -> int:
+    return 1 + rows // each
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Pairs (a, b; n of a) whose full sets reach the threshold.
 
     The partners of one ``b`` are dealt into tasks of bounded size, and its set travels once a task. Partners have at
     least three quarters of its shingles, so that this at most doubles what moves.
     """
+    files = _files(pairs.count(), COSTLY)
     load = pairs.groupBy("b").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("tasks"))
     dealt = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), "tasks").cast("int").alias("task"))
-    asked = stage_table(dealt.unionByName(dealt.select(F.col("b").alias("a"), "b", "task").distinct()), "asked")
+    asked = stage_table(dealt.unionByName(dealt.select(F.col("b").alias("a"), "b", "task").distinct()), "asked", files)
     sets = _sets(asked.select(F.col("a").alias("id")).distinct(), docs, id_col, text_col)
     rows = asked.join(sets.withColumnRenamed("id", "a"), "a")
 
@@ -336,7 +344,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
         got = sorted({i for i, x in zip(ids, found, strict=True) if i != b and any(alike(x, y, percent) for y in heads)})
         return pa.table({"a": pa.array(got, pa.int64()), "b": pa.array([b] * len(got), pa.int64())})
 
-    out = stage_table(rows.groupBy("b", "task").applyInArrow(compare, "a long, b long"), "verified")
+    out = stage_table(rows.groupBy("b", "task").applyInArrow(compare, "a long, b long"), "verified", files)
     discard(asked)
     return out
 
@@ -344,7 +352,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 def _open_buckets(shared: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (bucket, band, rep, n, comp) of all buckets, and those buckets whose members lie in more than one component."""
     rows = shared.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    rows = stage_table(rows, "bucketed")
+    rows = stage_table(rows, "bucketed", _files(shared.count()))
     # the component of the smallest member is the bucket's core
     return rows, rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.min(F.struct("rep", "comp")).alias("least")).filter("lo <> hi and members > 2").select("bucket", F.col("least.comp").alias("core"))
 
@@ -430,7 +438,7 @@ def _across(rows: DataFrame, open_: DataFrame, reps: DataFrame, docs: DataFrame,
                     b_out.append(int(cols["rep"][k]))
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    out = stage_table(near.groupBy(*key).applyInArrow(check, "a long, b long").distinct(), "links")
+    out = stage_table(near.groupBy(*key).applyInArrow(check, "a long, b long").distinct(), "links", _files(met.count(), COSTLY))
     discard(met)
     return out
 
@@ -445,16 +453,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     reps = classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")) if _repeated(classes) else classes.select("rep", "n", "sig", "bands")
     banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n").select(F.xxhash64("band", "key").alias("bucket"), F.col("band").cast("byte").alias("band"), "rep", "n")
     heads = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.max("rep").alias("last")).filter("head.rep <> last")
-    shared = stage_table(banded.join(heads.select("bucket", "head"), "bucket"), "buckets")
+    shared = stage_table(banded.join(heads.select("bucket", "head"), "bucket"), "buckets", _files(BANDS * classes.count(), 2 * NARROW))
     fits = F.col("n") * 100 >= percent * F.col("head.n")
     fits &= F.col("head.n") * 100 >= percent * F.col("n")
     pairs = shared.filter((F.col("rep") != F.col("head.rep")) & fits).groupBy(F.col("rep").alias("a"), F.col("head.rep").alias("b")).agg(F.max("n").alias("n"))
-    first = stage_table(_pruned(pairs, reps, need), "pairs")
+    n = shared.count()
+    first = stage_table(_pruned(pairs, reps, need), "pairs", _files(n, 2 * COSTLY))
     links = _verified(first, docs, id_col, text_col, percent)
     # one id with several texts links their classes
     known = stage_table(connected_components(links).coalesce(1 + links.count() // TASK_LINKS), "components")
     rows, open_ = _open_buckets(shared, known)
-    open_ = stage_table(open_, "open")
+    open_ = stage_table(open_, "open", _files(n))
     more = _across(rows, open_, reps, docs, need, percent, id_col, text_col)
     spare = [shared, first, rows, open_, links, more]
     if more.take(1):
@@ -463,7 +472,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     named = sketched.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left")
     named = named.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
-    out = stage_table(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "groups")
+    out = stage_table(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "groups", _files(sketched.count()))
     discard(*spare, sketched, classes, known)
     return out
 
@@ -479,7 +488,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     ``docs`` is filtered where it is read. Only where an id has several rows are these few gathered, by id.
     """
     found = near_duplicates(docs, id_col=id_col, **how)
-    per = stage_table(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "ids")
+    per = stage_table(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "ids", _files(found.count()))
     gone = per.filter("not kept").select("id")
     levels = id_levels(gone, per.filter("kept").select("id"))
     left = _without(docs, levels, id_col)

@@ -32,8 +32,8 @@ from .ragged import PairMerger
 
 CAPACITY = 4096
 END_ID = 1
-#: Words and chunks whose ids a worker keeps; beyond, the cache starts anew.
-CACHE_WORDS = 250_000
+#: Words and chunks whose ids a task keeps; beyond, the cache starts anew.
+CACHE_WORDS = 200_000
 
 #: What needs no normalisation but lower case: printable ASCII and letters of Latin-1, and white space between.
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -140,6 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                         out[name].append(v)
             return out
 
+        step.close = tok.words.clear
         return step
 
     return map_texts(docs.select(id_col, text_col), kernel, "doc_id long, piece int, start long, length long, ids_crc32 long", text_col)
