@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, langid, licenses, media, mixing, neardup, packing, quality, secrets, topk
+from . import bpe_counts, dominance, langid, licenses, media, mixing, neardup, packing, quality, secrets, substrings, topk, vectorcodes
 from .common import documents
 
 
@@ -55,9 +55,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.sales_above(spark.read.parquet(f"{sf_dir}/sales.parquet"))
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_topk_search, op4_media, op5_pack, op6_near_duplicates, op7_language, op8_licenses, op9_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_topk_search, op4_media, op5_pack, op6_near_duplicates, op7_language, op8_licenses, op9_mix, op10_token_counts, op11_vector_codes, op12_dominance, op13_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": topk.SEARCH_SQL, "op9_mix": mixing.REPORT_SQL}
+    return {"op3_topk_search": topk.SEARCH_SQL, "op9_mix": mixing.REPORT_SQL, "op11_vector_codes": vectorcodes.CODES_SQL, "op12_dominance": dominance.SALES_SQL, "op13_substrings": substrings.REPORT_SQL}
