@@ -126,7 +126,8 @@ def _counted(cells: DataFrame, bits: int) -> DataFrame:
     larger = Window.partitionBy("task").orderBy(F.desc("digit")).rowsBetween(Window.unboundedPreceding, -1)
     lacking = asked.select("task", "digit", *[F.sum(c).over(larger).alias(f"_{c}") for c in ("n", "w")]).filter("_n > 0")
     rows = swept.filter(f"kind = {ROW}")
-    handed = rows.filter("head").join(lacking, ["task", "digit"]).select("slot", "key", F.col("_n").alias("n"), F.col("_w").alias("w"))
+    # they grow with the tasks, so that they are never broadcast
+    handed = rows.filter("head").join(lacking.hint("merge"), ["task", "digit"]).select("slot", "key", F.col("_n").alias("n"), F.col("_w").alias("w"))
     return rows.filter("n > 0").select("slot", "key", "n", "w").unionByName(handed).groupBy("slot", "key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
 
 
