@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import causal, stats, versions
 from ..sources.adapters import event_log, memories, memory_log, suppliers_as_nodes, table
-from ..sources.store import Store, shared_dir
+from ..sources.store import Store, scratch
 from .events import SQL as _EVENTS
 from .memory import SQL as _MEMORY
 
@@ -41,7 +39,7 @@ def analyze_causal(spark, sf_dir):
 
 def _results(spark, sf_dir):
     """The analysis appended to the results of a store, and that table read back."""
-    store = Store(spark, f"{shared_dir(spark)}/palimpsest/store-{uuid.uuid4().hex}")
+    store = Store(spark, scratch(spark, "store"))
     store.append("causal_results", causal.result_rows(causal.analyze(suppliers_as_nodes(spark, sf_dir), "acctbal", "shade"), "nation below 8", "acctbal"))
     return store.read("causal_results")
 

@@ -51,6 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    """(the file system of a path, the path) as Spark's writers see them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table in the shared folder, which goes when the application ends, if ``discard`` hasn't deleted it before."""
+    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    files, place = _place(spark, path)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def stage_table(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, outlives lost executors.
 
@@ -59,7 +74,7 @@ def stage_table(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     if files is not None:
         df = df.coalesce(files)
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark, name)}/rows"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
@@ -70,5 +85,5 @@ def discard(*tables: DataFrame) -> None:
     """Delete staged tables after their last use; nothing that is still to run may read them."""
     for df in tables:
         if path := getattr(df, "_staged", None):
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+            files, place = _place(df.sparkSession, path)
+            files.delete(place.getParent(), True)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.eventlog import validated
-from ..sources.store import shared_dir
+from ..sources.store import scratch
 
 
 def read(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -42,7 +40,7 @@ def fold(stream: DataFrame, target: str, checkpoint: str, mode: str = "append",
 def materialised(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The stream's result over all that is there, as a table in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/palimpsest/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     fold(stream, f"{base}/out", f"{base}/checkpoint", mode)
     out = spark.read.schema(stream.schema).parquet(f"{base}/out")
     return out.select(*stream.columns)
