@@ -3,7 +3,7 @@
 Texts become sets of 5-word shingles (64-bit hashes of the words' bytes, letters
 A-Z folded; equal hashes count as equal words). Equal sets form one class first,
 so copies never meet as pairs. Class representatives are sketched by ``HASHES``
-minima; those of ``ROWS`` make a band, and classes that share a band's key are
+minima, of which 16 bits are kept; those of ``ROWS`` make a band, and classes that share a band's key are
 candidates.
 
 Candidates are checked in two passes. In the first, each bucket's smallest
@@ -122,11 +122,10 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(16 bits of each minimum, the bands' keys)."""
+    """(16 bits of each minimum, the bands' keys: the bits of their rows, so that equal bits are an equal key and no pair is looked for in a band that its buckets don't share)."""
     low = minima(found).astype(np.uint64)
-    mixed = _mixed(low * np.uint64(0x9E3779B97F4A7C15) + np.arange(HASHES, dtype=np.uint64))
-    keys = _mixed((mixed.reshape(BANDS, ROWS) * _PLACE[:ROWS]).sum(1, dtype=np.uint64))
-    return mixed.astype(np.uint16), keys.view(np.int64)
+    sig = _mixed(low * np.uint64(0x9E3779B97F4A7C15) + np.arange(HASHES, dtype=np.uint64)).astype(np.uint16)
+    return sig, sig.view(np.int64)
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:

@@ -5,7 +5,9 @@ candidates are reported only once decoded and parsed: signed tokens by their
 JSON header and payload and their signature, base64 and hex runs by key
 encodings whose nested lengths add up to the end (DER sequences, length-prefixed
 key strings, key containers), armoured blocks by their body. Base64 may be
-wrapped over lines; armour may have header lines and line ends that are escaped.
+wrapped over lines; armour may have header lines and line ends that are escaped. DER is followed to 12
+levels; what nests deeper isn't reported. Every text takes time in proportion to its length: lines of
+base64 are decoded once, and where length-prefixed strings lead is remembered.
 
 Spans are (kind, start, end) in code points, end exclusive, sorted by start and
 then by kind in the order of ``KINDS``. What parses as a public key is reported
@@ -22,6 +24,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,17 +43,25 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: The body is base64 over lines, whose ends may be written as escapes, after header lines (``Name: value``).
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr]|[A-Za-z-]+: [^\n\\-]+(?:-[^\n\\-]+)*(?:\\n|\n))+)-----END \1-----")
-_HEADER = re.compile(r"[A-Za-z-]+: [^\n\\]+(?:\\[nr]|\s)")
+#: Armour is found by its first and last lines; what is between is then judged line by line.
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+END = re.compile(r"-----END ([A-Z0-9 ]*PRIVATE KEY)-----")
+_LINE_END = re.compile(r"\\[nr]|[\r\n]")
+_HEADER = re.compile(r"[A-Za-z-]+: [^\\]+")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s]*")
 #: A DER sequence in base64 begins with M; a wire string of under 16 MB with AAAA; a key container with b3BlbnNzaC1rZXk.
 CODED = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]|AAAA|b3BlbnNzaC1rZXk)[A-Za-z0-9+/]{30,}={0,2}")
-#: The same over more lines.
+#: The same over more lines, and what a line holds of it.
 WRAPPED = re.compile(r"[A-Za-z0-9+/]+(?:\r?\n[ \t]*[A-Za-z0-9+/]+)+={0,2}")
+_PIECE = re.compile(r"[A-Za-z0-9+/]+=*")
 #: DER sequences, wire strings and key containers in hex.
 HEX_CODED = re.compile(r"(?<![0-9A-Fa-f])(?:30|000000|6[fF]70656[eE]7373682[dD]6[bB])[0-9A-Fa-f]{58,}(?![0-9A-Fa-f])")
 
 CONTAINER = b"openssh-key-v1\0"
+#: A key type, the first of a wire key's strings.
+KEY_TYPE = re.compile(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$")
+#: Levels of DER that are followed; keys and certificates nest to half of it.
+DEPTH = 12
 Span = tuple[str, int, int]
 
 
@@ -68,15 +80,16 @@ def der_element(raw: bytes, at: int, stop: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= stop else None
 
 
-def der_fits(raw: bytes) -> bool:
-    """A sequence of the whole length with two elements or more, nested sequences and sets filled exactly, an integer or object id among them."""
+def der_fits(raw: bytes, at: int = 0, stop: int | None = None) -> bool:
+    """A sequence from ``at`` to ``stop`` with two elements or more, nested sequences and sets filled exactly, an integer or object id among them."""
     seen = set()
+    stop = len(raw) if stop is None else stop
 
     def fill(at: int, stop: int, depth: int) -> int:
         n = 0
         while at < stop:
             e = der_element(raw, at, stop)
-            if e is None or depth > 12 or e[0] & 0x1F not in (1, 2, 3, 4, 5, 6, 10, 12, 16, 17, 19, 20, 22, 23, 24) and e[0] < 0xA0:
+            if e is None or depth > DEPTH or e[0] & 0x1F not in (1, 2, 3, 4, 5, 6, 10, 12, 16, 17, 19, 20, 22, 23, 24) and e[0] < 0xA0:
                 return -1
             seen.add(e[0])
             if e[0] & 0x20 and fill(e[1], e[2], depth + 1) < 0:
@@ -84,33 +97,50 @@ def der_fits(raw: bytes) -> bool:
             at, n = e[2], n + 1
         return n
 
-    top = der_element(raw, 0, len(raw))
-    return top is not None and top[0] == 0x30 and top[2] == len(raw) and len(raw) >= 24 and fill(top[1], top[2], 1) >= 2 and bool(seen & {2, 6})
-
-
-def _strings(raw: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
-    """Length-prefixed strings from ``at`` on, up to ``most`` or the end, and where they end; None if one doesn't fit."""
-    parts: list[bytes] = []
-    while at < len(raw) if most is None else len(parts) < most:
-        stop = at + 4 + int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 > len(raw) or stop > len(raw):
-            return None
-        parts.append(raw[at + 4 : stop])
-        at = stop
-    return parts, at
-
-
-def wire_fits(raw: bytes) -> bool:
-    """Length-prefixed strings that fill the whole, the first naming a key type; or a key container filled to its end."""
-    if raw.startswith(CONTAINER):
-        head = _strings(raw, len(CONTAINER), 3)  # cipher, derivation, its options; then how many keys
-        if head is None or head[1] + 4 > len(raw):
+    top = der_element(raw, at, stop)
+    return top is not None and top[0] == 0x30 and top[2] == stop and stop - at >= 24 and fill(top[1], top[2], 1) >= 2 and bool(seen & {2, 6})
+
+
+def _string(raw: bytes, at: int) -> int:
+    """Where the length-prefixed string at ``at`` ends; -1 if it doesn't fit."""
+    stop = at + 4 + int.from_bytes(raw[at : at + 4], "big")
+    return stop if at + 4 <= len(raw) and stop <= len(raw) else -1
+
+
+def _strings_to_end(raw: bytes, at: int, known: dict[int, int]) -> int:
+    """How many length-prefixed strings fill the rest from ``at`` on; -1 if they don't end with it. ``known`` holds what was found before."""
+    passed = []
+    while at != len(raw) and at >= 0 and at not in known:
+        passed.append(at)
+        at = _string(raw, at)
+    n = 0 if at == len(raw) else known.get(at, -1)
+    for place in reversed(passed):
+        n = n + 1 if n >= 0 else -1
+        known[place] = n
+    return n
+
+
+def wire_fits(raw: bytes, at: int = 0, known: dict[int, int] | None = None) -> bool:
+    """Length-prefixed strings from ``at`` to the end, two or more, the first naming a key type; or a key container filled to its end."""
+    known = {} if known is None else known
+    if raw.startswith(CONTAINER, at):
+        at += len(CONTAINER)
+        for _ in range(3):  # cipher, derivation, its options; then how many keys
+            at = _string(raw, at) if at >= 0 else -1
+        if at < 0 or at + 4 > len(raw):
+            return False
+        n = int.from_bytes(raw[at : at + 4], "big")
+        at += 4
+        if n < 1 or _strings_to_end(raw, at, known) != n + 1:  # public keys, the private part
             return False
-        n = int.from_bytes(raw[head[1] : head[1] + 4], "big")
-        rest = _strings(raw, head[1] + 4, n + 1) if 0 < n < 64 else None  # public keys, the private part
-        return rest is not None and rest[1] == len(raw) and all(map(wire_fits, rest[0][:-1]))
-    got = _strings(raw, 0)
-    return got is not None and len(got[0]) >= 2 and re.match(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$", got[0][0]) is not None
+        for _ in range(n):
+            stop = _string(raw, at)
+            if not wire_fits(raw[at + 4 : stop]):
+                return False
+            at = stop
+        return True
+    stop = _string(raw, at)
+    return stop >= 0 and KEY_TYPE.match(raw, at + 4, stop) is not None and _strings_to_end(raw, at, known) >= 2
 
 
 def public(raw: bytes) -> bool:
@@ -160,19 +190,47 @@ def _structure(body: bytes | None) -> str | None:
     return None if body is None else "der" if der_fits(body) else "wire" if wire_fits(body) else None
 
 
-def _unwrapped(text: str, at: int) -> tuple[bytes, int] | None:
-    """(bytes, end) of base64 that goes on over the lines after ``at``: a DER sequence as long as it says, anything else to its end."""
-    m = WRAPPED.match(text, at)
-    if m is None:
-        return None
-    places = [i for i in range(m.start(), m.end()) if not text[i].isspace()]
-    joined = "".join(text[i] for i in places)
-    if joined[0] == "M":
-        start = _decoded(joined[:12])
-        n = 2 + start[1] if start[1] < 0x80 else 2 + (start[1] & 0x7F) + int.from_bytes(start[2 : 2 + (start[1] & 0x7F)], "big")
-        joined = joined[: 4 * -(-n // 3)]
-    body = _decoded(joined)
-    return None if body is None else (body, places[len(joined) - 1] + 1)
+class _Run:
+    """Base64 over several lines. Its bytes are decoded once for each of the four places a quad may begin at; a place of the text maps to a byte by its line."""
+
+    def __init__(self, text: str, start: int, stop: int):
+        self.start, self.stop = start, stop
+        spans = [m.span() for m in _PIECE.finditer(text, start, stop)]
+        self.begins = [a for a, _ in spans]
+        self.offsets = [0, *accumulate(b - a for a, b in spans)]
+        self.joined = "".join(text[a:b] for a, b in spans)
+        self.length = len(self.joined.rstrip("="))
+        self.decoded: dict[int, bytes] = {}
+        self.known: dict[int, dict[int, int]] = {}
+
+    def place(self, offset: int) -> int:
+        """Where in the text a character of the run stands."""
+        line = bisect_right(self.offsets, offset) - 1
+        return self.begins[line] + offset - self.offsets[line]
+
+    def structure(self, at: int) -> tuple[str, bytes, int] | None:
+        """(kind, bytes, end) of what begins at a place of the text: a DER sequence as long as it says, anything else to the run's end."""
+        line = bisect_right(self.begins, at) - 1
+        offset = self.offsets[line] + at - self.begins[line]
+        way = offset % 4
+        if way not in self.decoded:
+            whole = self.length - way
+            self.decoded[way] = _decoded(self.joined[way : way + whole - (whole % 4 == 1)]) or b""
+        raw, i = self.decoded[way], offset // 4 * 3
+        if self.joined[offset] == "M":
+            top = der_element(raw, i, len(raw))
+            if top is None:
+                return None
+            n = top[2] - i
+            chars = -(-4 * n // 3)
+            # a quad that the sequence doesn't fill must be the last one
+            if n % 3 and offset + chars != self.length or not der_fits(raw, i, top[2]):
+                return None
+            end = offset + chars if n % 3 == 0 else len(self.joined)
+            return "der", raw[i : top[2]], self.place(end - 1) + 1
+        if (self.length - offset) % 4 == 1 or not wire_fits(raw, i, self.known.setdefault(way, {})):
+            return None
+        return "wire", raw[i:], self.stop
 
 
 def base_spans(text: str, raw: bytes) -> list[Span]:
@@ -186,27 +244,48 @@ def base_spans(text: str, raw: bytes) -> list[Span]:
     return out
 
 
+def armoured(text: str) -> list[tuple[int, int]]:
+    """Private keys between their first and last line: base64 over lines, whose ends may be written as escapes, and header lines (``Name: value``)."""
+    begins, ends = list(BEGIN.finditer(text)), {}
+    for m in END.finditer(text):
+        ends.setdefault(m[1], []).append(m)
+    out = []
+    for m, after in zip_longest(begins, begins[1:]):
+        of = ends.get(m[1], [])
+        k = bisect_right(of, m.end() - 1, key=lambda e: e.start())
+        if k == len(of) or after and of[k].start() > after.start():
+            continue
+        headers, body = [], []
+        for line in _LINE_END.split(text[m.end() : of[k].start()]):
+            (headers if _HEADER.fullmatch(line) else body).append(line)
+        if not all(map(_BODY.fullmatch, body)):
+            continue
+        coded = _decoded("".join("".join(body).split()))
+        # an encrypted body (its headers say so) can't be parsed, only decoded
+        if coded and (_structure(coded) or any(h.startswith("DEK-Info:") for h in headers)):
+            out.append((m.start(), of[k].end()))
+    return out
+
+
 def confirmed(text: str, raw: bytes) -> list[tuple[Span, bool]]:
     """Spans with what tells whether each is a public key."""
     out: list[tuple[Span, bool]] = []
     if b"eyJ" in raw:
         out += [(("token", *m.span()), False) for m in TOKEN.finditer(text) if _signed(*m.groups())]
     if b"-----BEGIN " in raw:
-        for m in ARMOUR.finditer(text):
-            headers = _HEADER.findall(m[2])
-            body = _decoded("".join(_HEADER.sub("", m[2]).replace("\\n", " ").replace("\\r", " ").split()))
-            # an encrypted body (its headers say so) can't be parsed, only decoded
-            if body and (_structure(body) or any(h.startswith("DEK-Info:") for h in headers)):
-                out.append((("armour", *m.span()), False))
-    end = 0
+        out += [(("armour", a, b), False) for a, b in armoured(text)]
+    end, run = 0, None
     for m in CODED.finditer(text):
         if m.start() < end:
             continue
         body, end = _decoded(m[0]), m.end()
-        if not (kind := _structure(body)) and text[end : end + 2].lstrip("\r")[:1] == "\n" and (more := _unwrapped(text, m.start())):
-            body, stop = more
-            if kind := _structure(body):
-                end = stop
+        kind = _structure(body)
+        if not kind and text[end : end + 2].lstrip("\r")[:1] == "\n":
+            if run is None or not run.start <= m.start() < run.stop:
+                lines = WRAPPED.match(text, m.start())
+                run = _Run(text, *lines.span()) if lines else None
+            if run and (more := run.structure(m.start())):
+                kind, body, end = more
         if kind:
             out.append(((kind, m.start(), end), public(body)))
     for m in HEX_CODED.finditer(text):

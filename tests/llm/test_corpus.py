@@ -381,3 +381,32 @@ def test_pipeline(spark, sf_dir, docs, rows):
 def test_registered():
     want = {f"op{n}" for n in range(1, 11)}
     assert {n.split("_")[0] for n in queries.queries()} == want
+
+
+def test_bands_are_shared_exactly_where_signatures_agree():
+    """A pair is looked at in the first band in which its signatures agree; that band's bucket must hold both."""
+    rng = np.random.default_rng(11)
+    agreed = 0
+    for _ in range(300):
+        both = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        (a, x), (b, y) = (neardup.sketch_of(np.unique(np.r_[both, rng.integers(0, 1 << 63, 10, dtype=np.uint64)])) for _ in range(2))
+        same = (a == b).reshape(neardup.BANDS, neardup.ROWS).all(1)
+        agreed += same.sum()
+        assert ((x == y) == same).all()
+    assert agreed > 2000
+    # bits that agree by chance make a shared key as well
+    a = rng.integers(0, 1 << 16, neardup.HASHES, dtype=np.uint16)
+    b = rng.integers(0, 1 << 16, neardup.HASHES, dtype=np.uint16)
+    b[8:12] = a[8:12]
+    assert (a.view(np.int64) == b.view(np.int64)).nonzero()[0].tolist() == [2]
+
+
+def test_planted_pairs_share_a_band():
+    """Of 10,000 pairs of similarity 0.75 and more none is without a band."""
+    rng = np.random.default_rng(12)
+    missed = 0
+    for _ in range(10_000):
+        both = rng.integers(0, 1 << 63, 84, dtype=np.uint64)
+        x, y = (neardup.sketch_of(np.r_[both, rng.integers(0, 1 << 63, 14, dtype=np.uint64)])[1] for _ in range(2))
+        missed += not (x == y).any()
+    assert missed <= 1

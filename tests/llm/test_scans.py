@@ -4,8 +4,10 @@ import base64
 import hashlib
 import json
 import os
+import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -433,3 +435,46 @@ def test_marginals_match_enumeration():
     assert pair == pytest.approx(pairs)
     assert z == pytest.approx(total)
 
+
+
+# -- secrets take time in proportion to the text ------------------------------------------------------------------------
+
+
+def _timed(text, seconds=6):
+    began = time.perf_counter()
+    spans = secrets.find_secrets(text)[1]
+    assert time.perf_counter() - began < seconds
+    return spans
+
+
+@pytest.mark.parametrize("label", ["PRIVATE KEY", "RSA PRIVATE KEY"])
+def test_secrets_armour_without_an_end(label):
+    assert _timed(f"-----BEGIN {label}-----\n" + "abcd: x\n" * 200) == []
+    assert _timed(f"-----BEGIN {label}-----\n" * 20_000) == []
+    assert _timed(f"-----BEGIN {label}-----\n" * 20_000 + f"-----END {label}-----\n" * 20_000) == []
+
+
+def test_secrets_long_wrapped_runs():
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    lines = ["".join(rng.choices(letters, k=76)) for _ in range(14_000)]
+    _timed("\n".join(lines * 10), 30)  # 10 MB
+    assert _timed("\n".join("M" + x[1:] for x in lines)) == []
+    assert _timed("\n".join("MIIC" + x[4:] for x in lines)) == []
+    assert _timed("\n".join(["A" * 76] * 14_000)) == []
+    head = base64.b64encode(b"\0\0\0\x07ssh-rsa" + bytes(46)).decode()
+    assert _timed("\n".join([head] * 14_000 + ["AAAA!"])) == []
+
+
+def test_secrets_wrapped_keys_are_still_found():
+    key = b"\x30\x82\x01\x0a" + b"\x02\x82\x01\x01" + bytes(range(1, 256)) + b"\x01\x02" + b"\x02\x01\x05"
+    key = b"\x30\x82" + (len(key) - 4).to_bytes(2, "big") + key[4:]
+    coded = base64.b64encode(key).decode()
+    for width, before, after in ((64, "", ""), (70, "see ", "\nend."), (76, "x\n", "\n\ntext")):
+        text = before + "\n".join(coded[i : i + width] for i in range(0, len(coded), width)) + after
+        assert secrets.find_secrets(text)[1] == [("der", len(before), len(text) - len(after))]
+    many = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (100).to_bytes(4, "big")
+    one = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
+    many += b"".join(len(x).to_bytes(4, "big") + x for x in [one] * 100 + [bytes(64)])
+    coded = base64.b64encode(many).decode()
+    assert secrets.find_secrets("\n".join(coded[i : i + 70] for i in range(0, len(coded), 70)))[1][0][0] == "wire"
