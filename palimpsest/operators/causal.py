@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import discard, stage_table
+
 CALIPER = 0.5
+#: Nodes of a range of scores, and how many ranges there are at most.
+RANGE_ROWS, MOST_RANGES = 50_000, 4096
 LEAST_GROUP = 3
 OBSERVATIONAL, VALIDATED = 10, 30
 #: Confounders that are tried when none is named.
@@ -53,56 +59,150 @@ def standardised(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.when(F.col("_std") < 1e-9, F.lit(0.0)).otherwise((value - F.col("_mean")) / F.col("_std"))).drop("_mean", "_std")
 
 
-def greedy(treatment: list[tuple[float, int]], control: list[tuple[float, int]], caliper: float = CALIPER) -> list[tuple[int, int]]:
-    """Pairs (treatment, control): in order, each takes the nearest free control within the caliper, the earliest of equals.
+class FreeControls:
+    """Controls of a range of scores: the nearest free one is found by a binary search.
 
-    Controls of one score form a queue; empty queues are skipped by path-compressed links to both sides, so a match
-    costs a binary search.
+    Controls of one score form a queue; empty queues are skipped by path-compressed links to both sides.
     """
-    values = sorted({s for s, _ in control})
-    queues: dict[float, list[int]] = {v: [] for v in values}
-    for s, i in sorted(control, key=lambda c: -c[1]):
-        queues[s].append(i)  # the earliest is at the end
-    up, down = list(range(len(values) + 1)), list(range(len(values) + 1))
 
-    def find(link: list[int], k: int) -> int:
+    def __init__(self, controls: list[tuple[float, int]]):
+        self.values = sorted({s for s, _ in controls})
+        self.queues: dict[float, list[int]] = {v: [] for v in self.values}
+        for s, i in sorted(controls, key=lambda c: -c[1]):
+            self.queues[s].append(i)  # the earliest is at the end
+        self.up, self.down, self.left = list(range(len(self.values) + 1)), list(range(len(self.values) + 1)), len(controls)
+
+    @staticmethod
+    def _find(link: list[int], k: int) -> int:
         while link[k] != k:
             link[k] = link[link[k]]
             k = link[k]
         return k
 
-    pairs = []
+    def nearest(self, score: float, caliper: float) -> tuple[float, int, int] | None:
+        """(distance, control, its place) of the nearest free control within the caliper, the earliest of equals."""
+        at = bisect_left(self.values, score)
+        right, left = self._find(self.up, at), self._find(self.down, at) - 1  # up: first filled at or after; down, shifted by one: last filled before
+        options = [(abs(score - self.values[k]), self.queues[self.values[k]][-1], k) for k in (right, left) if 0 <= k < len(self.values)]
+        return min(options) if options and min(options)[0] < caliper else None
+
+    def take(self, k: int) -> None:
+        self.queues[self.values[k]].pop()
+        self.left -= 1
+        if not self.queues[self.values[k]]:
+            self.up[k], self.down[k + 1] = k + 1, k
+
+
+def greedy(treatment: list[tuple[float, int]], control: list[tuple[float, int]], caliper: float = CALIPER) -> list[tuple[int, int]]:
+    """Pairs (treatment, control): in order, each takes the nearest free control within the caliper, the earliest of equals."""
+    free, pairs = FreeControls(control), []
     for score, t in treatment:
-        at = bisect_left(values, score)
-        right, left = find(up, at), find(down, at) - 1  # up: first filled at or after; down, shifted by one: last filled before
-        options = [(abs(score - values[k]), queues[values[k]][-1], k) for k in (right, left) if 0 <= k < len(values)]
-        if options and min(options)[0] < caliper:
-            _, c, k = min(options)
-            pairs.append((t, c))
-            queues[values[k]].pop()
-            if not queues[values[k]]:
-                up[k], down[k + 1] = k + 1, k
+        if found := free.nearest(score, caliper):
+            pairs.append((t, found[1]))
+            free.take(found[2])
     return pairs
 
 
-def match(nodes: DataFrame, by: str | None = None) -> DataFrame:
+def _home(edges: np.ndarray, score: np.ndarray) -> np.ndarray:
+    return np.searchsorted(edges, score, "right").astype(np.int32)
+
+
+def _visits(seq: np.ndarray, score: np.ndarray, choice: np.ndarray, edges: np.ndarray, closed: np.ndarray, caliper: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, range): each treatment sees its own range, the one it chose, and the nearest on either side that was open when its turn came."""
+    home = _home(edges, score)
+    rows, ranges = [np.arange(len(seq))], [home]
+    for h in np.unique(home):
+        here = np.flatnonzero(home == h)
+        for side, step in ((closed[:h][::-1], -1), (closed[h + 1 :], 1)):
+            if not len(side):
+                continue
+            first = np.searchsorted(np.maximum.accumulate(side), seq[here])  # closing moments up to there: the first that isn't earlier
+            far = first < len(side)
+            to = h + step * (1 + first[far])
+            border = edges[to] if step < 0 else edges[to - 1]
+            near = np.abs(score[here][far] - border) <= caliper
+            rows.append(here[far][near])
+            ranges.append(to[near].astype(np.int32))
+    chose = np.flatnonzero(choice >= 0)
+    row, of = np.concatenate([*rows, chose]), np.concatenate([*ranges, choice[chose]])
+    both = np.unique(np.stack([row, of]), axis=1)
+    return both[0], both[1].astype(np.int32)
+
+
+def _offers(batches: Iterator[pa.RecordBatch], caliper: float) -> Iterator[pa.RecordBatch]:
+    """Ranges one after the other, controls first, then treatments in order: what each could have, and who took what."""
+    here, free, controls = None, None, []
+    for batch in batches:
+        out: list[tuple] = []
+        for of, kind, seq, score, takes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if of != here:
+                here, free, controls = of, None, []
+            if kind == 0:
+                controls.append((score, seq))
+                continue
+            free = free or FreeControls(controls)
+            if found := free.nearest(score, caliper):
+                out.append((seq, of, found[0], found[1], takes))
+                if takes:
+                    free.take(found[2])
+                    if not free.left:
+                        out.append((seq, of, None, None, None))  # from here on the range is closed
+        if out:
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["seq", "range", "distance", "control", "took"])
+
+
+def match(nodes: DataFrame, caliper: float = CALIPER, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(treatment_id, control_id, treatment_outcome, control_outcome) of standardised nodes (seq, id, treated, score, outcome).
 
-    Matching is sequential: all nodes of an analysis (of each value of ``by``) are one group in one worker.
+    In the order of ``seq`` (unique), each treatment takes the nearest free control within the caliper, the earliest of
+    equals. No task sees all nodes: scores are cut into ranges of about ``range_rows`` nodes (4,096 ranges at most; one
+    score is never cut), and a round goes over all ranges at once. In it a treatment sees its own range, the one it
+    chose, and the nearest one on either side that still had a free control when its turn came; in a range, those that
+    chose it take theirs in order, others are told what they could have. Each then chooses the best it was offered.
+    What a treatment is offered depends on earlier ones alone, so once nobody changes the choice all have what they
+    would have got one by one; the earliest of those in doubt is settled in each round, and mostly all but a few are.
     """
-    kind = dict(nodes.dtypes)["id"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable").reset_index(drop=True)
-        sides = [[(s, i) for i, s in zip(rows.index[rows["treated"] == side], rows["score"][rows["treated"] == side], strict=True)] for side in (True, False)]
-        pairs = greedy(*sides)
-        t, c = ([p[k] for p in pairs] for k in (0, 1))
-        get = lambda col, at: rows[col].iloc[at].to_numpy()
-        return pd.DataFrame({"treatment_id": get("id", t), "control_id": get("id", c), "treatment_outcome": get("outcome", t), "control_outcome": get("outcome", c)})
-
-    group = F.col(by) if by else F.lit("all")
-    cols = nodes.select("seq", "id", "treated", "score", F.coalesce(F.col("outcome").cast("double"), F.lit(0.0)).alias("outcome"), group.alias("_group"))
-    return cols.groupBy("_group").applyInPandas(run, f"treatment_id {kind}, control_id {kind}, treatment_outcome double, control_outcome double")
+    flat = stage_table(nodes.select(F.col("seq").cast("long"), "treated", F.col("score").cast("double")), "scores")
+    parts = min(MOST_RANGES, 1 + flat.count() // range_rows)
+    cuts = flat.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 10 * MOST_RANGES)).first()[0] if parts > 1 else []
+    edges = np.unique(np.array(cuts or [], np.float64))
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_home(edges, b.column(1).to_numpy())), *b.columns], ["range", "seq", "score"])
+
+    homed = "range int, seq long, score double"
+    controls = flat.filter("NOT treated").select("seq", "score").mapInArrow(at_home, homed).select("range", F.lit(0).alias("kind"), "seq", "score", F.lit(False).alias("takes"))
+    state = flat.filter("treated").select("seq", "score").mapInArrow(at_home, homed).select("seq", "score", F.col("range").alias("choice"))
+    closed = np.full(len(edges) + 1, np.iinfo(np.int64).max)
+    spare: list[DataFrame] = []
+    while True:
+
+        def visit(batches: Iterator[pa.RecordBatch], closed=closed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                seq, score, choice = (c.to_numpy() for c in b.columns)
+                row, of = _visits(seq, score, choice, edges, closed, caliper)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of, seq[row], score[row], choice[row] == of)], ["range", "seq", "score", "takes"])
+
+        asked = state.mapInArrow(visit, "range int, seq long, score double, takes boolean").select("range", F.lit(1).alias("kind"), "seq", "score", "takes")
+        rows = controls.unionByName(asked).repartition("range").sortWithinPartitions("range", "kind", "seq")
+        offers = stage_table(rows.mapInArrow(lambda batches: _offers(batches, caliper), "seq long, range int, distance double, control long, took boolean"), "offers")
+        best = offers.filter("distance IS NOT NULL").groupBy("seq").agg(F.min(F.struct("distance", "control", "range")).alias("best"), F.max(F.when(F.col("took"), F.col("range"))).alias("held"))
+        chosen = stage_table(state.select("seq", "score").join(best, "seq", "left").select("seq", "score", F.coalesce("best.range", F.lit(-1)).alias("choice"), F.col("best.control").alias("control"), F.coalesce("held", F.lit(-1)).alias("held")), "choices")
+        before, closed = closed, np.full(len(edges) + 1, np.iinfo(np.int64).max)
+        for row in offers.filter("distance IS NULL").select("range", "seq").collect():  # a row a range at most
+            closed[row["range"]] = row["seq"]
+        doubt = chosen.filter("choice <> held").limit(1).count()
+        discard(offers, *spare)
+        spare, state = [chosen], chosen.select("seq", "score", "choice")
+        # who saw what was decided by the closing moments of the round before: these must hold as well
+        if not doubt and (not len(edges) or np.array_equal(before, closed)):
+            break
+    pairs = chosen.filter("control IS NOT NULL").select(F.col("seq").alias("_t"), F.col("control").alias("_c"))
+    side = lambda name: nodes.select(F.col("seq").cast("long").alias(f"_{name[0]}"), F.col("id").alias(f"{name}_id"), F.coalesce(F.col("outcome").cast("double"), F.lit(0.0)).alias(f"{name}_outcome"))
+    found = pairs.join(side("treatment"), "_t").join(side("control"), "_c")
+    return found.select("treatment_id", "control_id", "treatment_outcome", "control_outcome")
 
 
 def status(n: Column) -> Column:

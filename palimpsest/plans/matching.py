@@ -29,6 +29,17 @@ def causal_match(spark, sf_dir):
     return causal.match(causal.standardised(suppliers_as_nodes(spark, sf_dir))).select("treatment_id", "control_id")
 
 
+def _customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("id"), (F.col("c_mktsegment") == "BUILDING").alias("treated"), F.col("c_acctbal").alias("confounder"), (F.col("c_custkey") % 97).alias("outcome")
+    )
+
+
+def causal_match_ranges(spark, sf_dir):
+    """Customers of one segment with others of a like balance, over ranges of 300 customers."""
+    return causal.match(causal.standardised(_customers(spark, sf_dir)), range_rows=300).select("treatment_id", "control_id")
+
+
 def causal_ate(spark, sf_dir):
     return causal.effect(causal.match(causal.standardised(suppliers_as_nodes(spark, sf_dir)))).select("ate", "n", "status")
 
@@ -63,23 +74,26 @@ def balance(spark, sf_dir):
 
 _NODES = "nodes AS (SELECT s_suppkey AS id, s_nationkey < 8 AS treated, (s_suppkey * 37 % 101)::DOUBLE AS x, s_acctbal AS y FROM supplier)"
 _SCORED = f"{_NODES}, scored AS (SELECT id, treated, y, CASE WHEN stddev_pop(x) OVER () < 1e-9 THEN 0 ELSE (x - avg(x) OVER ()) / stddev_pop(x) OVER () END AS score FROM nodes)"
-_MATCH = f"""{_SCORED}, treats AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM scored WHERE treated), controls AS (SELECT * FROM scored WHERE NOT treated),
+_CUSTOMERS = "nodes AS (SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS treated, c_acctbal AS x, 0 AS y FROM customer)"
+_PAIRS = """treats AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM scored WHERE treated), controls AS (SELECT * FROM scored WHERE NOT treated),
   steps AS (
     SELECT 0::BIGINT AS n, []::BIGINT[] AS used, []::BIGINT[] AS ts
     UNION ALL
     SELECT s.n + 1, CASE WHEN count(c.id) > 0 THEN list_append(s.used, arg_min(c.id, (abs(t.score - c.score), c.id))) ELSE s.used END, CASE WHEN count(c.id) > 0 THEN list_append(s.ts, t.id) ELSE s.ts END
     FROM steps s JOIN treats t ON t.n = s.n + 1 LEFT JOIN controls c ON abs(t.score - c.score) < 0.5 AND NOT list_contains(s.used, c.id) GROUP BY s.n, s.used, s.ts, t.id
   ), pairs AS (SELECT unnest(ts) AS treatment_id, unnest(used) AS control_id FROM (SELECT * FROM steps ORDER BY n DESC LIMIT 1))"""
+_MATCH = f"{_SCORED}, {_PAIRS}"
 _STATUS = "CASE WHEN n >= 30 THEN 'counterfactual_validated' WHEN n >= 10 THEN 'observational' ELSE 'hypothesis' END"
 _EFFECT = f"{_MATCH}, e AS (SELECT coalesce(round(avg(t.y) - avg(c.y), 3), 0) AS ate, count(*) AS n FROM pairs p JOIN scored t ON t.id = p.treatment_id JOIN scored c ON c.id = p.control_id)"
 QUERIES = {
-    "treatment_split": treatment_split, "resolve_confounder": resolve_confounder, "pooled_zscore": pooled_zscore, "causal_match": causal_match, "causal_ate": causal_ate, "analyze_causal": analyze_causal, "causal_status": causal_status, "balance": balance, "causal_results": causal_results, "system_stats": system_stats,
+    "treatment_split": treatment_split, "resolve_confounder": resolve_confounder, "pooled_zscore": pooled_zscore, "causal_match": causal_match, "causal_match_ranges": causal_match_ranges, "causal_ate": causal_ate, "analyze_causal": analyze_causal, "causal_status": causal_status, "balance": balance, "causal_results": causal_results, "system_stats": system_stats,
 }
 SQL = {
     "treatment_split": "SELECT count(*) FILTER (props::JSON->>'$.k' = '7') AS treatment_n, count(*) FILTER (props::JSON->>'$.k' <> '7') AS control_n FROM events",
     "resolve_confounder": "SELECT CASE WHEN bool_or((props::JSON->'$.size') IS NOT NULL) THEN 'size' WHEN bool_or((props::JSON->'$.k') IS NOT NULL) THEN 'k' END AS confounder FROM events",
     "pooled_zscore": f"WITH {_SCORED} SELECT id, round(score, 6) AS score FROM scored",
     "causal_match": f"WITH RECURSIVE {_MATCH} SELECT treatment_id, control_id FROM pairs",
+    "causal_match_ranges": f"WITH RECURSIVE {_SCORED.replace(_NODES, _CUSTOMERS)}, {_PAIRS} SELECT treatment_id, control_id FROM pairs",
     "causal_ate": f"WITH RECURSIVE {_EFFECT} SELECT ate, n, {_STATUS} AS status FROM e",
     "analyze_causal": f"""WITH RECURSIVE {_EFFECT}, c AS (SELECT count(*) FILTER (treated) AS treatment_n, count(*) FILTER (NOT treated) AS control_n FROM nodes)
       , d AS (SELECT *, CASE WHEN least(treatment_n, control_n) < 3 THEN 'too few samples on one side' WHEN n = 0 THEN 'no match within the caliper' END AS error FROM e CROSS JOIN c)
