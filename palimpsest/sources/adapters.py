@@ -109,3 +109,12 @@ def suppliers_as_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("id"), (F.col("s_nationkey") < 8).alias("treated"), (F.col("s_suppkey") * 37 % 101).cast("double").alias("confounder"), F.col("s_acctbal").alias("outcome")
     )
+
+
+def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clicks as an event log: a client is an aggregate, repeated rows count once, clicks without a client go."""
+    kind = F.create_map(*[F.lit(x) for pair in EVENT_KINDS.items() for x in pair])
+    rows = table(spark, sf_dir, "clicks").filter("client_id IS NOT NULL").select("click_id", "client_id", "kind", "ts", "props").distinct()
+    return rows.select(
+        F.col("click_id").cast("string").alias("id"), F.concat(F.lit("node:shop:c"), F.col("client_id").cast("string")).alias("aggregate_id"), F.try_element_at(kind, F.col("kind")).alias("event_type"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("props").alias("payload")
+    )

@@ -87,3 +87,17 @@ def discard(*tables: DataFrame) -> None:
         if path := getattr(df, "_staged", None):
             files, place = _place(df.sparkSession, path)
             files.delete(place.getParent(), True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder; none where there is none."""
+    files, place = _place(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place) if f.isDirectory()] if files.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str, other: str | None = None) -> None:
+    """Delete a folder, and put another one in its place if one is given."""
+    files, place = _place(spark, path)
+    files.delete(place, True)
+    if other is not None:
+        files.rename(_place(spark, other)[1], place)
