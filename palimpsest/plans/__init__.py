@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clicks, events, graph, history, matching, memory, tasks, vectors
+from . import clicks, events, graph, history, matching, memory, shapes, tasks, vectors
 
-AREAS = (memory, history, vectors, events, graph, tasks, matching, clicks)
+AREAS = (memory, history, vectors, events, graph, tasks, matching, clicks, shapes)
 
 
 def queries() -> dict:
