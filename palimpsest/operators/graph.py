@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import unit
 from ..sources.store import discard, stage_table
+from .snapshots import ranked
 
 MAX_ROUNDS = 60
 #: Links a task holds in a round: small graphs are few files.
@@ -84,3 +86,29 @@ def analyze(edges: DataFrame, nodes: DataFrame, named: int = 1000) -> DataFrame:
     # fixed values: the texts that clients see
     advice = F.when(F.col("connected_components") > 1, F.format_string("Found %d disconnected groups. Consider connecting via: [%s]", "connected_components", quoted)).otherwise("Well-connected structure.")
     return groups.crossJoin(F.broadcast(few)).crossJoin(F.broadcast(alone)).withColumn("method", F.lit(METHOD)).withColumn("recommendation", advice)
+
+
+#: The part of the edges held out, the one of a graph of fewer than FEW edges, and how many strata there are.
+HELD_OUT, HELD_OUT_OF_FEW, FEW, STRATA = 0.1, 0.2, 50, 4
+
+
+def held_out(edges: DataFrame) -> DataFrame:
+    """(source, target, stratum, validation) of distinct edges: some of each stratum, one at least, are held out.
+
+    An edge counts by the degrees of its ends together; strata are quarters of the edges by that, ties by the ends.
+    Which are held out is drawn by a hash of the ends. Both are places in an order that spans tasks.
+    """
+    edges = edges.select("source", "target").distinct()
+    ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
+    of = degrees(edges, ends)
+    side = lambda end: of.select(F.col("id").alias(end), F.col("degree").alias(f"_{end}"))
+    rows = edges.join(side("source"), "source").join(side("target"), "target").select("source", "target", (F.col("_source") + F.col("_target")).alias("_both"), F.lit(0).alias("_all"))
+    placed = stage_table(ranked(rows, "_all", ["_both", "source", "target"], "_place"), "placed")
+    n = placed.count()
+    size, more = n // STRATA, n % STRATA  # the first ones have one more
+    early = F.floor((F.col("_place") - 1) / (size + 1)) + 1
+    stratum = F.when(F.col("_place") <= more * (size + 1), early).otherwise(F.floor((F.col("_place") - 1 - more) / max(size, 1)) + 1)
+    drawn = ranked(placed.select("source", "target", stratum.cast("int").alias("stratum"), unit(F.col("source"), F.col("target"), seed="held").alias("_coin")), "stratum", ["_coin", "source", "target"], "_drawn")
+    part = HELD_OUT_OF_FEW if n < FEW else HELD_OUT
+    sizes = F.lit(size) + F.when(F.col("stratum") <= more, 1).otherwise(0)
+    return drawn.select("source", "target", "stratum", (F.col("_drawn") <= F.greatest(F.lit(1), F.floor(sizes * part))).alias("validation"))
