@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import discard, stage_table
+from .eventlog import field, tombstones
+from .snapshots import ranked
 
 CALIPER = 0.5
 #: Nodes of a range of scores, and how many ranges there are at most.
@@ -235,6 +237,27 @@ def analyze(nodes: DataFrame, outcome: str, confounder: str) -> DataFrame:
     return out.withColumn("confounder_used", F.lit(confounder)).withColumn("interpretation", F.when(F.col("error").isNull(), interpretation(outcome, confounder)))
 
 
+#: What an analysis has.
+ANALYSIS = "ate double, n long, status string, treatment_mean double, control_mean double, error string, treatment_n long, control_n long, confounder_used string, interpretation string"
+
+
+def analyze_log(events: DataFrame, conditions: dict, outcome: str, candidates: tuple[str, ...] = CONFOUNDERS) -> DataFrame:
+    """The analysis of all nodes that a log creates and doesn't tombstone: those whose payload meets the conditions against the others.
+
+    Too few on a side, no confounder in any payload, or no match within the caliper: a row with the error, and the counts.
+    """
+    made = events.filter("event_type = 'node_created'").join(tombstones(events).select(F.col("node_id").alias("aggregate_id")), "aggregate_id", "left_anti")
+    rows = stage_table(ranked(made.select("aggregate_id", "ts", "id", "payload", F.lit(0).alias("_all")), "_all", ["ts", "id"], "seq"), "nodes")
+    nodes = rows.select("seq", F.col("aggregate_id").alias("id"), treated(conditions).alias("treated"), "payload")
+    counts, named = split_counts(nodes).first(), confounder_of(rows, candidates).first()["confounder"]
+    if counts["error"] or named is None:
+        status = None if counts["error"] else "hypothesis"
+        row = (0.0, 0, status, None, None, counts["error"] or "no confounder in any payload", counts["treatment_n"], counts["control_n"], None, None)
+        return events.sparkSession.createDataFrame([row], ANALYSIS)
+    number = lambda key: field(f"$.{key}", "double")
+    return analyze(nodes.withColumns({"confounder": number(named), "outcome": number(outcome)}), outcome, named)
+
+
 def imbalance(nodes: DataFrame) -> DataFrame:
     """(smd): the difference of the confounder's means over the root of the mean of both variances."""
     t, c = (F.when(F.col("treated") == side, F.col("confounder")) for side in (True, False))

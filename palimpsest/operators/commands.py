@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uuid7
 from ..functions.temporal import at
-from ..functions.text import token_estimate
+from ..functions.text import has_tokens, token_estimate
 from .eventlog import validated
 
 ENFORCED = ("dependency",)
@@ -19,11 +19,20 @@ def _stripped(c: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def remember(commands: DataFrame, now: datetime | str) -> tuple[DataFrame, DataFrame]:
-    """(answers, log rows) of commands (id, content, project, tags): blank contents are refused; ids are new if missing."""
+def remember(commands: DataFrame, now: datetime | str, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, log rows) of commands (id, content, project, tags): blank contents are refused; ids are new if missing.
+
+    An answer tells how many memories are indexed (have tokens) once all of the batch are stored, ``held`` before it included, and that the memory is embedded.
+    """
     rows = commands.select(F.coalesce(F.col("id"), uuid7(at(now))).alias("id"), F.coalesce("project", F.lit("default")).alias("project"), _stripped("content").alias("content"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     bad = F.col("content") == ""
-    answers = rows.select("id", "project", F.when(bad, F.lit(None)).otherwise(token_estimate(F.col("content"))).alias("token_estimate"), F.when(bad, "error").otherwise("remembered").alias("status"))
+    indexed = rows.filter(~bad).select("content")
+    indexed = indexed if held is None else indexed.unionByName(held.filter(~F.col("forgotten")).select("content"))
+    indexed = indexed.agg(F.count_if(has_tokens(F.lower("content"))).alias("_indexed"))  # one row
+    told = lambda value: F.when(bad, F.lit(None)).otherwise(value)
+    answers = rows.crossJoin(F.broadcast(indexed)).select(
+        "id", "project", told(token_estimate(F.col("content"))).alias("token_estimate"), told(F.col("_indexed")).alias("indexed_terms"), told(F.lit(True)).alias("embedded"), F.when(bad, "error").otherwise("remembered").alias("status")
+    )
     return answers, rows.filter(~bad).select(F.lit("create").alias("op"), "id", "project", "content", "tags", at(now).alias("ts"))
 
 

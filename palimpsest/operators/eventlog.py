@@ -38,7 +38,7 @@ def counts(events: DataFrame) -> DataFrame:
 def tombstones(events: DataFrame) -> DataFrame:
     """(node_id, event_id, deleted_at, reason): the first delete after a node's latest restore.
 
-    Both sides are reduced by node before and after the join, so a node with very many events gathers nowhere.
+    Restores are reduced by node before the join and deletes after it; equal moments go by the event's id.
     """
     back = events.filter("event_type = 'node_restored'").groupBy("aggregate_id").agg(F.max(F.struct("ts", "id")).alias("back"))
     deletes = events.filter("event_type = 'node_deleted'").select("aggregate_id", "ts", "id", "payload").join(back, "aggregate_id", "left")
@@ -106,3 +106,15 @@ def active_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     removed = ends.filter("event_type = 'relation_removed'").select("source", "target")
     removed = removed.unionByName(removed.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
     return added.join(removed, ["source", "target"], "left_anti").select("source", "target")
+
+
+def relations(events: DataFrame) -> DataFrame:
+    """(event_type, source, target) of the relations that a log adds or removes, from the payloads."""
+    rows = events.filter(F.col("event_type").isin("relation_added", "relation_removed"))
+    return rows.select("event_type", field("$.source").alias("source"), field("$.target").alias("target"))
+
+
+def graph_of(events: DataFrame, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of a project, or of all: nodes created in it and not tombstoned, and the active relations between them."""
+    nodes = created_in(events, project, tombstones(events)).select(F.col("aggregate_id").alias("id")).distinct()
+    return active_edges(relations(events), nodes), nodes

@@ -88,6 +88,15 @@ def analyze(edges: DataFrame, nodes: DataFrame, named: int = 1000) -> DataFrame:
     return groups.crossJoin(F.broadcast(few)).crossJoin(F.broadcast(alone)).withColumn("method", F.lit(METHOD)).withColumn("recommendation", advice)
 
 
+def report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The report as rows (name, value), in text: totals, the advice, the first bottlenecks, and a row for every isolated node, however many there are."""
+    one = analyze(edges, nodes, named=0)
+    names = ("total_nodes", "connected_components", "method", "recommendation")
+    totals = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names])).alias("x")).select("x.*")
+    rows = lambda df, name: df.select(F.lit(name).alias("name"), F.col("id").cast("string").alias("value"))
+    return totals.unionByName(rows(bottlenecks(edges, nodes), "bottleneck")).unionByName(rows(isolated(edges, nodes), "isolated_node"))
+
+
 #: The part of the edges held out, the one of a graph of fewer than FEW edges, and how many strata there are.
 HELD_OUT, HELD_OUT_OF_FEW, FEW, STRATA = 0.1, 0.2, 50, 4
 

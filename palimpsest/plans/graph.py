@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import eventlog, graph
-from ..sources.adapters import graph_nodes, graph_relations
+from ..sources.adapters import graph_events, graph_nodes, graph_relations
 from ..sources.store import stage_table
 
 
@@ -40,6 +40,12 @@ def analyze_structure(spark, sf_dir):
     return out.select("total_nodes", "connected_components", F.array_join("bottlenecks", ",").alias("bottlenecks"), "isolated", "recommendation")
 
 
+def structure_report(spark, sf_dir):
+    """A project's structure from the payloads of an event log, every isolated node among the rows."""
+    edges, nodes = eventlog.graph_of(stage_table(graph_events(spark, sf_dir), "log"), "shop")
+    return graph.report(stage_table(edges, "edges"), nodes)
+
+
 _GRAPH = """nodes AS (SELECT 'p' || p_partkey AS id FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier),
   rel AS (SELECT l_returnflag AS f, 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem WHERE l_returnflag IN ('N', 'R')),
   edges AS (SELECT DISTINCT source, target FROM rel WHERE f = 'N' AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)
@@ -50,7 +56,7 @@ _NARROW = "narrow AS (SELECT id, degree FROM deg WHERE degree > 0 AND degree < 0
 #: Each round takes the smallest component among a node's neighbours; all pairs that reach each other would not fit.
 _SPREAD = """comp(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
   SELECT b.other, min(c.component) FROM comp c JOIN both_ b ON b.id = c.id JOIN recurring.comp o ON o.id = b.other WHERE c.component < o.component GROUP BY b.other)"""
-QUERIES = {"active_edges": active_edges, "degrees": degrees, "isolated": isolated, "bottlenecks": bottlenecks, "components": components, "analyze_structure": analyze_structure}
+QUERIES = {"active_edges": active_edges, "degrees": degrees, "isolated": isolated, "bottlenecks": bottlenecks, "components": components, "analyze_structure": analyze_structure, "structure_report": structure_report}
 SQL = {
     "active_edges": f"WITH {_GRAPH} SELECT source, target FROM edges",
     "degrees": f"WITH {_GRAPH} SELECT id, degree FROM deg",
@@ -62,3 +68,9 @@ SQL = {
       SELECT total_nodes, connected_components, bottlenecks, (SELECT count(*) FROM deg WHERE degree = 0) AS isolated,
         CASE WHEN connected_components > 1 THEN 'Found ' || connected_components || ' disconnected groups. Consider connecting via: [' || few || ']' ELSE 'Well-connected structure.' END AS recommendation FROM x CROSS JOIN b""",
 }
+_SHOP = _GRAPH.replace("'p' ||", "'node:part:' ||").replace("'s' ||", "'node:supplier:' ||").replace("FROM part UNION", "FROM part WHERE p_partkey % 5 <> 0 UNION").replace("FROM supplier)", "FROM supplier WHERE s_suppkey % 7 <> 0)")
+SQL["structure_report"] = f"""WITH RECURSIVE {_SHOP}, {_SPREAD}, {_NARROW}, x AS (SELECT count(*) AS n, count(DISTINCT component) AS c FROM comp),
+  few AS (SELECT coalesce(string_agg('''' || id || '''', ', ' ORDER BY id) FILTER (id IN (SELECT id FROM narrow ORDER BY id LIMIT 3)), '') AS few FROM narrow)
+  SELECT 'total_nodes' AS name, n::VARCHAR AS value FROM x UNION ALL SELECT 'connected_components', c::VARCHAR FROM x UNION ALL SELECT 'method', '{graph.METHOD}'
+  UNION ALL SELECT 'recommendation', CASE WHEN c > 1 THEN 'Found ' || c || ' disconnected groups. Consider connecting via: [' || few || ']' ELSE 'Well-connected structure.' END FROM x, few
+  UNION ALL SELECT 'bottleneck', id FROM narrow UNION ALL SELECT 'isolated_node', id FROM deg WHERE degree = 0"""

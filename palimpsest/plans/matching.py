@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import causal, stats, versions
-from ..sources.adapters import event_log, memories, memory_log, suppliers_as_nodes, table
+from ..sources.adapters import customer_events, event_log, memories, memory_log, suppliers_as_nodes, table
 from ..sources.store import Store, scratch
 from .events import SQL as _EVENTS
 from .memory import SQL as _MEMORY
@@ -55,6 +55,19 @@ def _results(spark, sf_dir):
     return store.read("causal_results")
 
 
+def analyze_log(spark, sf_dir):
+    """Customers of one team against the others, from the payloads of an event log."""
+    return causal.analyze_log(customer_events(spark, sf_dir), {"team": "BUILDING"}, "score").select("ate", "n", "status", "confounder_used", "treatment_n", "control_n", "error", "interpretation")
+
+
+def causal_errors(spark, sf_dir):
+    """Analyses that cannot be made: nobody on one side, and no confounder in any payload."""
+    log = customer_events(spark, sf_dir)
+    cases = (("side", {"team": "NOBODY"}, causal.CONFOUNDERS), ("confounder", {"team": "BUILDING"}, ("absent",)))
+    out = [causal.analyze_log(log, conditions, "score", named).select(F.lit(case).alias("case"), "error", "status", "treatment_n", "control_n") for case, conditions, named in cases]
+    return out[0].unionByName(out[1])
+
+
 def causal_results(spark, sf_dir):
     return _results(spark, sf_dir).drop("id")
 
@@ -86,7 +99,7 @@ _MATCH = f"{_SCORED}, {_PAIRS}"
 _STATUS = "CASE WHEN n >= 30 THEN 'counterfactual_validated' WHEN n >= 10 THEN 'observational' ELSE 'hypothesis' END"
 _EFFECT = f"{_MATCH}, e AS (SELECT coalesce(round(avg(t.y) - avg(c.y), 3), 0) AS ate, count(*) AS n FROM pairs p JOIN scored t ON t.id = p.treatment_id JOIN scored c ON c.id = p.control_id)"
 QUERIES = {
-    "treatment_split": treatment_split, "resolve_confounder": resolve_confounder, "pooled_zscore": pooled_zscore, "causal_match": causal_match, "causal_match_ranges": causal_match_ranges, "causal_ate": causal_ate, "analyze_causal": analyze_causal, "causal_status": causal_status, "balance": balance, "causal_results": causal_results, "system_stats": system_stats,
+    "treatment_split": treatment_split, "resolve_confounder": resolve_confounder, "pooled_zscore": pooled_zscore, "causal_match": causal_match, "causal_match_ranges": causal_match_ranges, "causal_ate": causal_ate, "analyze_causal": analyze_causal, "causal_status": causal_status, "balance": balance, "causal_results": causal_results, "analyze_log": analyze_log, "causal_errors": causal_errors, "system_stats": system_stats,
 }
 SQL = {
     "treatment_split": "SELECT count(*) FILTER (props::JSON->>'$.k' = '7') AS treatment_n, count(*) FILTER (props::JSON->>'$.k' <> '7') AS control_n FROM events",
@@ -106,3 +119,8 @@ SQL["causal_results"] = f"SELECT 'nation below 8' AS treatment, 'acctbal' AS out
 SQL["system_stats"] = f"""WITH one AS (SELECT m.*, e.events, e.tombstoned, e.active_nodes, e.target_dim, (SELECT count(*) FROM conversations) - (SELECT count(DISTINCT conv_id) FROM conversations) AS versions,
     (SELECT count(*) FROM orders) AS constraints, (SELECT count(*) FROM ({SQL['causal_results']})) AS causal_analyses FROM ({_MEMORY['memory_stats']}) m CROSS JOIN ({_EVENTS['node_stats']}) e)
   SELECT name, value::BIGINT AS value FROM (UNPIVOT (SELECT COLUMNS(*)::BIGINT FROM one) ON COLUMNS(*) INTO NAME name VALUE value)"""
+
+_LOG_NODES = "nodes AS (SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS treated, c_acctbal AS x, (c_custkey % 97)::DOUBLE AS y FROM customer WHERE c_custkey % 11 <> 0)"
+SQL["analyze_log"] = SQL["analyze_causal"].replace(_NODES, _LOG_NODES).replace("on acctbal", "on score").replace("confounder: shade", "confounder: size").replace("'shade'", "'size'")
+SQL["causal_errors"] = f"""WITH {_LOG_NODES} SELECT 'side' AS case, 'too few samples on one side' AS error, NULL::VARCHAR AS status, 0 AS treatment_n, count(*) AS control_n FROM nodes
+  UNION ALL SELECT 'confounder', 'no confounder in any payload', 'hypothesis', count(*) FILTER (treated), count(*) FILTER (NOT treated) FROM nodes"""

@@ -80,7 +80,7 @@ def update_command(spark, sf_dir):
 
 def remember_command(spark, sf_dir):
     asked = memories(spark, sf_dir).select("id", F.when(F.col("id") % 9 == 0, "").otherwise(F.col("content")).alias("content"), "project", "tags")
-    return commands.remember(asked, NOW)[0].select("id", "project", "status", F.col("token_estimate").cast("long").alias("token_estimate"))
+    return commands.remember(asked, NOW)[0].withColumn("token_estimate", F.col("token_estimate").cast("long"))
 
 
 _LIST = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -151,7 +151,8 @@ SQL = {
     "memory_stats": f"""WITH {MEMORIES} SELECT count(*) FILTER (NOT forgotten) AS active, count(*) FILTER (forgotten) AS forgotten,
       count(*) FILTER (NOT forgotten AND len({tokens_sql('content')}) > 0) AS indexed, count(*) FILTER (NOT forgotten) AS vectors FROM memories""",
     "remember_command": f"""WITH {MEMORIES}, x AS (SELECT *, id % 9 = 0 OR trim(content) = '' AS bad FROM memories)
-      SELECT id, project, CASE WHEN bad THEN 'error' ELSE 'remembered' END AS status, CASE WHEN bad THEN NULL ELSE {estimate_sql('content')} END AS token_estimate FROM x""",
+      SELECT id, project, CASE WHEN bad THEN 'error' ELSE 'remembered' END AS status, CASE WHEN bad THEN NULL ELSE {estimate_sql('content')} END AS token_estimate,
+        CASE WHEN NOT bad THEN (SELECT count(*) FROM x WHERE NOT bad AND len({tokens_sql('content')}) > 0) END AS indexed_terms, CASE WHEN NOT bad THEN true END AS embedded FROM x""",
     "forget_command": f"""WITH {MEMORIES}, asked AS (SELECT unnest([id, id + 1000000000]) AS id FROM memories)
       SELECT a.id, CASE WHEN m.id IS NULL THEN 'not_found' WHEN m.forgotten THEN 'already_forgotten' ELSE 'forgotten' END AS status, 'manual' AS reason FROM asked a LEFT JOIN memories m ON m.id = a.id""",
     "update_command": f"""WITH {MEMORIES}, asked AS (SELECT id FROM memories UNION ALL SELECT id + 1000000000 FROM memories WHERE id % 7 = 0),

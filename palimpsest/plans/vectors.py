@@ -8,6 +8,8 @@ from ..functions import geometry
 from ..functions.hashing import bucket10
 from ..operators import vectors
 from ..sources.adapters import memories, parts_as_nodes, table
+from ..sources.store import scratch
+from ..sources.vectors import VectorStore
 from .memory import MEMORIES, NOW, tokens_sql, words_sql
 
 SOURCE = 17
@@ -136,11 +138,26 @@ def _mobius_sql(rel: str) -> str:
       r AS (SELECT id, [((1 + 2 * xy + yy) * x[i] + (1 - xx) * y[i]) / (1 + 2 * xy + xx * yy + 1e-10) for i in range(1, len(x) + 1)] AS v FROM m) SELECT id, place, round(v[place + 1], 6) AS value FROM (SELECT id, v, unnest(range(len(v))) AS place FROM r)"""
 
 
+def vector_store(spark, sf_dir):
+    """Vectors stored, some again, some taken out, and read back in 80 dimensions and in 3."""
+    store = VectorStore(spark, scratch(spark, "vectors"))
+    rows = _raw(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("project"), F.col("id").alias("n"))
+    store.put(rows)
+    store.put(rows.filter("n % 3 = 0").withColumn("vector", F.reverse("vector")))
+    store.take_out(rows.filter("n % 5 = 0"))
+    store.resize(32)
+    wide, cut = store.load(80), store.load(3).select("id", F.size("vector").alias("cut"))
+    return wide.join(cut, "id").select("id", "project", F.size("vector").alias("dim"), "cut", *[F.round(F.col("vector")[i].cast("double"), 6).alias(f"x{i}") for i in (0, 30, 79)])
+
+
 QUERIES = {
+    "vector_store": vector_store,
     "content_features": content_features, "project_bucket": project_bucket, "memory_knn": memory_knn, "memory_knn_project": memory_knn_project, "text_knn": text_knn, "node_features": node_features, "embed_nodes": embed_nodes,
     "node_knn": node_knn, "poincare_distance": poincare_distance, "project_ball": project_ball, "mobius_add": mobius_add, "exp_map": exp_map, "vector_knn": vector_knn, "adaptive_dimension": adaptive_dimension,
 }
 SQL = {
+    "vector_store": """SELECT vec_id::VARCHAR AS id, 'p' || (vec_id % 3) AS project, 80 AS dim, 3 AS cut, round(v[1]::DOUBLE, 6) AS x0, round(v[31]::DOUBLE, 6) AS x30, 0.0::DOUBLE AS x79
+      FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END AS v FROM embeddings WHERE vec_id % 5 <> 0)""",
     "content_features": f"WITH {MEMORIES}, {_CONTENT} SELECT id, round(x[1], 6) AS length, round(x[2], 6) AS distinct_share, round(x[3], 6) AS tags, round(x[4], 6) AS project_bucket, round(x[5], 6) AS recency FROM feats",
     "project_bucket": f"SELECT DISTINCT source AS project, {_bucket_sql('source')}::BIGINT AS bucket FROM documents",
     "memory_knn": _MEMORY_KNN, "memory_knn_project": _MEMORY_KNN.replace("/*scope*/", "AND v.project = 'src3'"),

@@ -118,3 +118,27 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("click_id").cast("string").alias("id"), F.concat(F.lit("node:shop:c"), F.col("client_id").cast("string")).alias("aggregate_id"), F.try_element_at(kind, F.col("kind")).alias("event_type"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("props").alias("payload")
     )
+
+
+def _events(rows: DataFrame, kind: str, node: Column, days: int, payload: Column) -> DataFrame:
+    return rows.select(F.concat(F.lit(f"{kind}-"), node).alias("id"), node.alias("aggregate_id"), F.lit(kind).alias("event_type"), _after(F.lit(days * 1440)).alias("ts"), payload.alias("payload"))
+
+
+def graph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part-supplier graph as a log: every fifth part is of another project, every seventh supplier is deleted, every line adds or removes a relation."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    p, s = F.concat(F.lit("node:part:"), F.col("p_partkey").cast("string")), F.concat(F.lit("node:supplier:"), F.col("s_suppkey").cast("string"))
+    of = lambda project: F.to_json(F.struct(project.alias("project_id")))
+    lines = graph_relations(spark, sf_dir)
+    end = lambda c, name: F.concat(F.lit(f"node:{name}:"), F.substring(c, 2, 20))
+    relation = lines.select(F.lit(None).cast("string").alias("id"), end("source", "part").alias("aggregate_id"), "event_type", _after(F.lit(2880)).alias("ts"), F.to_json(F.struct(end("source", "part").alias("source"), end("target", "supplier").alias("target"))).alias("payload"))
+    made = _events(part, "node_created", p, 0, of(F.when(F.col("p_partkey") % 5 == 0, "other").otherwise("shop"))).unionByName(_events(supplier, "node_created", s, 0, of(F.lit("shop"))))
+    return made.unionByName(_events(supplier.filter("s_suppkey % 7 = 0"), "node_deleted", s, 1, F.lit('{"reason": "gone"}'))).unionByName(relation)
+
+
+def customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a log of nodes with a team, a size and a score; every eleventh is deleted."""
+    rows = table(spark, sf_dir, "customer")
+    node = F.concat(F.lit("node:shop:c"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    payload = F.to_json(F.struct(F.col("c_mktsegment").alias("team"), F.col("c_acctbal").alias("size"), (F.col("c_custkey") % 97).alias("score")))
+    return _events(rows, "node_created", node, 0, payload).unionByName(_events(rows.filter("c_custkey % 11 = 0"), "node_deleted", node, 1, F.lit('{"reason": "left"}')))

@@ -150,3 +150,29 @@ def test_hmac_equals_the_standard_library(spark, key):
     assert [r[0] for r in df.select(hmac256(F.col("name"), key)).collect()] == want
     row = spark.range(1).select(anonymised(F.lit("bob"), key, "k7").alias("a")).select("a", is_anonymised(F.col("a"), F.lit("bob"), {"k7": key}), is_anonymised(F.col("a"), F.lit("eve"), {"k7": key}), is_anonymised(F.col("a"), F.lit("bob"), {"k8": key})).first()
     assert row[0] == f"anon:{hmac.new(key.encode(), b'bob', hashlib.sha256).hexdigest()[:32]}:k7" and tuple(row)[1:] == (True, False, False)
+
+
+def test_vector_store(spark, tmp_path):
+    from palimpsest.sources.vectors import VectorStore
+
+    store = VectorStore(spark, str(tmp_path / "v"))
+    assert store.load(4).collect() == []
+    kind = "id string, vector array<float>, project string"
+    store.put(spark.createDataFrame([(f"m{i}", [float(i), 1.0], "p") for i in range(60)], kind))
+    store.put(spark.createDataFrame([("m1", [9.0], "q"), ("new", [0.5] * 40, None)], kind))
+    store.take_out(spark.createDataFrame([("m2",), ("unknown",)], "id string"))
+    held = {r.id: (r.vector, r.project) for r in store.load().collect()}
+    assert len(held) == 60 and held["m1"] == ([9.0], "q") and "m2" not in held
+    assert {r.id: r.vector for r in store.load(3).collect()}["m1"] == [9.0, 0.0, 0.0]
+    assert store.resize(16) == 24 and len(store.batches()) == 1
+    again = {r.id: r.vector for r in store.load().collect()}
+    assert {len(v) for v in again.values()} == {24} and again["new"] == [0.5] * 24 and again["m3"][:3] == [3.0, 1.0, 0.0]
+    assert store.resize(24) == 24
+
+
+def test_report_names_every_isolated_node(spark):
+    nodes = spark.range(1500).select(F.concat(F.lit("n"), F.col("id")).alias("id"))
+    edges = spark.createDataFrame([("n0", "n1")], "source string, target string")
+    rows = graph.report(edges, nodes).collect()
+    assert sum(r.name == "isolated_node" for r in rows) == 1498
+    assert {r.name: r.value for r in rows if r.name in ("total_nodes", "connected_components")} == {"total_nodes": "1500", "connected_components": "1499"}
