@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,20 +38,30 @@ def _raw(low: Column) -> Column:
     return F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda t: ~t.isin(STOP_WORDS))
 
 
+#: A token of a lower-cased text, before stemming.
+_TOKEN = f"(?<![a-z0-9])(?!(?:{'|'.join(STOP_WORDS)})(?![a-z0-9]))[a-z0-9]{{2,}}"
+
+
 def token_count(low: Column) -> Column:
     """How many tokens a lower-cased text has; stems don't matter."""
-    return F.size(_raw(low))
+    return F.regexp_count(low, F.lit(_TOKEN))
 
 
 def has_tokens(low: Column) -> Column:
     """Whether a lower-cased text has any token, by its first one."""
-    return F.rlike(low, F.lit(f"(?<![a-z0-9])(?!(?:{'|'.join(STOP_WORDS)})(?![a-z0-9]))[a-z0-9]{{2,}}"))
+    return F.rlike(low, F.lit(_TOKEN))
+
+
+def forms(stem: str) -> list[str]:
+    """The whole words that have this stem."""
+    return [f for f in (stem, f"{stem}ing", f"{stem}ed", f"{stem}s") if tokens_of(f) == [stem]]
 
 
-def occurrences(low: Column, stem: str) -> Column:
-    """How often a lower-cased text has a token of this stem: its few whole forms are looked for, once the stem itself is found."""
-    forms = "|".join(f for f in (stem, f"{stem}ing", f"{stem}ed", f"{stem}s") if tokens_of(f) == [stem])
-    return F.when(F.contains(low, F.lit(stem)), F.regexp_count(low, F.lit(f"(?<![a-z0-9])(?:{forms})(?![a-z0-9])"))).otherwise(F.lit(0))
+def found(low: Column, stems: list[str]) -> Column:
+    """Array of the words of a lower-cased text that have one of these stems, by one pass, or none if no stem is in it."""
+    words = "|".join(f for s in stems for f in forms(s))
+    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in stems])
+    return F.when(some, F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])"), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def tokens_of(text: str) -> list[str]:

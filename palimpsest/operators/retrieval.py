@@ -1,9 +1,9 @@
 """Ranked retrieval over memories.
 
-The corpus is never exploded for a query: its tokens are literals of the plan,
-and a document gives one count per query token. Only documents with a hit are cut
-into tokens, for their length, and go on to the ranking, which is a top-k per task
-merged once.
+The corpus is never exploded for a query: its tokens are literals of the plan, looked
+for in one pass over each text. A document leaves one count per query token and, where
+there is a hit, its length; statistics and the ranking, a top-k per task merged once,
+come from that narrow table, and only the answer's own texts are read again.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.temporal import moment, recency
-from ..functions.text import has_tokens, occurrences, token_count, token_estimate, tokens, tokens_of
+from ..functions.text import forms, found, has_tokens, token_count, token_estimate, tokens, tokens_of
+from ..sources.store import discard, stage_table
 
 #: Tokens that any answer costs besides its memories.
 OVERHEAD = 40
@@ -52,28 +53,48 @@ def inverse_frequencies(memories: DataFrame) -> DataFrame:
     return document_frequencies(memories).crossJoin(F.broadcast(n)).select("token", "df", idf(F.col("df"), F.col("n")).alias("idf"))
 
 
-def score(candidates: DataFrame, fitted_on: DataFrame, query: str) -> DataFrame:
-    """``candidates`` with a score above 0 for ``query``; frequencies are those of ``fitted_on``."""
-    asked = Counter(tokens_of(query))
-    if not asked:
-        return candidates.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    words, total = list(asked), sum(asked.values())
-
-    low = fitted_on.select(F.lower("content").alias("_low"))
-    stats = low.agg(F.count_if(has_tokens(F.col("_low"))).alias("_docs"), *[F.count_if(occurrences(F.col("_low"), w) > 0).alias(f"_df{i}") for i, w in enumerate(words)])
-    rows = candidates.withColumn("_low", F.lower("content"))
-    rows = rows.withColumns({f"_c{i}": occurrences(F.col("_low"), w) for i, w in enumerate(words)}).filter(reduce(lambda a, b: a | b, [F.col(f"_c{i}") > 0 for i in range(len(words))]))
-    rows = rows.withColumn("_n", token_count(F.col("_low"))).crossJoin(F.broadcast(stats))  # one row of statistics
-    parts = []
+def _counted(memories: DataFrame, words: list[str]) -> DataFrame:
+    """``memories`` with _docs (1 if there are tokens), _n (tokens, where a word is found) and _c0, _c1, ...: how often each word occurs."""
+    rows = memories.withColumn("_low", F.lower("content")).withColumn("_found", found(F.col("_low"), words))
+    times = lambda w: F.size(F.filter("_found", lambda f: f.isin(forms(w))))
+    rows = rows.withColumns({f"_c{i}": times(w) for i, w in enumerate(words)})
+    hit = F.size("_found") > 0
+    return rows.withColumn("_n", F.when(hit, token_count(F.col("_low")))).withColumn("_docs", (hit | has_tokens(F.col("_low"))).cast("int")).drop("_low", "_found")
+
+
+def _weighed(counted: DataFrame, over: DataFrame, asked: Counter) -> DataFrame:
+    """Those with a hit, with their score: weights are from the frequencies in ``over``, which is counted too."""
+    stats = over.agg(F.sum("_docs").alias("_all"), *[F.count_if(F.col(f"_c{i}") > 0).alias(f"_df{i}") for i in range(len(asked))])
+    total, parts = sum(asked.values()), []
     for i, n in enumerate(asked.values()):
-        weight = idf(F.col(f"_df{i}"), F.col("_docs"))
+        weight = idf(F.col(f"_df{i}"), F.col("_all"))
         parts.append(F.col(f"_c{i}") / F.col("_n") * F.lit(n / total) * weight * weight)
-    # every weight is above 0, so a hit is a score above 0; a filter on the score would be pushed down with all it is made of
-    return rows.withColumn("score", reduce(lambda a, b: a + b, parts)).select(*candidates.columns, "score")
+    rows = counted.filter("_n IS NOT NULL").crossJoin(F.broadcast(stats))  # one row of statistics
+    # every weight is above 0, so a hit is a score above 0
+    return rows.withColumn("score", reduce(lambda a, b: a + b, parts))
 
 
-def _answer(ranked: DataFrame) -> DataFrame:
-    return ranked.select("id", "project", "content", F.round("score", 5).alias("score"), token_estimate(F.col("content")).alias("token_estimate"))
+def _answer(memories: DataFrame, best: list[tuple]) -> DataFrame:
+    """The memories of a few (id, score): their rows alone are read, by their ids."""
+    kind = memories.schema["id"].dataType.simpleString()
+    scores = memories.sparkSession.createDataFrame([tuple(b) for b in best], f"id {kind}, score double")
+    rows = memories.filter(F.col("id").isin([b[0] for b in best])) if best else memories.limit(0)
+    return rows.join(F.broadcast(scores), "id").orderBy(F.desc("score"), "id").select("id", "project", "content", F.round("score", 5).alias("score"), token_estimate(F.col("content")).alias("token_estimate"))
+
+
+def _top(memories: DataFrame, query: str, k: int, project: str | None = None, again: int = 0, boost: Column | None = None) -> list[tuple]:
+    """(id, score) of the k best, ``again`` of them ranked anew by a boosted score. All texts are read once; a narrow table of counts gives statistics and ranks."""
+    asked = Counter(tokens_of(query))
+    if not asked:
+        return []
+    counted = stage_table(_counted(memories.select("id", "project", "content", "created_at"), list(asked)).drop("content"), "counts")
+    inside = counted if project is None else counted.filter(F.col("project") == project)
+    best = _weighed(inside, counted, asked).select("id", "score", "created_at").orderBy(F.desc("score"), "id").limit(again or k)
+    if boost is not None:
+        best = best.withColumn("score", F.col("score") * boost).orderBy(F.desc("score"), "id").limit(k)
+    out = [(r["id"], r["score"]) for r in best.collect()]  # k rows
+    discard(counted)
+    return out
 
 
 def recall(memories: DataFrame, query: str, now: datetime | str, project: str | None = None, k: int = 5, recency_weight: float = 0.3) -> DataFrame:
@@ -83,11 +104,8 @@ def recall(memories: DataFrame, query: str, now: datetime | str, project: str |
     """
     k, w = clamp(k), max(0.0, min(1.0, recency_weight))
     held = active(memories)
-    inside = held if project is None else held.filter(F.col("project") == project)
-    found = score(inside, held, query).orderBy(F.desc("score"), "id").limit(OVERFETCH * k if w > 0 else k)
-    if w > 0:
-        found = found.withColumn("score", F.col("score") * (1 + w * recency(F.col("created_at"), now)))
-    return _answer(found.orderBy(F.desc("score"), "id").limit(k))
+    boost = 1 + w * recency(F.col("created_at"), now) if w > 0 else None
+    return _answer(held, _top(held, query, k, project, OVERFETCH * k if w > 0 else 0, boost))
 
 
 def budget(answer: DataFrame) -> DataFrame:
@@ -114,5 +132,4 @@ def query_at(memories: DataFrame, versions: DataFrame, query: str, timestamp: st
         raise ValueError(f"not an ISO 8601 timestamp: {timestamp!r}")
     held = memories if project is None else memories.filter(F.col("project") == project)
     past = snapshot(held, versions, when)
-    return _answer(score(past, past, query).orderBy(F.desc("score"), "id").limit(clamp(k)))
-
+    return _answer(past, _top(past, query, clamp(k)))

@@ -256,7 +256,7 @@ def test_occurrences_are_those_of_the_tokens(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     stems = sorted({s for w in words for s in text.tokens_of(w)})
     low = F.lower(F.coalesce(F.col("t"), F.lit("")))
-    got = df.select("id", text.tokens(F.col("t")).alias("tokens"), text.token_count(low).alias("n"), text.has_tokens(low).alias("some"), *[text.occurrences(low, s).alias(s) for s in stems]).collect()
+    got = df.select("id", text.tokens(F.col("t")).alias("tokens"), text.token_count(low).alias("n"), text.has_tokens(low).alias("some"), *[F.size(text.found(low, [s])).alias(s) for s in stems]).collect()
     for r in got:
         assert (r.n, r.some) == (len(r.tokens), bool(r.tokens))
         assert [r[s] for s in stems] == [r.tokens.count(s) for s in stems]
