@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_texts
+from .common import column, map_texts, trim
 
 ORDERS = (1, 2, 3, 4)
 DIMS = 1 << 15
@@ -115,7 +115,8 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = 192, ridge: float
 
     def unit(rows: np.ndarray) -> np.ndarray:
         x = rows.astype(np.float32)
-        return x / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+        x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+        return x
 
     y = np.array([[lang == one for one in languages] for lang in labels], np.float64)
     turn: dict[str, int] = {}
@@ -127,7 +128,8 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = 192, ridge: float
     value, vector = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    z = np.concatenate([(unit(bits[i : i + 1024]) @ chosen.T).astype(np.float64) @ root for i in range(0, len(bits), 1024)])
+    # few rows at a time: a row is 4 bytes a dimension here
+    z = np.concatenate([(unit(bits[i : i + 64]) @ chosen.T).astype(np.float64) @ root for i in range(0, len(bits), 64)])
     # every language weighs the same, however many texts of it the sample has
     w = (1.0 / (y.sum(0) * len(languages)))[y.argmax(1)] * len(y)
     mean, middle = (w[:, None] * z).sum(0) / w.sum(), (w[:, None] * y).sum(0) / w.sum()
@@ -178,7 +180,9 @@ def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
     bits = bits.withColumn("place", place).filter(F.col("place") <= 2 * per_language)
     rows = sorted(bits.collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["bits"]))
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), DIMS // 8)
-    return fit(np.unpackbits(packed, axis=1).astype(bool), [r["lang"] for r in rows])
+    model = fit(np.unpackbits(packed, axis=1).view(bool), [r["lang"] for r in rows])
+    trim()  # the driver's memory, too
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
