@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -92,3 +93,16 @@ def token_estimate(text: Column) -> Column:
 
 def preview(text: Column, length: int = PREVIEW) -> Column:
     return F.when(F.length(text) > length, F.concat(F.left(text, F.lit(length)), F.lit("…"))).otherwise(text)
+
+
+def _folds() -> tuple[str, str]:
+    """Letters of the Latin blocks that are an ASCII character with marks, and that character."""
+    bare = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]}
+    one = {c: b for c, b in bare.items() if len(b) == 1 and b != " "}
+    return "".join(one), "".join(one.values())
+
+
+def normalised(title: Column) -> Column:
+    """A title in lower case, its letters without their marks, other characters beyond ASCII dropped, and trimmed; null for null."""
+    plain = F.translate(F.lower(title), *_folds())
+    return F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), r"^\s+|\s+$", "")

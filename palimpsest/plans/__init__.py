@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clicks, events, graph, history, matching, memory, shapes, tasks, validation, vectors
+from . import clicks, events, foreign, graph, history, matching, memory, people, shapes, tasks, validation, vectors
 
-AREAS = (memory, history, vectors, events, graph, tasks, matching, clicks, shapes, validation)
+AREAS = (memory, history, vectors, events, graph, tasks, matching, clicks, shapes, validation, people, foreign)
 
 
 def queries() -> dict:
