@@ -3,15 +3,18 @@
 Documents become pieces of at most ``capacity`` tokens. How many pieces there
 are of each length is a table of at most ``capacity`` rows, whatever the size
 of the corpus, so the packing itself is planned on that table: for each length,
-longest first, single, pair and triple sums that exactly fill the gap are looked
-up and consumed as often as their counts allow; what has no exact complement is
-placed by best fit, again by counts. A plan entry says how many sequences have
+longest first, an index of single, pair and triple sums names pieces that fill
+the gap exactly, which are consumed as often as their counts allow; what has no
+exact complement is placed by best fit, again by counts. A plan entry says how many sequences have
 which lengths at which offsets. Pieces find their places by their rank within
 their length; ranks are summed over hashed buckets, so that a length which a
 third of all pieces share is spread over many tasks.
 
-Null texts count as empty (one end token). Repeated rows are packed each.
-Empty tables give empty results. Other columns are not needed and ignored.
+Null texts count as empty (one end token). Repeated rows and rows without an id
+are packed each; which of equal pieces takes which place doesn't matter, as no
+column tells them apart. Ties of length go by bucket, then by id and piece. A
+text's ids are held at once, at 4 bytes each, whatever its length. Empty tables
+give empty results. Other columns are not needed and ignored.
 """
 
 from __future__ import annotations
@@ -146,43 +149,58 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     return map_texts(docs.select(id_col, text_col), kernel, "doc_id long, piece int, start long, length long, ids_crc32 long", text_col)
 
 
+class SumIndex:
+    """Single, pair and triple sums of the pieces that ``have`` counts: of each sum, the longest piece of one combination.
+
+    All entries are made at once. Counts only fall, so that an entry whose pieces were used up is moved on to the next
+    shorter longest piece when it is looked up, and a sum that has none left is gone for good.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have, size = have, len(have)
+        self.two, self.three = np.zeros((2, size), np.int64)
+        kinds = np.flatnonzero(have)
+        for a in kinds:
+            b = kinds[: np.searchsorted(kinds, min(a, size - 1 - a), "right")]
+            self.two[a + (b if have[a] > 1 else b[b < a])] = a
+        sums = np.flatnonzero(self.two)
+        for a in kinds:
+            self.three[a + sums[: np.searchsorted(sums, size - a)]] = a
+
+    def _pair(self, total: int, top: int, held: int) -> int:
+        """The longest piece, of ``top`` at most, of a pair with this sum, while one piece of length ``held`` is taken; 0 if there is none."""
+        a = np.arange(top, (total - 1) // 2, -1)
+        b = total - a
+        there = (self.have[a] - (a == held) > (a == b)) & (self.have[b] - (b == held) > (a == b))
+        return int(a[there.argmax()]) if there.any() else 0
+
+    def pair(self, total: int, held: int = 0) -> tuple[int, int] | None:
+        a = self.two[total] = self._pair(total, int(self.two[total]), 0)
+        if a and held:
+            a = self._pair(total, a, held)
+        return (a, total - a) if a else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        while a := int(self.three[total]):
+            if self.have[a] and (rest := self.pair(total - a, a)):
+                return (a, *rest)
+            lower = np.arange(a - 1, 0, -1)
+            there = (self.have[lower] > 0) & (self.two[total - lower] > 0)
+            self.three[total] = lower[there.argmax()] if there.any() else 0
+        return None
+
+    def exact(self, total: int) -> tuple[int, ...] | None:
+        """One, two or three pieces that there are and that have this sum."""
+        return (total,) if self.have[total] else self.pair(total) or self.triple(total)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that use every piece of ``counts``."""
     have = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         have[n] = c
     done: list[tuple[tuple[int, ...], int]] = []
-    sums = np.zeros(2 * capacity + 2, bool)
-    searches = 0
-
-    def pair(gap: int, free: np.ndarray) -> tuple[int, int] | None:
-        if gap < 2:
-            return None
-        a = np.arange((gap + 1) // 2, gap)
-        n = np.minimum(free[a], free[gap - a])
-        if gap % 2 == 0:
-            n[0] //= 2
-        k = int(n.argmax()) if len(n) else 0
-        return (int(a[k]), int(gap - a[k])) if len(n) and n[k] > 0 else None
-
-    def exact(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-        nonlocal searches, sums
-        if free[gap] > 0:
-            return (gap,)
-        if got := pair(gap, free):
-            return got
-        if searches % 64 == 0:  # counts only fall, so sums that have gone are at worst looked up in vain
-            some = (free > 0).astype(np.float32)
-            sums = np.fft.irfft(np.fft.rfft(some, 2 * capacity + 2) ** 2, 2 * capacity + 2) > 0.5
-        searches += 1
-        first = np.arange(gap - 1, 0, -1)
-        for a in first[(free[first] > 0) & sums[gap - first]]:
-            free[a] -= 1
-            got = pair(gap - int(a), free)
-            free[a] += 1
-            if got:
-                return (int(a), *got)
-        return None
+    index = SumIndex(have)
 
     for n in range(capacity, 0, -1):
         while have[n]:
@@ -191,7 +209,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                 have[n] = 0
                 break
             have[n] -= 1
-            combo = exact(capacity - n, have)
+            combo = index.exact(capacity - n)
             have[n] += 1
             if combo is None:
                 break
@@ -262,10 +280,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
     span = min(20_000, max(64, sum(counts.values()) // 1000))
     buckets = F.array(*[F.lit(-(-counts.get(n, 0) // span) or 1) for n in range(capacity + 1)])
-    keyed = parts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.get(buckets, F.col("length").cast("int"))))
+    keyed = parts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(buckets, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     start = keyed.groupBy("length", "_b").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("length", "_b").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("_n", F.row_number().over(inside) - 1).join(start, ["length", "_b"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_n") + F.col("_before")).alias("_rank"))
 

@@ -1,5 +1,6 @@
 """Near duplicates, search, tokens, mixing, packing and the pipeline."""
 
+import itertools
 import math
 import random
 import re
@@ -272,6 +273,9 @@ def test_packing(docs, rows):
 
 
 def test_packing_odd(odd, empty):
+    every = packing.pack_documents(odd).collect()
+    assert sum(r.doc_id is None for r in every) == 1
+    assert len({(r.sequence_id, r.offset) for r in every}) == len(every)
     got = packing.pack_documents(odd.filter("doc_id is not null")).collect()
     check_packing(got, {r.doc_id: r.text for r in odd.collect() if r.doc_id is not None})
     assert sum(r.doc_id == 5 for r in got) == 2
@@ -292,6 +296,26 @@ def test_plans_use_every_piece():
     assert packing.plan({32: 2, 16: 4}, 64) == [((32, 32), 1), ((16, 16, 16, 16), 1)]
 
 
+def test_sums_are_those_of_pieces_that_are_left():
+    """While counts fall, a sum is found if and only if one, two or three of the pieces have it."""
+    rng = random.Random(4)
+    for _ in range(30):
+        have = np.zeros(41, np.int64)
+        for _ in range(rng.randint(0, 9)):
+            have[rng.randint(1, 40)] += rng.randint(1, 2)
+        index = packing.SumIndex(have)
+        while True:
+            left = [int(n) for n in np.repeat(np.arange(41), have)]
+            sums = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(left, k)}
+            for total in range(1, 41):
+                got = index.exact(total)
+                assert (got is not None) == (total in sums)
+                assert got is None or (sum(got) == total and not Counter(got) - Counter(left))
+            if not left:
+                break
+            have[rng.choice(left)] -= 1
+
+
 def test_mixing(spark, docs, odd, empty):
     for df in (docs, odd):
         got = mixing.mixture_report(df).collect()
