@@ -3,14 +3,21 @@
 A person may take a task if they have at least half of the skills it asks for. A person has seats for as many tasks as
 their capacity, and no two tasks of high priority of a project. The sum of the fits (shares of skills) is largest but for
 ``step`` a task. Tasks of one project and one set of skills are a class, so are people; what is auctioned are seats of a
-class, so that rounds work on classes and their links, whatever the number of tasks in a class. Each round is a staged
-table: every class with free tasks looks at the cheapest seats it may take, bids for the best of them what it would lose
-by taking the next best, and each class of seats keeps its highest bids. Prices only rise, by ``step`` at least, which
-ends the auction; seats that nobody took cost nothing, which makes its end the best but for ``step`` a task.
+class, so that the auction is one of classes and their links, whatever the number of tasks in a class. A class with free
+tasks looks at the cheapest seats it may take, bids for the best of them what it would lose by taking the next best, and
+each class of seats keeps its highest bids. Prices only rise, by ``step`` at least, which ends the auction; seats that
+nobody took cost nothing, which makes its end the best but for ``step`` a task.
+
+Projects are markets of their own. One whose links a task can hold is settled in a task, class after class. The classes
+of larger ones bid all at once, in rounds that are staged tables; the last of them, that outbid each other by a step at a
+time, take many rounds there.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +32,8 @@ UNIT = 1_000_000
 #: Places of a class that are joined with the seats they got at a time.
 CHUNK = 256
 TASK_ROWS = 500_000
+#: Links of classes of tasks and of seats, at some 200 bytes each, that one task settles.
+TASK_LINKS = 500_000
 MAX_ROUNDS = 100_000
 
 
@@ -112,12 +121,66 @@ def _round(state: DataFrame, links: DataFrame, slots: DataFrame, step: int) -> D
     return after.groupBy("class", "slot").agg(F.sum("n").cast("long").alias("n"), F.max("price").alias("price")).filter("n > 0")
 
 
-def assigned(tasks: DataFrame, people: DataFrame, step: float = 0.05) -> DataFrame:
+def _market(links: pd.DataFrame, step: int) -> pd.DataFrame:
+    """The settled (class, slot, n, price) of one project's ``links`` (class, n, slot, fit, supply)."""
+    fits, free, spare = defaultdict(list), {}, {}
+    for class_, n, slot, fit, supply in links.sort_values(["class", "slot"])[["class", "n", "slot", "fit", "supply"]].itertuples(index=False):
+        fits[class_].append((slot, fit))
+        free[class_], spare[slot] = n, supply
+    held: dict[str, dict[str, list[int]]] = {slot: {} for slot in spare}  # n and price by class
+    turns = deque(free)
+    while turns:
+        class_ = turns.popleft()
+        wanted, offers = free.pop(class_), []
+        for slot, fit in fits[class_]:
+            if spare[slot]:
+                offers.append((-fit, slot, "", spare[slot]))
+            offers += [(price - fit, slot, other, n) for other, (n, price) in held[slot].items() if other != class_]
+        offers, takes, rest = sorted(o for o in offers if -o[0] >= step), [], 0
+        for loss, slot, other, n in offers:
+            if not wanted:
+                rest = -loss
+                break
+            got = min(n, wanted)
+            takes.append((slot, other, got))
+            wanted -= got
+            if got < n:
+                rest = -loss
+                break
+        gain = max(rest - step, 0)
+        for slot, fit in fits[class_]:
+            if mine := held[slot].get(class_):
+                mine[1] = max(mine[1], fit - gain)
+        worth = dict(fits[class_])
+        for slot, other, n in takes:
+            if not other:
+                spare[slot] -= n
+            else:
+                held[slot][other][0] -= n
+                if not held[slot][other][0]:
+                    del held[slot][other]
+                if other not in free:
+                    free[other] = 0
+                    turns.append(other)
+                free[other] += n
+            mine = held[slot].setdefault(class_, [0, 0])
+            mine[0], mine[1] = mine[0] + n, max(mine[1], worth[slot] - gain)
+    return pd.DataFrame([(c, slot, n, price) for slot, by in held.items() for c, (n, price) in by.items()], columns=["class", "slot", "n", "price"])
+
+
+def _settled(demand: DataFrame, links: DataFrame, slots: DataFrame, step: int) -> DataFrame:
+    """The state of projects whose links a task holds; classes without links hold nothing."""
+    rows = links.join(demand.select("class", "project", "n"), "class").join(slots, "slot").select("project", "class", "n", "slot", "fit", "supply")
+    return rows.groupBy("project").applyInPandas(lambda f: _market(f, step), "class string, slot string, n long, price long")
+
+
+def assigned(tasks: DataFrame, people: DataFrame, step: float = 0.05, task_links: int = TASK_LINKS) -> DataFrame:
     """(project, id, assignee, fit): whom each task goes to, and the share of its skills that they have; nulls where nobody can take it.
 
     ``tasks`` has project, id, skills, high (null: not); ``people`` project, id, skills, capacity (null: 1). Ids are unique within
     their table. Skills count once, null ones not; tasks without skills fit anyone of their project. The sum of the fits is
     within ``step`` a task of the largest. Equal tasks get their seats in the order of their ids, so that reruns agree.
+    Projects of more than ``task_links`` links of classes take rounds of the whole cluster.
     """
     work, staff = stage_table(_workload(tasks), "work"), stage_table(_staff(people), "staff")
     kinds = staff.groupBy(F.col("class").alias("other"), "project", "skills").agg(F.count("*").alias("people"), F.sum("capacity").alias("seats"))
@@ -128,17 +191,22 @@ def assigned(tasks: DataFrame, people: DataFrame, step: float = 0.05) -> DataFra
     slots = stage_table(slots.filter("supply > 0"), "slots")
     links = _fits(demand, kinds).select("class", "high", "other", "fit", both.alias("first")).filter("first OR NOT high").select("class", _slot(F.col("other"), F.col("first")).alias("slot"), "fit")
     links = stage_table(links.join(slots.select("slot"), "slot", "left_semi"), "links")
-    state = stage_table(demand.select("class", F.lit(None).cast("string").alias("slot"), "n", F.lit(None).cast("long").alias("price")), "auction")
+    millionths = max(1, round(step * UNIT))
+    sizes = links.join(demand.select("class", "project"), "class").groupBy("project").count()
+    demand = stage_table(demand.join(sizes, "project", "left").withColumn("large", F.coalesce(F.col("count") > task_links, F.lit(False))), "demand")
+    settled = stage_table(_settled(demand.filter("NOT large"), links, slots, millionths), "settled")
+    state = stage_table(demand.filter("large").select("class", F.lit(None).cast("string").alias("slot"), "n", F.lit(None).cast("long").alias("price")), "auction")
     for _ in range(MAX_ROUNDS):
         size, open_ = state.agg(F.count("*"), F.count_if(F.col("slot").isNull())).first()
         if not open_:
             break
-        old, state = state, stage_table(_round(state, links, slots, max(1, round(step * UNIT))), "auction", files=1 + size // TASK_ROWS)
+        old, state = state, stage_table(_round(state, links, slots, millionths), "auction", files=1 + size // TASK_ROWS)
         discard(old)
     else:
         raise RuntimeError("the auction did not settle")
+    discard(kinds, slots, demand)
     sums = lambda by, then: F.sum("n").over(Window.partitionBy(by).orderBy(then)) - F.col("n")
-    flows = state.join(links, ["class", "slot"]).select("class", "slot", "n", "fit", sums("class", "slot").alias("from"), sums("slot", "class").alias("seat"))
+    flows = state.unionByName(settled).join(links, ["class", "slot"]).select("class", "slot", "n", "fit", sums("class", "slot").alias("from"), sums("slot", "class").alias("seat"))
     spread = flows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("from") / CHUNK), F.floor((F.col("from") + F.col("n") - 1) / CHUNK))))
     placed = ranked(work.select("class", "project", "id"), "class", ["id"], "place").withColumn("place", F.col("place") - 1)
     at = placed.withColumn("chunk", F.floor(F.col("place") / CHUNK)).alias("a")

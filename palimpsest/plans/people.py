@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import assignment
 from ..sources.adapters import table
-from ..sources.store import stage_table
 
 KINDS = 6
 
@@ -38,6 +37,11 @@ def skill_fits(spark, sf_dir):
     return assignment.eligible(_sales(spark, sf_dir), _vendors(spark, sf_dir))
 
 
+def assigned_sales(spark, sf_dir):
+    """The vendor that each sale goes to, and how well they fit."""
+    return assignment.assigned(_sales(spark, sf_dir), _vendors(spark, sf_dir), step=0.05)
+
+
 def resolution_confidence(spark, sf_dir):
     """The confidence in each month's resolution of a client's sales, whose score is the share that is done."""
     score = table(spark, sf_dir, "sales").filter("sold_at IS NOT NULL").groupBy("client_id", F.date_format("sold_at", "yyyy-MM").alias("month")).agg(F.avg(F.when(F.col("status") == "done", 1.0).otherwise(0.0)).alias("score"))
@@ -46,7 +50,7 @@ def resolution_confidence(spark, sf_dir):
     return score.select("client_id", "month", F.round(assignment.confidence(F.col("score"), F.col("last"), F.col("before")), 9).alias("confidence"))
 
 
-QUERIES = {"skill_fits": skill_fits, "resolution_confidence": resolution_confidence}
+QUERIES = {"skill_fits": skill_fits, "assigned_sales": assigned_sales, "resolution_confidence": resolution_confidence}
 SQL = {
     "skill_fits": f"""WITH k AS (SELECT sale_id, vendor_id, kind FROM sale_lines JOIN (SELECT item_id, min(kind) AS kind FROM items GROUP BY 1) i USING (item_id)),
       t AS (SELECT s.id, coalesce(c.nation::VARCHAR, '') AS project, coalesce(a.n, 0) AS n FROM (SELECT sale_id AS id, min(client_id) AS client_id FROM sales WHERE sale_id IS NOT NULL GROUP BY 1) s

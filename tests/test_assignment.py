@@ -3,6 +3,7 @@
 import random
 from functools import cache
 
+import pandas as pd
 import pytest
 
 from palimpsest.operators import assignment
@@ -34,8 +35,8 @@ def best(tasks, people):
     return go(0, room, frozenset())
 
 
-def check(spark, tasks, people, step):
-    got = assignment.assigned(spark.createDataFrame(tasks, TASK), spark.createDataFrame(people, PERSON), step).collect()
+def check(spark, tasks, people, step, **how):
+    got = assignment.assigned(spark.createDataFrame(tasks, TASK), spark.createDataFrame(people, PERSON), step, **how).collect()
     assert sorted(r.id for r in got) == [t[1] for t in tasks]
     task, person, used, busy = {t[1]: t for t in tasks}, {p[1]: p for p in people}, {}, set()
     for r in got:
@@ -51,13 +52,41 @@ def check(spark, tasks, people, step):
     return got
 
 
-@pytest.mark.parametrize(("seed", "step"), [(0, 0.05), (1, 0.1)])
-def test_total_is_the_best_but_for_a_step_a_task(spark, seed, step):
+@pytest.mark.parametrize(("seed", "step", "links"), [(0, 0.05, 0), (1, 0.1, 0), (1, 0.1, 10_000), (2, 0.01, 10_000)])
+def test_total_is_the_best_but_for_a_step_a_task(spark, seed, step, links):
+    """In rounds of the cluster (no project's links fit a task) and with each project in a task."""
     rng = random.Random(seed)
     some = lambda n: rng.sample("abcdef", rng.randint(0 if n else 1, 4))
     tasks = [("p", i, some(1), rng.random() < 0.4) for i in range(9)]
     people = [("p", i, some(0), rng.randint(1, 2)) for i in range(4)]
-    check(spark, tasks, people, step)
+    check(spark, tasks, people, step, task_links=links)
+
+
+def test_markets_without_spark():
+    """Many small markets settled class by class: no seat twice, and the best total but for a step a task."""
+    rng = random.Random(7)
+    for _ in range(150):
+        supply = {f"s{j}": rng.randint(1, 3) for j in range(rng.randint(1, 4))}
+        links = [(f"c{i}", n, s, rng.randint(50, 100) * 10_000, supply[s]) for i in range(rng.randint(1, 5)) for n in [rng.randint(1, 3)] for s in supply if rng.random() < 0.7]
+        if not links:
+            continue
+        frame = pd.DataFrame(links, columns=["class", "n", "slot", "fit", "supply"])
+        got = assignment._market(frame, 20_000)
+        fit, asks = {(c, s): f for c, _, s, f, _ in links}, {c: n for c, n, *_ in links}
+        assert all(got[got["slot"] == s]["n"].sum() <= k for s, k in supply.items())
+        assert all(got[got["class"] == c]["n"].sum() <= n for c, n in asks.items())
+        total = sum(fit[c, s] * n for c, s, n in zip(got["class"], got["slot"], got["n"], strict=True))
+        one = [c for c, n in asks.items() for _ in range(n)]
+        places = tuple(supply)
+
+        @cache
+        def go(i, room, one=tuple(one), places=places, fit=fit):
+            if i == len(one):
+                return 0
+            return max([go(i + 1, room)] + [fit[one[i], s] + go(i + 1, room[:j] + (room[j] - 1,) + room[j + 1 :]) for j, s in enumerate(places) if room[j] and (one[i], s) in fit])
+
+        most = go(0, tuple(supply.values()))
+        assert most - 20_000 * len(one) <= total <= most
 
 
 def test_many_equal_tasks_and_other_projects(spark):
