@@ -7,17 +7,17 @@ hash of its id, so that reruns and other partitionings agree.
 Nulls: a null text has size 0; a null source is a source of its own and sorts
 last; a null id is hashed as such. Empty tables give empty results. Repeated
 rows share their coin. Very long texts are counted whole; ties between sources go by
-their order. Extra columns, whatever their names, are kept by ``mix``. The table of
-sources, a row each, is ordered in one task.
+their order. Extra columns, whatever their names, are kept by ``mix``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.snapshots import ranked
 from .common import stage_table, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,22 +34,30 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     """(source, source_size, target) from (source, size).
 
     Targets are shared by weight; what exceeds ``cap`` times a source's size is shared anew among the rest. The
-    fixed point is ``min(cap * size, level * weight)``; with sources sorted by the level at which each meets its cap,
-    the level is that of the first source below it. The windows run over one row a source.
+    fixed point is ``min(cap * size, level * weight)``. Sources are numbered in ranges that span tasks, and the level is
+    found by one-row sums, so that there may be any number of sources.
     """
     by = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    fill = Window.orderBy("meets", "place")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("place", F.row_number().over(place) - 1)
-    by = by.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")))
+    by = ranked(by.select(F.lit(0).alias("all"), F.isnull("source").alias("last"), "source", "source_size"), "all", ["last", "source"], "place")
+    by = by.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int")))
     by = by.withColumn("most", F.lit(float(cap)) * F.col("source_size")).withColumn("meets", F.col("most") / F.col("weight"))
-    by = by.withColumn("left", F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    by = by.withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    by = by.withColumn("level", F.col("left") / F.col("open")).withColumn("nth", F.row_number().over(fill))
-    by = by.withColumn("level", F.min_by(F.when(F.col("level") <= F.col("meets"), F.col("level")), F.when(F.col("level") <= F.col("meets"), F.col("nth"))).over(every))
-    return by.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
+    by = stage_table(by.select("source", "source_size", "weight", "most", "meets"), "sources")
+    level = F.lit(_level(by, share)).cast("double")
+    return by.select("source", "source_size", F.least("most", F.coalesce(level * F.col("weight"), F.col("most"))).alias("target"))
+
+
+def _level(sources: DataFrame, share: float) -> float | None:
+    """What a unit of weight gets where sources that meet their caps get those; none if all of them do.
+
+    Each round shares what the full sources leave among the others, which only raises the level and fills more of them.
+    """
+    level, before = 0.0, -1
+    while True:
+        full = (F.col("meets") < level) if before >= 0 else F.lit(False)
+        n, total, most, open_ = sources.agg(F.count_if(full), F.sum("source_size"), F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if n <= before or not open_:
+            return level if open_ else None
+        level, before = (share * total - most) / open_, n
 
 
 def own_names(docs: DataFrame, *names: str) -> list[str]:

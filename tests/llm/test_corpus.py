@@ -316,6 +316,28 @@ def test_sums_are_those_of_pieces_that_are_left():
             have[rng.choice(left)] -= 1
 
 
+@pytest.mark.parametrize(("share", "cap"), [(1.5, 2.0), (0.4, 1.0), (3.0, 2.0)])
+def test_targets_of_many_sources(spark, share, cap):
+    """Levels and places of thousands of sources, as a plain loop has them."""
+    rng = random.Random(5)
+    sizes = {f"host{i}": int(rng.paretovariate(0.6)) for i in range(3000)} | {None: 40, "": 0, "é": 7}
+    plain = {s: [(5.0, 2.0, 1.0)[k % 3], cap * sizes[s]] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    left, open_, target = share * sum(sizes.values()), dict(plain), {}
+    while open_:
+        level = left / sum(w for w, _ in open_.values())
+        full = {s: m for s, (w, m) in open_.items() if m < level * w}
+        if not full:
+            target |= {s: level * w for s, (w, _) in open_.items()}
+            break
+        target |= full
+        left, open_ = left - sum(full.values()), {s: x for s, x in open_.items() if s not in full}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+    got = {r.source: r for r in mixing.targets(rows, share=share, cap=cap).collect()}
+    assert got.keys() == sizes.keys()
+    for s, r in got.items():
+        assert r.source_size == sizes[s] and r.target == pytest.approx(target[s], rel=1e-12)
+
+
 def test_mixing(spark, docs, odd, empty):
     for df in (docs, odd):
         got = mixing.mixture_report(df).collect()
