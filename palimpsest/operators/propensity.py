@@ -89,12 +89,14 @@ def nearest(rows: DataFrame) -> DataFrame:
     # the task is written down, as a second run might cut the ranges otherwise
     dealt = stage_table(both.repartitionByRange("logit").withColumn("task", F.spark_partition_id()), "logits")
     here = F.when(F.col("control").isNotNull(), F.struct("logit", "control"))
-    # a control stands before the treatments of its logit
-    order = Window.partitionBy("task").orderBy("logit", F.asc_nulls_last("control"))
+    # a control stands before the treatments of its logit; what comes after is swept backwards, as a window that ends with
+    # its task is summed anew for every row
+    up = Window.partitionBy("task").orderBy("logit", F.asc_nulls_last("control")).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("task").orderBy(F.desc("logit"), F.asc_nulls_last("control")).rowsBetween(Window.unboundedPreceding, 0)
     ends = dealt.groupBy("task").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    by_task = Window.orderBy("task")  # a row a task
-    carried = ends.select("task", F.last("last", True).over(by_task.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(by_task.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    swept = dealt.select("task", "logit", "seq", F.last(here, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("left"), F.first(here, True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("right"))
+    earlier, later = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("task"), F.desc("task")))  # a row a task
+    carried = ends.select("task", F.last("last", True).over(earlier).alias("before"), F.last("first", True).over(later).alias("after"))
+    swept = dealt.select("task", "logit", "seq", F.last(here, True).over(up).alias("left"), F.last(here, True).over(down).alias("right"))
     swept = swept.filter("seq IS NOT NULL").join(carried, "task")
     sides = F.array(F.coalesce("left", "before"), F.coalesce("right", "after"))
     near = F.array_min(F.transform(F.filter(sides, lambda s: s.isNotNull()), lambda s: F.struct(F.abs(F.col("logit") - s["logit"]).alias("distance"), s["control"].alias("control"))))

@@ -56,6 +56,11 @@ def test_nearest_without_a_side(spark):
     assert propensity.nearest(df).collect() == [] and propensity.nearest(df.limit(0)).collect() == []
 
 
+def test_nearest_sums_no_window_anew_for_every_row(spark):
+    df = spark.range(40).select(F.col("id").alias("seq"), (F.col("id") % 2 == 0).alias("treated"), F.col("id").cast("double").alias("logit"))
+    assert "unboundedfollowing" not in propensity.nearest(df)._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_bootstrap_agrees_over_partitions(spark):
     df = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 10).cast("double").alias("effect"))
     a, b = (propensity.replicates(df.repartition(k)).first() for k in (1, 7))
