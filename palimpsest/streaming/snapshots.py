@@ -37,7 +37,7 @@ class Snapshotter(StatefulProcessor):
             elif e.event_type == RESTORE:
                 deleted_at = deleted_by = None
             elif e.event_type == DELETE and deleted_by is None:
-                deleted_at, deleted_by = e.ts.to_pydatetime(), str(e.id)
+                deleted_at, deleted_by = None if pd.isna(e.ts) else e.ts.to_pydatetime(), str(e.id)
             if number % self.every == 0:
                 out.append((key[0], number, self.every, version, payload, deleted_at, deleted_by))
         self.state.update((number, version, payload, deleted_at, deleted_by))

@@ -68,6 +68,14 @@ def test_keyed_state_goes_on_over_restarts(spark, tmp_path):
     assert got == sorted((f"node:p:{k}", n, n, str(3 * (n - 1) + k)) for k in range(3) for n in (10, 20, 30))
 
 
+def test_keyed_state_holds_a_delete_without_a_moment(spark, tmp_path):
+    rows = [("e0", "node:p:0", "node_deleted", None, None), ("e1", "node:p:0", "node_updated", datetime(2024, 1, 1), "x"), ("e2", "node:p:1", "node_updated", datetime(2024, 1, 1), "y")]
+    spark.createDataFrame(rows, EVENT).write.parquet(source := str(tmp_path / "in"))
+    streams.fold(stream_of.snapshots(streams.read(spark, source, spark.createDataFrame([], EVENT).schema), 1), str(tmp_path / "out"), str(tmp_path / "marks"))
+    got = sorted((r.aggregate_id, r.sequence_number, r.version, r.payload, r.deleted_at, r.deleted_by) for r in spark.read.parquet(str(tmp_path / "out" / "*")).collect())
+    assert got == sorted((who, *s) for who, states in loop(rows).items() for s in states)
+
+
 def test_retention_and_compaction_keep_states(spark, tmp_path):
     rows = made(5)
     log = EventLog(spark, str(tmp_path / "log"))
