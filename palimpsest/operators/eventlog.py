@@ -99,13 +99,15 @@ def admitted(events: DataFrame) -> DataFrame:
 
 def active_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, target): added between two of ``nodes`` (id), once each, and never removed in either direction."""
-    ends = relations.filter("source is not null and target is not null")
-    added = ends.filter("event_type = 'relation_added'").select("source", "target").distinct()
-    for end in ("source", "target"):
-        added = added.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
-    removed = ends.filter("event_type = 'relation_removed'").select("source", "target")
-    removed = removed.unionByName(removed.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    return added.join(removed, ["source", "target"], "left_anti").select("source", "target")
+    ends = relations.filter("source is not null and target is not null and event_type in ('relation_added', 'relation_removed')")
+    # a row a pair of ends, whichever way it was added or removed
+    forth, added = F.col("source") <= F.col("target"), F.col("event_type") == "relation_added"
+    pairs = ends.groupBy(F.least("source", "target").alias("one"), F.greatest("source", "target").alias("two")).agg(F.bool_or(~added).alias("gone"), F.bool_or(added & forth).alias("forth"), F.bool_or(added & ~forth).alias("back"))
+    ways = F.filter(F.array(F.when(F.col("forth"), F.struct(F.col("one").alias("source"), F.col("two").alias("target"))), F.when(F.col("back"), F.struct(F.col("two").alias("source"), F.col("one").alias("target")))), lambda w: w.isNotNull())
+    known = pairs.filter("NOT gone").select("one", "two", ways.alias("ways"))
+    for end in ("one", "two"):
+        known = known.join(nodes.select(F.col("id").alias(end)).hint("shuffle_hash"), end, "left_semi")
+    return known.select(F.explode("ways").alias("way")).select("way.source", "way.target")
 
 
 def relations(events: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.hashing import unit
 from ..sources.store import discard, stage_table
@@ -28,7 +29,10 @@ def isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def bottlenecks(edges: DataFrame, nodes: DataFrame, k: int | None = 10) -> DataFrame:
     """Nodes with some edges but fewer than 0.3 of the mean degree; the first ``k`` by id, or all."""
-    of = degrees(edges, nodes)
+    return _bottlenecks(degrees(edges, nodes), k)
+
+
+def _bottlenecks(of: DataFrame, k: int | None = 10) -> DataFrame:
     mean = of.agg(F.avg("degree").alias("_mean"))  # one row
     found = of.crossJoin(F.broadcast(mean)).filter((F.col("degree") > 0) & (F.col("degree") < 0.3 * F.col("_mean"))).select("id", "degree")
     return found if k is None else found.orderBy("id").limit(k)
@@ -39,16 +43,22 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternating stars: large ones hang each node's larger neighbours on its smallest, small ones the smaller. Both are
     minima by node, combined before the shuffle and joined back; every round is a staged table, and there are
-    logarithmically many. A node with very many links is split by the skew handling of sort-merge joins.
+    logarithmically many. A node with very many links is split by the skew handling of joins, in which
+    the minima, one a node, are the hashed side.
+
+    Nodes that are no integers go by a hash of theirs that no two share: minima of numbers are aggregated by hashing, those
+    of texts by sorting. The names come back in the end.
     """
+    if not isinstance(links.schema["a"].dataType, IntegralType):
+        return _named_components(links)
     edges = stage_table(_canonical(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
     mark = _mark(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _canonical(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = _canonical(both.filter(F.col("v") > F.col("u")).join(least.hint("shuffle_hash"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least.hint("shuffle_hash"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         old, edges = edges, stage_table(_canonical(small).coalesce(1 + mark[0] // TASK_LINKS), "links")
         discard(old)
         if (now := _mark(edges)) == mark:
@@ -59,6 +69,24 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def _named_components(links: DataFrame) -> DataFrame:
+    """``connected_components`` of nodes of any type, over numbers that stand for them."""
+    links = stage_table(links.select("a", "b"), "named")
+    ends = stage_table(links.filter("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    for seed in range(MAX_ROUNDS):
+        number = lambda c, seed=seed: F.xxhash64(F.lit(seed), F.col(c))
+        total, different = ends.agg(F.count("*"), F.count_distinct(number("node"))).first()
+        if total == different:
+            break
+    else:
+        raise RuntimeError("every hash makes two nodes one")
+    found = connected_components(links.filter("a <> b").select(number("a").alias("a"), number("b").alias("b")))
+    rows = stage_table(ends.select("node", number("node").alias("of")).join(found.withColumnsRenamed({"node": "of", "component": "group"}), "of").select("node", "group"), "groups")
+    discard(links, ends)
+    first = rows.groupBy("group").agg(F.min("node").alias("component"))
+    return rows.join(first, "group").select("node", "component")
+
+
 def _canonical(edges: DataFrame) -> DataFrame:
     """Each link once, its larger end first, without loops."""
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -77,9 +105,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def analyze(edges: DataFrame, nodes: DataFrame, named: int = 1000) -> DataFrame:
     """One row: totals, the first bottlenecks, how many nodes are isolated, the first ``named`` of them (``isolated`` gives all), and what to do about it."""
+    return _analysis(edges, nodes, stage_table(degrees(edges, nodes), "degrees"), named)
+
+
+def _analysis(edges: DataFrame, nodes: DataFrame, of: DataFrame, named: int) -> DataFrame:
     groups = components(edges, nodes).agg(F.count("*").alias("total_nodes"), F.count_distinct("component").alias("connected_components"))
-    few = bottlenecks(edges, nodes).agg(F.array_sort(F.collect_list("id")).alias("bottlenecks"))
-    single = isolated(edges, nodes)
+    few = _bottlenecks(of).agg(F.array_sort(F.collect_list("id")).alias("bottlenecks"))
+    single = of.filter("degree = 0").select("id")
     alone = single.orderBy("id").limit(named).agg(F.array_sort(F.collect_list("id")).alias("isolated_nodes"))
     alone = alone.crossJoin(F.broadcast(single.agg(F.count("*").alias("isolated"))))
     quoted = F.array_join(F.transform(F.slice("bottlenecks", 1, 3), lambda x: F.format_string("'%s'", x)), ", ")
@@ -90,11 +122,13 @@ def analyze(edges: DataFrame, nodes: DataFrame, named: int = 1000) -> DataFrame:
 
 def report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The report as rows (name, value), in text: totals, the advice, the first bottlenecks, and a row for every isolated node, however many there are."""
-    one = analyze(edges, nodes, named=0)
+    nodes = stage_table(nodes.select("id").distinct(), "nodes")
+    of = stage_table(degrees(edges, nodes), "degrees")
+    one = _analysis(edges, nodes, of, named=0)
     names = ("total_nodes", "connected_components", "method", "recommendation")
     totals = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names])).alias("x")).select("x.*")
     rows = lambda df, name: df.select(F.lit(name).alias("name"), F.col("id").cast("string").alias("value"))
-    return totals.unionByName(rows(bottlenecks(edges, nodes), "bottleneck")).unionByName(rows(isolated(edges, nodes), "isolated_node"))
+    return totals.unionByName(rows(_bottlenecks(of), "bottleneck")).unionByName(rows(of.filter("degree = 0"), "isolated_node"))
 
 
 #: The part of the edges held out, the one of a graph of fewer than FEW edges, and how many strata there are.

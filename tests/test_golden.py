@@ -287,3 +287,13 @@ def test_operations_of_one_moment(spark):
         assert versions.current(df).first().content == "z"
         assert [r.content for r in versions.intervals(df).orderBy("content").collect()] == ["x", "y", "z"]
         assert [r.content for r in versions.intervals(df).filter("valid_to is null").collect()] == ["z"]
+
+
+def test_components_of_texts_go_by_numbers(spark, monkeypatch):
+    """Rounds shuffle numbers; components are named by their first text all the same, and a hash that two nodes share is passed over."""
+    seen, plain, hashed = set(), graph._canonical, F.xxhash64
+    monkeypatch.setattr(graph, "_canonical", lambda e: (seen.add(e.schema["u"].dataType.typeName()), plain(e))[1])
+    monkeypatch.setattr(graph.F, "xxhash64", lambda *c: hashed(*c) % 2 if "0" in str(c[0]).split("'")[1:2] else hashed(*c))
+    links = spark.createDataFrame([("c", "b"), ("b", "a"), ("e", "d"), ("f", "f"), ("b", "c")], "a string, b string")
+    assert sorted(map(tuple, graph.connected_components(links).collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")]
+    assert seen == {"long"}
