@@ -23,8 +23,8 @@ rounded to ``DIGITS`` places, so that it is the same in any shard. Ties go to th
 smaller id.
 
 Queries go in passes of at most ``PASS_TERMS`` terms, which bounds what the
-driver holds and broadcasts; a pass reads the index once for frequencies and
-once to search. Null and empty texts are documents of length 0 that nothing
+driver holds and broadcasts; a pass reads the table of frequencies, which are
+counted once for all passes, and the index once to search. Null and empty texts are documents of length 0 that nothing
 finds, and queries that find nothing. Rows without an id can't be named: they
 are not indexed, not counted, and no queries. Repeated rows are documents of
 their own, a repeated query id has one list of the best of its texts. An empty
@@ -136,26 +136,45 @@ class _Queries:
         self.first = np.cumsum(self.size) - self.size
 
 
-def _frequencies(index: DataFrame, kinds: np.ndarray) -> np.ndarray:
-    """Documents of the whole table that have each term."""
-    shared = index.sparkSession.sparkContext.broadcast(kinds)
+def frequencies(index: DataFrame) -> DataFrame:
+    """(term, n): documents that have each term, of all terms there are; a task counts its own before they are added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        total = np.zeros(len(asked), np.int64)
+        kinds, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            term, n = (np.concatenate(x) for x in zip((kinds, total), *held, strict=True))
+            order = np.argsort(term, kind="stable")
+            term = term[order]
+            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)])
+            return term[first], np.add.reduceat(n[order], first) if len(first) else n
+
         for b in _blocks(batches):
-            if len(b.terms):
-                at = np.minimum(np.searchsorted(asked, b.terms), len(asked) - 1)
-                fit = asked[at] == b.terms
-                total[at[fit]] += b.counts[fit]
-        some = np.flatnonzero(total)
-        for i in range(0, len(some), 50_000):
-            part = some[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part])], ["at", "n"])
+            held.append((b.terms, b.counts.astype(np.int64)))
+            if len(held) == SHARD_BLOCKS:
+                (kinds, total), held = merged(), []
+        kinds, total = merged()
+        for i in range(0, len(kinds), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[i : i + 50_000].view(np.int64)), pa.array(total[i : i + 50_000])], ["term", "n"])
+
+    return index.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _known(found: DataFrame, kinds: np.ndarray) -> np.ndarray:
+    """Of a pass' sorted terms, documents of the whole table that have each."""
+    shared = found.sparkSession.sparkContext.broadcast(kinds)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        for b in batches:
+            term = b.column(0).to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(asked, term), len(asked) - 1)
+            fit = asked[at] == term
+            yield pa.RecordBatch.from_arrays([pa.array(at[fit].astype(np.int64)), b.column(1).filter(pa.array(fit))], ["at", "n"])
 
     out = np.zeros(len(kinds), np.int64)
-    found = index.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    table = found.toArrow()  # a row a term of the pass
+    table = found.mapInArrow(pick, "at long, n long").toArrow()  # a row a term of the pass
     out[table["at"].to_numpy()] = table["n"].to_numpy()
     return out
 
@@ -265,9 +284,9 @@ def _walk(shard: _Shard, size: np.ndarray, terms: np.ndarray, weight: np.ndarray
     return seen
 
 
-def _best(index: DataFrame, q: _Queries, n_docs: int, mean_len: float, k: int) -> DataFrame:
+def _best(index: DataFrame, found: DataFrame, q: _Queries, n_docs: int, mean_len: float, k: int) -> DataFrame:
     """query_id, doc_id, score: each shard's k best of every query."""
-    df = _frequencies(index, q.kinds)
+    df = _known(found, q.kinds)
     weight = q.tf * np.log1p((n_docs - df + 0.5) / (df + 0.5))[q.at]
     shared = index.sparkSession.sparkContext.broadcast((q, weight))
 
@@ -323,12 +342,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         return step
 
     asked = stage_table(map_texts(queries.select("query_id", "text"), kernel, "query_id long, terms binary, tfs binary").filter(F.length("terms") > 0).filter("query_id is not null"), "queries")
+    found = stage_table(frequencies(index), "frequencies")
     parts: list[DataFrame] = []
     held: list[tuple[int, bytes, bytes]] = []
     load = 0
 
     def run() -> None:
-        parts.append(stage_table(_best(index, _Queries(held), n_docs, max(int(total), 1) / max(int(n_docs), 1), k), "best"))
+        parts.append(stage_table(_best(index, found, _Queries(held), n_docs, max(int(total), 1) / max(int(n_docs), 1), k), "best"))
 
     for row in asked.toLocalIterator():
         n = len(row["terms"]) // 8

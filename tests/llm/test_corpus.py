@@ -156,6 +156,15 @@ def brute_search(texts, query, k=10):
     return sorted(out)[:k]
 
 
+def test_frequencies_are_counted_once_for_all_passes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        for t in topk.terms_of(r.text)[0].tolist():
+            want[t] = want.get(t, 0) + 1
+    assert {r.term % 2**64: r.n for r in topk.frequencies(topk.build_index(docs)).collect()} == want
+
+
 @pytest.mark.parametrize(("terms", "shard"), [(topk.PASS_TERMS, 64), (300, 3)])
 def test_search(docs, rows, monkeypatch, terms, shard):
     for name, value in (("PASS_TERMS", terms), ("BLOCK_DOCS", 16), ("SHARD_BLOCKS", shard), ("TASK_BLOCKS", 2 * shard)):
