@@ -202,15 +202,17 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return map_texts(rows, kernel, "doc_id long, held_out boolean, lang_pred string, score double", text_col)
 
 
-def determined(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def determined(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", sure: float | None = None) -> DataFrame:
     """``docs`` whose language can be told, with all their columns: a text without any letter goes.
 
-    A document that bears a language keeps it; one without gets the language predicted for its text, if any was learned.
+    A document without a language gets the one predicted for its text, if any was learned. One that bears a language keeps it, unless
+    ``sure`` is given: then another language that is predicted with that score at least takes the place of one that was learned, too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel():
         m = shared.value
+        learned = set(m.languages)
 
         def step(batch: pa.RecordBatch) -> dict | None:
             kept = batch.filter(pa.array([has_letter(t) for t in column(batch, text_col)], pa.bool_()))
@@ -218,11 +220,12 @@ def determined(docs: DataFrame, model: LanguageModel, text_col: str = "text", la
                 return None
             cols = {n: kept.column(i) for i, n in enumerate(kept.schema.names)}
             langs = column(kept, lang_col)
-            bare = [i for i, x in enumerate(langs) if x is None]
-            if bare and m.languages:
+            asked = [i for i, x in enumerate(langs) if x is None or (sure is not None and x in learned)]
+            if asked and learned:
                 texts = column(kept, text_col)
-                for i, name in zip(bare, m.predict([texts[i] for i in bare])[0], strict=True):
-                    langs[i] = name
+                for i, name, score in zip(asked, *m.predict([texts[i] for i in asked]), strict=True):
+                    if langs[i] is None or score >= sure:
+                        langs[i] = name
                 cols[lang_col] = pa.array(langs, kept.schema.field(lang_col).type)
             return cols
 

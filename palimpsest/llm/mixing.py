@@ -2,23 +2,25 @@
 
 Sizes are summed by source, targets follow from weights under a cap, and each
 document is taken floor(rate) times plus one Bernoulli copy whose coin is a
-hash of its id, so that reruns and other partitionings agree.
+hash of its id, so that reruns and other partitionings agree. A further column (the
+language, say) may cut sources into parts that share their target: small parts get
+more than in proportion to their size, the source as much as without.
 
 Nulls: a null text has size 0; a null source is a source of its own and sorts
-last; a null id is hashed as such. Empty tables give empty results. Repeated
-rows share their coin. Very long texts are counted whole; ties between sources go by
-their order. Extra columns, whatever their names, are kept by ``mix``.
+last, a null part is a part of its own; a null id is hashed as such. Empty tables
+give empty results. Repeated rows share their coin. Very long texts are counted
+whole; ties between sources go by their order. Extra columns, whatever their names, are kept by ``mix``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.snapshots import ranked
-from .common import stage_table, unit_hash
+from .common import discard, stage_table, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of the table of sources up to which it is broadcast; above, it is joined by a salted key.
@@ -60,6 +62,23 @@ def _level(sources: DataFrame, share: float) -> float | None:
         level, before = (share * total - most) / open_, n
 
 
+def parts(sources: DataFrame, sizes: DataFrame, power: float = 0.7, cap: float = 2.0) -> DataFrame:
+    """(source, part, source_size, target) with each part's own size and target, from (source, target) and (source, part, size), a row a part.
+
+    A source's target is shared by its parts' sizes to the ``power``; what exceeds ``cap`` times a part's size is shared anew among
+    the others, so that the parts' targets add up to their source's. The parts of a source are one task's, a short row each.
+    """
+    by = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(float(power)))).withColumn("most", F.lit(float(cap)) * F.col("size"))
+    by = by.withColumn("meets", F.coalesce(F.try_divide("most", "weight"), F.lit(0.0)))
+    by = by.join(sources.select(F.col("source").alias("of"), F.col("target").alias("all")), F.col("source").eqNullSafe(F.col("of")))
+    # what a unit of weight gets if the parts that fill up before this one are full and no others; the level is the largest of these
+    filled = Window.partitionBy("source").orderBy("meets", "part").rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("source").orderBy(F.desc("meets"), F.desc("part")).rowsBetween(Window.unboundedPreceding, 0)
+    by = by.withColumn("level", F.try_divide(F.col("all") - F.coalesce(F.sum("most").over(filled), F.lit(0.0)), F.sum("weight").over(others)))
+    level = F.max("level").over(Window.partitionBy("source"))
+    return by.select("source", "part", F.col("size").alias("source_size"), F.least("most", F.coalesce(level * F.col("weight"), F.col("most"))).alias("target"))
+
+
 def own_names(docs: DataFrame, *names: str) -> list[str]:
     """``names`` with as many underscores in front as make them differ from every column of ``docs``."""
     taken, mark = {c.lower() for c in docs.columns}, "_"
@@ -68,20 +87,32 @@ def own_names(docs: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
-def with_copies(docs: DataFrame, copies: str, size_col: str, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, str, str]:
-    """``docs`` (with its sizes) plus ``copies``, and the names of two columns more: its source's size and target. A hot source is never gathered in one task."""
-    of, size, target, salt, at = own_names(docs, "source", "source_size", "target", "salt", "at")
-    per = stage_table(targets(docs.select(F.col(source_col).alias("source"), F.col(size_col).alias("size")), weights, share, cap), "targets")
-    per = per.withColumnsRenamed({"source": of, "source_size": size, "target": target})
+def with_copies(
+    docs: DataFrame, copies: str, size_col: str, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source",
+    part_col: str | None = None, power: float = 0.7,
+) -> tuple[DataFrame, str, str]:
+    """``docs`` (with its sizes) plus ``copies``, and the names of two columns more: its source's size and target, or those of its part by ``part_col``. A hot source is never gathered in one task."""
+    of, size, target, salt, at, part = own_names(docs, "source", "source_size", "target", "salt", "at", "part")
+    sizes = docs.select(F.col(source_col).alias("source"), *([] if part_col is None else [F.col(part_col).alias("part")]), F.col(size_col).alias("size"))
+    if part_col is None:
+        per = stage_table(targets(sizes, weights, share, cap), "targets")
+    else:
+        sizes = stage_table(sizes.groupBy("source", "part").agg(F.sum("size").cast("long").alias("size")), "parts")
+        per = stage_table(parts(targets(sizes, weights, share, cap), sizes, power, cap), "targets")
+        discard(sizes)
+    per = per.withColumnsRenamed({"source": of, "source_size": size, "target": target, "part": part})
+    same = docs[source_col].eqNullSafe(per[of])
+    if part_col is not None:
+        same &= docs[part_col].eqNullSafe(per[part])
     if per.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(per), docs[source_col].eqNullSafe(per[of]))
+        joined = docs.join(F.broadcast(per), same)
     else:
         salted = docs.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
         spread = per.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(at, F.col(at).cast("long"))
-        joined = salted.join(spread, salted[source_col].eqNullSafe(spread[of]) & (salted[salt] == spread[at])).drop(salt, at)
+        joined = salted.join(spread, same & (salted[salt] == spread[at])).drop(salt, at)
     rate = F.coalesce(F.try_divide(F.col(target), F.col(size).cast("double")), F.lit(0.0))
     extra = unit_hash(F.col(id_col), seed=seed) < rate - F.floor(rate)
-    return joined.withColumn(copies, (F.floor(rate) + extra.cast("long")).cast("long")).drop(of), size, target
+    return joined.withColumn(copies, (F.floor(rate) + extra.cast("long")).cast("long")).drop(of, part), size, target
 
 
 def mix(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
