@@ -109,7 +109,8 @@ def with_copies(
     else:
         salted = docs.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
         spread = per.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(at, F.col(at).cast("long"))
-        joined = salted.join(spread, same & (salted[salt] == spread[at])).drop(salt, at)
+        # the rows that the salts make aren't in Spark's estimate of the size, by which it would broadcast them
+        joined = salted.join(spread.hint("merge"), same & (salted[salt] == spread[at])).drop(salt, at)
     rate = F.coalesce(F.try_divide(F.col(target), F.col(size).cast("double")), F.lit(0.0))
     extra = unit_hash(F.col(id_col), seed=seed) < rate - F.floor(rate)
     return joined.withColumn(copies, (F.floor(rate) + extra.cast("long")).cast("long")).drop(of, part), size, target

@@ -86,3 +86,12 @@ def test_stage_tells_the_mixture(spark, sf_dir, docs, rows, monkeypatch, limit):
     assert max(taken.values()) <= 2
     assert taken != copies(corpus_pipeline.mix_sources(spark, bare, sf_dir))
     assert taken != copies(mixing.mix(told))
+
+
+def test_many_parts_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 50)
+    rows = spark.range(100).selectExpr("id doc_id", "'one' source", "concat('l', id) lang", "3L n")
+    out = mixing.with_copies(rows, "copies", "n", part_col="lang")[0]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.copies for r in out.collect()} == {1, 2}
+    assert out.count() == 100
